@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import sql
+from quern.llm import bpe, cnn, sql
 from quern.llm.common import documents
 from quern.llm.licenses import scan_licenses
 from quern.llm.quality import quality_rules
@@ -25,8 +26,30 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path, pattern), path, pattern)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = cnn.score_quality(docs, cnn.fit_from_labels(docs, labels))
+    return scored.select("doc_id", cnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op3_license_scans": op3_license_scans}
+    return {
+        "op2_quality_rules": op2_quality_rules,
+        "op3_license_scans": op3_license_scans,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op8_quality_classifier": op8_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
