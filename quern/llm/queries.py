@@ -9,11 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, cnn, sql
+from quern.llm.chat import format_chats
 from quern.llm.common import documents
 from quern.llm.licenses import scan_licenses
+from quern.llm.pii import pseudonymise
 from quern.llm.quality import quality_rules
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text with pseudonyms, and the number of values by kind."""
+    counts = F.col("pii_counts")
+    total = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b)
+    kinds = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    done = pseudonymise(documents(spark, sf_dir, "doc_id", "text"))
+    return done.select("doc_id", "text", total.alias("n_values"), F.array_join(kinds, ",").alias("kinds"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(documents(spark, sf_dir))
     return judged.select(
@@ -43,12 +54,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", cnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scans": op3_license_scans,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_chat_quotations": op9_chat_quotations,
     }
 
 
