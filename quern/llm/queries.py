@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm import bpe, cnn, sql
 from quern.llm.chat import format_chats
 from quern.llm.common import documents
+from quern.llm.jaccard import jaccard_components
 from quern.llm.licenses import scan_licenses
 from quern.llm.pii import pseudonymise
 from quern.llm.quality import quality_rules
@@ -58,6 +59,10 @@ def op9_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -66,8 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_quotations": op9_chat_quotations,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3}
+    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op10_jaccard_join": sql.OP10}
