@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm import bpe, cnn, sql
 from quern.llm.chat import format_chats
 from quern.llm.common import documents
+from quern.llm.decontam import find_leaks
 from quern.llm.jaccard import jaccard_components
 from quern.llm.licenses import scan_licenses
 from quern.llm.pii import pseudonymise
@@ -49,6 +50,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.drop("hamming")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = cnn.score_quality(docs, cnn.fit_from_labels(docs, labels))
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scans": op3_license_scans,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_decontamination": op6_decontamination,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_quotations": op9_chat_quotations,
         "op10_jaccard_join": op10_jaccard_join,
@@ -76,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op10_jaccard_join": sql.OP10}
+    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op10_jaccard_join": sql.OP10}

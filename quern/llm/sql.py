@@ -112,3 +112,38 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.c)
 FROM documents d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+#: Items and documents of five words and more.
+OP6 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ds AS (
+  SELECT doc_id, nw, i, array_to_string(ws[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT doc_id, ws, len(ws) AS nw, unnest(range(0, len(ws) - 4)) AS i FROM dw WHERE len(ws) >= 5)),
+bo AS (
+  SELECT item_id, n, array_to_string(ws[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS i FROM bw WHERE len(ws) >= 5)),
+bs AS (SELECT item_id, n, gram, count(*) AS c FROM bo GROUP BY item_id, n, gram),
+pairs AS (
+  SELECT ds.doc_id, bs.item_id, any_value(ds.nw) AS nw, any_value(bs.n) AS n
+  FROM ds JOIN bs USING (gram) GROUP BY ds.doc_id, bs.item_id
+  HAVING count(*) >= 0.8 * (any_value(bs.n) - 4)),
+win AS (
+  SELECT doc_id, item_id, n, least(n, nw) - 4 AS m, unnest(range(0, greatest(nw - n, 0) + 1)) AS first FROM pairs),
+held AS (
+  SELECT win.doc_id, win.item_id, win.n, win.m, win.first, ds.gram, count(*) AS c
+  FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.i >= win.first AND ds.i < win.first + win.m
+  GROUP BY win.doc_id, win.item_id, win.n, win.m, win.first, ds.gram),
+scored AS (
+  SELECT held.doc_id, held.item_id, held.n, held.m, held.first, sum(least(held.c, bs.c)) AS shared
+  FROM held JOIN bs ON bs.item_id = held.item_id AND bs.gram = held.gram
+  GROUP BY held.doc_id, held.item_id, held.n, held.m, held.first),
+sim AS (SELECT *, shared::DOUBLE / (m + n - 4 - shared) AS similarity FROM scored)
+SELECT doc_id, item_id, first::BIGINT AS first_word, (m + 4)::BIGINT AS n_words, similarity
+FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
+"""
