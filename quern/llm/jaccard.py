@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, bounded_batches, map_batches, slabs, with_text
-from quern.llm.components import connected_components
+from quern.llm.components import connected_components, spanning_forest
 from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets, spans, windows, word_hashes
 
 #: Counters for the frequency of n-grams by hash, and how many of the fullest are kept (256 KB).
@@ -254,7 +254,8 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
 
     # First round: enough pairs to connect whatever may be connected.
     lists = shared.join(info, "doc_id").withColumn("component", F.col("doc_id"))
-    first = scratch.keep(_list_pairs(lists, _forest, rule))
+    found = scratch.keep(_list_pairs(lists, _forest, rule))
+    first = scratch.keep(spanning_forest(found, scratch))
     wanted = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
     wanted = scratch.keep(wanted)
     fragments = scratch.keep(gram_fragments(docs, wanted, rule, heavy))
@@ -272,5 +273,5 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
         parts = scratch.keep(connected_components(links.unionByName(more), scratch))
     named = members.join(parts.select(F.col("doc_id").alias("node"), "component"), "node", "left")
     done = scratch.keep(named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")))
-    scratch.drop(sets, members, shared, first, wanted, fragments, links, second, more)
+    scratch.drop(sets, members, shared, found, first, wanted, fragments, links, second, more)
     return done
