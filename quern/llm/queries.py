@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, cnn, sql
+from quern.llm import bpe, cnn, simple8b, sql
 from quern.llm.chat import format_chats
-from quern.llm.common import documents
+from quern.llm.common import Scratch, documents
 from quern.llm.decontam import find_leaks
 from quern.llm.jaccard import jaccard_components
 from quern.llm.licenses import scan_licenses
@@ -39,6 +39,13 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Scratch(spark, "ids").path("blocks")
+    simple8b.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
+    read = simple8b.read_digests(spark, out)
+    return read.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path, pattern), path, pattern)
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scans": op3_license_scans,
+        "op4_simple8b_ids": op4_simple8b_ids,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_decontamination": op6_decontamination,
         "op8_quality_classifier": op8_quality_classifier,
