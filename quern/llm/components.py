@@ -40,9 +40,8 @@ def spanning_forest(links: DataFrame, scratch: Scratch, group_links: int = 500_0
     """
     parts = connected_components(links, scratch)
     named = links.join(parts.withColumnRenamed("doc_id", "a"), "a")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    # A component of m members has m * m / 2 links at most; more tasks than needed only keep a few more links.
-    salts = F.greatest(F.lit(1), F.least(F.lit(1000), F.ceil(F.col("members") * F.col("members") / 2 / group_links))).cast("int")
+    sizes = named.groupBy("component").agg(F.count("*").alias("n_links"))
+    salts = F.ceil(F.col("n_links") / group_links).cast("int")
     dealt = named.join(sizes, "component").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts))
     dealt = dealt.repartition("component", "salt").sortWithinPartitions("component", "salt")
     names = links.columns

@@ -34,8 +34,8 @@ from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets, spans, windo
 
 #: Counters for the frequency of n-grams by hash, and how many of the fullest are kept (256 KB).
 COUNTERS, HEAVY = 1 << 22, 1 << 16
-#: Parity bits of a set.
-BITS = 1024
+#: Fewest and most parity bits of a set; between them it has the next power of two from its size up.
+LEAST_BITS, MOST_BITS = 256, 1 << 14
 #: Rows of a list that are compared with one another at once.
 LIST_BLOCK = 1000
 #: Bits of the filter that spares most texts the shuffle (1 MB, whatever the input).
@@ -109,7 +109,8 @@ def gram_sets(docs: DataFrame, rule: Threshold, heavy: np.ndarray) -> DataFrame:
                     two.append(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum())
                 ordered, _ = _ordered(grams, heavy)
                 prefixes.append(ordered[: rule.prefix(len(grams)) if len(grams) else 0].view(np.int64))
-                parity = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                wide = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(grams) - 1, 0).bit_length()))
+                parity = np.bincount((grams & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
                 bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
         ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -129,10 +130,7 @@ def _list_pairs(rows: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndar
     lists = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "doc_id")
 
     def pairs(doc: np.ndarray, n: np.ndarray, bits: list[bytes], component: np.ndarray) -> np.ndarray:
-        flags = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(doc), -1), axis=1).astype(np.float32)
-        ones = flags.sum(1)
-        apart = (ones[:, None] + ones[None, :] - 2 * (flags @ flags.T)).astype(np.int64)
-        return pick(doc, n, rule.may_link(n, apart), component)
+        return pick(doc, n, rule.may_link(n, _apart(bits)), component)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "na", "nb"]
@@ -166,6 +164,23 @@ def _list_pairs(rows: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndar
     return lists.mapInArrow(run, "a long, b long, na long, nb long").where("a < b").distinct()
 
 
+def _apart(bits: list[bytes]) -> np.ndarray:
+    """Matrix of how many n-grams two sets have apart, at least: parity bits that differ, at the width of the narrower."""
+    width = np.array([len(b) for b in bits])
+    out = np.zeros((len(bits), len(bits)), np.int64)
+    for w in np.unique(width).tolist():
+        # Sets of lengths within the threshold differ in width by one step at most; all others fail by length.
+        mine = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = np.zeros((len(mine), 8 * w), np.float32)
+        for k, i in enumerate(mine.tolist()):
+            flags = np.unpackbits(np.frombuffer(bits[i], np.uint8))
+            rows[k] = flags if len(flags) == 8 * w else flags[: 8 * w] ^ flags[8 * w :]
+        ones = rows.sum(1)
+        apart = (ones[:, None] + ones[None, :] - 2 * (rows @ rows.T)).astype(np.int64)
+        out[np.ix_(mine, mine)] = np.maximum(out[np.ix_(mine, mine)], apart)
+    return out
+
+
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
