@@ -1,10 +1,82 @@
-"""The corpus pipeline: stages applied one after another to the documents."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, personal data, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, cnn
+from quern.llm.common import Scratch, documents, without_ids
+from quern.llm.decontam import find_leaks
+from quern.llm.jaccard import Threshold, jaccard_components
+from quern.llm.pii import pseudonymise
+
+#: Near duplicates on word shingles: five words, similarity 0.8.
+NEAR = Threshold(size=5, percent=80)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return cnn.keep_quality(docs, cnn.fit_from_labels(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; also those without words."""
+    scratch = Scratch(spark, "near")
+    found = jaccard_components(docs, NEAR)
+    copies = scratch.keep(found.where("doc_id <> component_id").select("doc_id"))
+    return without_ids(docs, copies)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    scratch = Scratch(spark, "leaks")
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, scratch.keep(leaks.select("doc_id").distinct()))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data; n_chars follows the text."""
+    done = pseudonymise(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its ids by byte-level BPE and the digests of ids and of the bytes they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("byte-level BPE", token_ids),
+]
+
+#: A fitted network is beyond SQL; the tests hold the rows against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.keep(docs)
+    return docs

@@ -16,8 +16,8 @@ result; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import json
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, slabs, with_text
+from quern.llm.common import keep_rows, map_batches, slabs, with_text
 
 WIDTH = 4
 BLOCK = 256  #: stride; a chunk is two blocks
@@ -189,22 +189,33 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500,
     return fit([r[2].encode() for r in rows], [r[1] for r in rows])
 
 
-def score_quality(docs: DataFrame, net: Network, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the score of its whole text and the class from the threshold up."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # a few 100 KB, whatever the input
+def _scorer(docs: DataFrame, net: Network) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of a column of texts; the network is sent once (a few 100 KB, whatever the input)."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
     made: dict[str, tuple] = {}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def scores(texts: pa.Array) -> np.ndarray:
         own = sent.value
         pairs = made.get("pairs") or made.setdefault("pairs", own.pairs())
-        parts = [logits(own, pairs, offsets, data) for _, _, offsets, data in slabs(batch.column(1))]
-        score = sigmoid(np.concatenate(parts)) if parts else np.zeros(0)
+        parts = [logits(own, pairs, offsets, data) for _, _, offsets, data in slabs(texts)]
+        return sigmoid(np.concatenate(parts)) if parts else np.zeros(0)
+
+    return scores
+
+
+def score_quality(docs: DataFrame, net: Network, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row the score of its whole text and the class from the threshold up."""
+    scores = _scorer(docs, net)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        score = scores(batch.column(1))
         picked = (score >= threshold).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(picked)], ["doc_id", "score", "predicted"])
 
     return map_batches(with_text(docs, key, text), run, "doc_id long, score double, predicted int")
 
 
-def describe(net: Network) -> str:
-    """Sizes of the network, for logs."""
-    return json.dumps({n: list(a.shape) for n, a in zip(("filters", "bias", "dense", "dense_bias", "out", "out_bias"), net.arrays(), strict=True)})
+def keep_quality(docs: DataFrame, net: Network, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose whole text scores the threshold or more."""
+    scores = _scorer(docs, net)
+    return keep_rows(docs, text, lambda texts: scores(texts) >= threshold)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into NumPy arrays at once; one longer text is a slab of its own.
 SLAB_BYTES = 4 << 20
+#: Bits of the filter that spares most rows a shuffle (1 MB, whatever the input).
+FILTER_BITS = 1 << 23
 #: Rows of an Arrow batch; texts are a few KB, so a batch stays near 4 MB.
 BATCH_ROWS = 1000
 
@@ -83,6 +85,30 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of df, all columns, that the mask of their texts keeps."""
+    place = df.columns.index(text)
+    return map_batches(df, lambda batch: batch.filter(pa.array(mask(batch.column(place)), pa.bool_())), df.schema)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is not in ids (a kept table): only those that a bit filter can't rule out are shuffled."""
+    maybe, surely = prefiltered(df, ids.select(F.col("doc_id").alias(key)), key)
+    return surely.unionByName(maybe.join(ids.select(F.col("doc_id").alias(key)), key, "left_anti").select(*df.columns))
+
+
+def prefiltered(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """rows that may have a key of wanted, and those that surely have none, by a bit filter of fixed size."""
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{key}` as long)), 64) as int))")
+    words = wanted.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias("quern_word"), bit.alias("bit"))
+    # At most FILTER_BITS / 64 = 131,072 rows, and so safe to broadcast.
+    words = F.broadcast(words.groupBy("quern_word").agg(F.bit_or("bit").alias("quern_bits")))
+    marked = rows.withColumn("quern_word", F.shiftright(spot, 6)).join(words, "quern_word", "left")
+    hit = F.coalesce(F.col("quern_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
 def slabs(column: pa.Array, limit: int = SLAB_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows as (first row, end row, byte offsets from 0, UTF-8 bytes); a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bounded_batches, map_batches, slabs, with_text
+from quern.llm.common import Scratch, bounded_batches, map_batches, prefiltered, slabs, with_text
 from quern.llm.components import connected_components, spanning_forest
 from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets, spans, windows, word_hashes
 
@@ -38,8 +38,6 @@ COUNTERS, HEAVY = 1 << 22, 1 << 16
 LEAST_BITS, MOST_BITS = 256, 1 << 14
 #: Rows of a list that are compared with one another at once.
 LIST_BLOCK = 1000
-#: Bits of the filter that spares most texts the shuffle (1 MB, whatever the input).
-FILTER_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -208,17 +206,6 @@ def _across(doc: np.ndarray, n: np.ndarray, may: np.ndarray, component: np.ndarr
     return np.argwhere(np.triu(may & (component[:, None] != component[None, :]), 1))
 
 
-def prefiltered(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows that may have a doc_id of wanted, and those that surely have none, by a bit filter of fixed size."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("bit"))
-    # At most FILTER_BITS / 64 = 131,072 rows, and so safe to broadcast.
-    words = F.broadcast(words.groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    marked = rows.withColumn("quern_word", F.shiftright(spot, 6)).join(words.withColumnRenamed("word", "quern_word"), "quern_word", "left")
-    hit = F.coalesce(F.expr("shiftright(bits, cast(pmod(xxhash64(doc_id), 64) as int)) & 1"), F.lit(0).cast("long")) == 1
-    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
-
-
 def gram_fragments(docs: DataFrame, wanted: DataFrame, rule: Threshold, heavy: np.ndarray) -> DataFrame:
     """doc_id, fragment, grams of the wanted texts: equal cuts of the order, and the frequent n-grams as the last."""
     some = prefiltered(docs, wanted)[0].join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
