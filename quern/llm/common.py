@@ -97,12 +97,12 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return surely.unionByName(maybe.join(ids.select(F.col("doc_id").alias(key)), key, "left_anti").select(*df.columns))
 
 
-def prefiltered(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def prefiltered(rows: DataFrame, wanted: DataFrame, key: str = "doc_id", bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """rows that may have a key of wanted, and those that surely have none, by a bit filter of fixed size."""
-    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS))
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{key}` as long)), 64) as int))")
     words = wanted.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias("quern_word"), bit.alias("bit"))
-    # At most FILTER_BITS / 64 = 131,072 rows, and so safe to broadcast.
+    # At most bits / 64 rows (131,072 by default), and so safe to broadcast.
     words = F.broadcast(words.groupBy("quern_word").agg(F.bit_or("bit").alias("quern_bits")))
     marked = rows.withColumn("quern_word", F.shiftright(spot, 6)).join(words, "quern_word", "left")
     hit = F.coalesce(F.col("quern_bits").bitwiseAND(bit) != 0, F.lit(False))

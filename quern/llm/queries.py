@@ -16,6 +16,7 @@ from quern.llm.jaccard import jaccard_components
 from quern.llm.licenses import scan_licenses
 from quern.llm.pii import pseudonymise
 from quern.llm.quality import quality_rules
+from quern.llm.repeats import remove_repeats
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("hamming")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", length.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = cnn.score_quality(docs, cnn.fit_from_labels(docs, labels))
@@ -84,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simple8b_ids": op4_simple8b_ids,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_repeats": op7_suffix_repeats,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_quotations": op9_chat_quotations,
         "op10_jaccard_join": op10_jaccard_join,
@@ -91,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op10_jaccard_join": sql.OP10}
+    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op7_suffix_repeats": sql.OP7, "op10_jaccard_join": sql.OP10}
