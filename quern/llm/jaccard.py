@@ -7,9 +7,10 @@ each set in that order: two sets that reach the threshold share one of them. Bef
 counted, its lengths and the parity bits of both sets (a lower bound of how many n-grams stand in
 one set only) must allow the threshold.
 
-Equal sets are one node. Links join nodes to components, and a second round counts every
-remaining pair between different components; pairs inside one are not needed, so large groups of
-near copies don't become all their pairs. Lists of a frequent n-gram are split into blocks.
+Equal sets are one node. Two rounds count only as many pairs as may connect what can be connected;
+the last counts every remaining pair between different components. Pairs inside a component are
+not needed, so large groups of near copies don't become all their pairs. Lists of a frequent n-gram
+are split into blocks.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than n has one n-gram; keys are expected to be unique, repeated equal
@@ -34,8 +35,8 @@ from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets, spans, windo
 
 #: Counters for the frequency of n-grams by hash, and how many of the fullest are kept (256 KB).
 COUNTERS, HEAVY = 1 << 22, 1 << 16
-#: Fewest and most parity bits of a set; between them it has the next power of two from its size up.
-LEAST_BITS, MOST_BITS = 256, 1 << 14
+#: Fewest and most parity bits of a set; between them it has the next power of two from its size up, or from FINE times that.
+LEAST_BITS, MOST_BITS, FINE = 256, 1 << 14, 8
 #: Rows of a list that are compared with one another at once.
 LIST_BLOCK = 1000
 
@@ -46,7 +47,7 @@ class Threshold:
 
     size: int = 4
     percent: int = 85
-    fragments: int = 8
+    fragments: int = 4
 
     def prefix(self, n: int) -> int:
         """How many first n-grams of a set of n hold one in common with every partner."""
@@ -94,6 +95,13 @@ def _ordered(grams: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([grams[~late], grams[late]]), int((~late).sum())
 
 
+def _parity(grams: np.ndarray, least: int) -> bytes:
+    """Of each residue of the hashes whether it has an odd number of n-grams."""
+    wide = min(MOST_BITS, max(LEAST_BITS, 1 << max(least - 1, 0).bit_length()))
+    parity = np.bincount((grams & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
 def gram_sets(docs: DataFrame, rule: Threshold, heavy: np.ndarray) -> DataFrame:
     """doc_id, n, a 128-bit sum, the first n-grams in the order, and parity bits of each set."""
 
@@ -107,9 +115,7 @@ def gram_sets(docs: DataFrame, rule: Threshold, heavy: np.ndarray) -> DataFrame:
                     two.append(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum())
                 ordered, _ = _ordered(grams, heavy)
                 prefixes.append(ordered[: rule.prefix(len(grams)) if len(grams) else 0].view(np.int64))
-                wide = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(grams) - 1, 0).bit_length()))
-                parity = np.bincount((grams & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
+                bits.append(_parity(grams, len(grams)))
         ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
         sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
@@ -185,19 +191,22 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _forest(doc: np.ndarray, n: np.ndarray, may: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """A spanning forest of the pairs that may link."""
-    fresh, out = np.ones(len(doc), bool), []
-    for first in range(len(doc)):
+    """A spanning forest, over components, of the pairs that may link."""
+    names, label = np.unique(component, return_inverse=True)
+    fresh, out = np.ones(len(names), bool), []
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
+    for first in range(len(names)):
         if not fresh[first]:
             continue
         fresh[first] = False
         todo = [first]
         while todo:
-            i = todo.pop()
-            near = np.flatnonzero(may[i] & fresh)
-            fresh[near] = False
-            out += [(i, j) for j in near.tolist()]
-            todo += near.tolist()
+            own = members[todo.pop()]
+            near = np.flatnonzero(may[own].any(axis=0) & fresh[label])
+            for j in near[np.unique(label[near], return_index=True)[1]].tolist():
+                fresh[label[j]] = False
+                out.append((int(own[np.argmax(may[own, j])]), j))
+                todo.append(int(label[j]))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -207,15 +216,22 @@ def _across(doc: np.ndarray, n: np.ndarray, may: np.ndarray, component: np.ndarr
 
 
 def gram_fragments(docs: DataFrame, wanted: DataFrame, rule: Threshold, heavy: np.ndarray) -> DataFrame:
-    """doc_id, fragment, grams of the wanted texts: equal cuts of the order, and the frequent n-grams as the last."""
+    """doc_id, fragment, grams of the wanted texts: equal cuts of the order, and the frequent n-grams as the last.
+
+    A row with fragment -1 has no grams, but finer parity bits of the whole set.
+    """
     some = prefiltered(docs, wanted)[0].join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     cuts = (np.arange(1, rule.fragments, dtype=np.uint64)) * np.uint64((1 << 64) // rule.fragments)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, fragments, parts = [], [], []
+        ids, fragments, parts, bits = [], [], [], []
         keys = batch.column(0).to_pylist()
         for first, _, offsets, data in slabs(batch.column(1)):
             for k, grams in enumerate(shingle_sets(LOWER[data], offsets, NOT_SPACE, rule.size)):
+                ids.append(keys[first + k])
+                fragments.append(-1)
+                parts.append(grams[:0].view(np.int64))
+                bits.append(_parity(grams, FINE * len(grams)))
                 ordered, early = _ordered(grams, heavy)
                 edges = [0, *np.searchsorted(ordered[:early], cuts).tolist(), early, len(ordered)]
                 for f, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -223,15 +239,17 @@ def gram_fragments(docs: DataFrame, wanted: DataFrame, rule: Threshold, heavy: n
                         ids.append(keys[first + k])
                         fragments.append(f)
                         parts.append(ordered[a:b].view(np.int64))
+                        bits.append(None)
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), lists], ["doc_id", "fragment", "grams"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), lists, pa.array(bits, pa.binary())], ["doc_id", "fragment", "grams", "bits"])
 
-    return map_batches(some, run, "doc_id long, fragment int, grams array<long>")
+    return map_batches(some, run, "doc_id long, fragment int, grams array<long>, bits binary")
 
 
 def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """pairs with overlap: partial counts of each fragment, summed per pair."""
+    fragments = fragments.where("fragment >= 0")
     one = fragments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("left"))
     two = fragments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("right"))
     joined = pairs.join(one, "a").join(two, ["b", "fragment"])
@@ -239,6 +257,16 @@ def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
 
 
+def _over_components(pairs: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Few of the pairs that connect the components that all of them connect."""
+    left = parts.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    right = parts.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    named = pairs.join(left, "a", "left").join(right, "b", "left")
+    over = named.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"), F.struct(*pairs.columns).alias("pair"))
+    over = over.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.min("pair").alias("pair"))
+    return spanning_forest(scratch.keep(over), scratch).select("pair.*")
+
+
 def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     spark = docs.sparkSession
@@ -265,15 +293,23 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
     links = scratch.keep(count_overlaps(first, fragments).where(linked).select("a", "b"))
     parts = scratch.keep(connected_components(links, scratch))
 
-    # Second round: every pair left between different components.
-    again = shared.join(wanted, "doc_id", "left_semi").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = again.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    lists = again.join(split, "token", "left_semi").join(info, "doc_id")
-    second = scratch.keep(_list_pairs(lists, _across, rule).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    more = scratch.keep(count_overlaps(second, fragments).where(linked).select("a", "b"))
-    if not more.isEmpty():
-        parts = scratch.keep(connected_components(links.unionByName(more), scratch))
+    # Second round: the same over components, with finer bits. Third: every pair left between different components.
+    fine = fragments.where("fragment = -1").select("doc_id", "bits").join(info.select("doc_id", "n"), "doc_id")
+    tried = first.select("a", "b")
+    for pick in (_forest, _across):
+        again = shared.join(wanted, "doc_id", "left_semi").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        split = again.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+        lists = again.join(split, "token", "left_semi").join(fine, "doc_id")
+        pairs = scratch.keep(_list_pairs(lists, pick, rule))
+        if pick is _forest:
+            pairs = scratch.keep(_over_components(pairs, parts, scratch))
+        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = scratch.keep(count_overlaps(pairs, fragments).where(linked).select("a", "b"))
+        tried = tried.unionByName(pairs.select("a", "b"))
+        if not more.isEmpty():
+            links = scratch.keep(links.unionByName(more))
+            parts = scratch.keep(connected_components(links, scratch))
     named = members.join(parts.select(F.col("doc_id").alias("node"), "component"), "node", "left")
     done = scratch.keep(named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")))
-    scratch.drop(sets, members, shared, found, first, wanted, fragments, links, second, more)
+    scratch.drop(sets, members, shared, found, first, wanted, fragments)
     return done
