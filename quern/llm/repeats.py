@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 36
 #: Runs of one anchor that a worker compares at once.
 HOT_RUNS = 20_000
 #: Bytes of text for which hashes are held at once (a longer text is a slab of its own).
-SLAB = 1 << 20
+SLAB = 1 << 19
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -122,11 +122,13 @@ def _named_windows(docs: DataFrame, opened: DataFrame) -> DataFrame:
         spots = batch.column(2).to_pylist()
         keys = batch.column(0).to_pylist()
         for first, end, offsets, data in slabs(batch.column(1), SLAB):
-            sums = prefix_sums(data)
-            for k in range(end - first):
-                for spot in spots[first + k]:
-                    starts = np.arange(spot["low"], spot["low"] + spot["n"]) + offsets[k]
-                    out.append((spot["anchor"], spot["hot"], keys[first + k], spot["low"], names_by_doubling(sums, starts).tobytes()))
+            here = [(keys[first + k], int(offsets[k]), spot) for k in range(end - first) for spot in spots[first + k]]
+            count = np.array([spot["n"] for _, _, spot in here])
+            begin = np.array([at + spot["low"] for _, at, spot in here])
+            ends = np.cumsum(count)
+            names = names_by_doubling(prefix_sums(data), np.arange(int(ends[-1])) + np.repeat(begin - (ends - count), count)).tobytes()
+            stops = (8 * ends).tolist()
+            out += [(spot["anchor"], spot["hot"], key, spot["low"], names[stop - 8 * spot["n"] : stop]) for (key, _, spot), stop in zip(here, stops, strict=True)]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "hot", "doc_id", "low", "names"])
