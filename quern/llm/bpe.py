@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from quern.llm.common import map_batches, with_text
 
 #: Pieces kept in each of the two generations of a worker's memory.
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 120_000
 #: Characters of text whose pieces are gathered before a replay.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
