@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into NumPy arrays at once; one longer text is a slab of its own.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 #: Bits of the filter that spares most rows a shuffle (1 MB, whatever the input).
 FILTER_BITS = 1 << 23
 #: Rows of an Arrow batch; texts are a few KB, so a batch stays near 2 MB.
@@ -111,11 +111,12 @@ def prefiltered(rows: DataFrame, wanted: DataFrame, key: str = "doc_id", bits: i
     """rows that may have a key of wanted, and those that surely have none, by a bit filter of fixed size."""
     spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{key}` as long)), 64) as int))")
-    words = wanted.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias("quern_word"), bit.alias("bit"))
+    word, held = (next(n for k in range(10**9) if (n := f"quern_{name}{k or ''}") not in rows.columns) for name in ("word", "bits"))
+    words = wanted.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias(word), bit.alias("bit"))
     # At most bits / 64 rows (131,072 by default), and so safe to broadcast.
-    words = F.broadcast(words.groupBy("quern_word").agg(F.bit_or("bit").alias("quern_bits")))
-    marked = rows.withColumn("quern_word", F.shiftright(spot, 6)).join(words, "quern_word", "left")
-    hit = F.coalesce(F.col("quern_bits").bitwiseAND(bit) != 0, F.lit(False))
+    words = F.broadcast(words.groupBy(word).agg(F.bit_or("bit").alias(held)))
+    marked = rows.withColumn(word, F.shiftright(spot, 6)).join(words, word, "left")
+    hit = F.coalesce(F.col(held).bitwiseAND(bit) != 0, F.lit(False))
     return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bounded_batches, map_batches, prefiltered, slabs, with_text
+from quern.llm.common import Scratch, bounded_batches, give_back, map_batches, prefiltered, slabs, with_text
 from quern.llm.components import connected_components, spanning_forest
 from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets, spans, windows, word_hashes
 
@@ -65,18 +65,20 @@ def _heavy_buckets(docs: DataFrame, size: int) -> np.ndarray:
     """Hash buckets that hold far more n-grams than most, for the order only; any answer gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for _, _, offsets, data in slabs(batch.column(1)):
                 low = LOWER[data]
                 runs = windows(word_hashes(low, *spans(low, offsets, NOT_SPACE)), size)
-                counts += np.bincount((runs >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counts, (runs >> np.uint64(42)).astype(np.int64), 1)
         top = np.argpartition(counts, -HEAVY)[-HEAVY:]
         top = top[counts[top] > 8]
-        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(counts[top]), pa.array(np.full(len(top), counts.sum()))], ["bucket", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(counts[top])], ["bucket", "n"])
+        del counts, top
+        give_back()
 
     bounded_batches(docs.sparkSession)
-    found = docs.mapInArrow(run, "bucket long, n long, total long")
+    found = docs.mapInArrow(run, "bucket long, n long")
     rows = found.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(HEAVY).collect()
     if not rows:
         return np.zeros(0, np.uint64)
@@ -163,6 +165,7 @@ def _list_pairs(rows: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndar
             if found:
                 merged = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged.astype(np.int64)], names)
+        give_back()
 
     bounded_batches(rows.sparkSession)
     return lists.mapInArrow(run, "a long, b long, na long, nb long").where("a < b").distinct()

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ SEGMENT = 1024
 #: Ids that a block gathers before it is written.
 BLOCK_IDS = 1 << 16
 #: Chunks kept in each of the two generations of a worker's memory.
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 700_000
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, n_ids array<int>, words binary, offsets array<int>, escapes binary"
 
@@ -124,8 +125,17 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
-#: Composed letters of Latin-1 and a mark behind them: lower case is the same in any library, and the mark is a word of its own.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Composed letters of Latin-1, and marks of ASCII behind them: any library lowers them alike, and the marks are a word of their own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level models write bytes: printable ones stand for themselves, others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class ChunkCoder:
@@ -140,6 +150,7 @@ class ChunkCoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(raw.decode())
+        self.model = self.whole.model
         plan = json.loads(raw)
         first = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         parting = [t for t in plan.get("added_tokens", ()) if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
@@ -147,18 +158,17 @@ class ChunkCoder:
         self.chunked = bool(drops and parting and len(parting) == len(plan["added_tokens"]) and self._agrees(parting[0]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        #: Texts with a special token, or with control characters on which Python splits and the library may not.
-        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(re.escape(t["content"]) for t in plan.get("added_tokens", ())))
+        self.special = [t["content"] for t in plan.get("added_tokens", ())]
 
     def _agrees(self, parting: dict) -> bool:
         """Whether chunks give the ids of the whole on a text of many kinds."""
         self.part, self.part_id = parting["content"], parting["id"]
         text = "It's 'll x'd  A-b_c,\t12.5 \n\n Éß ñ 中文 «q»  z  w #$% ..a.. don't\r\ńe 'S 9a9 　."
         each = [i for c in text.split() for i in self.ids(c)]
-        words = "Word, ÉÀß. äÖ: x! Ñ? THE; a".split()
-        marks = self.ids("!")
-        self.mark_id = marks[0]
-        self.plain = len(marks) == 1 and self.ids("a ! b") == [*self.ids("a"), marks[0], *self.ids("b")] and all(self.ids(c) == self.ids(m[1].lower()) + (self.ids(m[2]) if m[2] else []) for c in words if (m := _PLAIN.fullmatch(c)))
+        words = "Word, ÉÀß. äÖ: x! Ñ?? THE;-) a the### ñandú$$$ ÿ øre!! unsichtbarkeiten".split()
+        self.letters = _byte_letters()
+        parts = [(c, m[1].lower(), m[2]) for c in words if (m := _PLAIN.fullmatch(c))]
+        self.plain = all(self.ids(c) == [*self.model_ids(w), *(self.ids(m) if m else ())] for c, w, m in parts)
         return each == self.ids(text) and self.ids(self.part.join(("a", "b"))) == [*self.ids("a"), self.part_id, *self.ids("b")]
 
     def ids(self, text: str) -> list[int]:
@@ -173,14 +183,17 @@ class ChunkCoder:
         self.young.update(zip(chunks, (packed[4 * x : 4 * y] for x, y in zip(starts, ends, strict=True)), strict=True))
 
     def _fresh(self, chunks: list[str], words: list[str] = ()) -> None:
-        """Encode new chunks, parted by a special token; words of letters alone, parted by a mark, which is quicker."""
+        """Encode new chunks, parted by a special token; words of letters alone go to the model, which is quicker."""
         for a in range(0, len(chunks), 2000):
             some = chunks[a : a + 2000]
             self._keep(some, self.ids(self.part.join(some)), self.part_id)
-        runs = [words[a : a + 60] for a in range(0, len(words), 60)]
-        coded = self.whole.encode_batch_fast([" ! ".join(run) for run in runs], add_special_tokens=False)
-        for run, code in zip(runs, coded, strict=True):
-            self._keep(run, code.ids, self.mark_id)
+        for word in words:
+            self.young[word] = struct.pack(f"<{len(ids := self.model_ids(word))}I", *ids)
+
+    def model_ids(self, word: str) -> list[int]:
+        """Ids of a word of letters in lower case, by the library's model alone."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(written)]
 
     def _learn(self, chunks: set[str]) -> None:
         """Ids of new chunks; those of a plain word come from the word in lower case and the mark."""
@@ -210,15 +223,15 @@ class ChunkCoder:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if not self.chunked:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        odd = [bool(self.odd.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        odd = [any(w in t for w in self.special) or bool(_CONTROL.search(t)) for t in texts]
+        # Lower case first where that is the library's, for fewer chunks to know.
+        split = [[] if o else (t if not self.plain or _NOT_PLAIN.search(t) else t.lower()).split() for t, o in zip(texts, odd, strict=True)]
         if len(self.young) > MEMORY_CHUNKS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         missing = set().union(*split).difference(young)
-        known = missing & old.keys() if old else ()
-        for chunk in known:
-            young[chunk] = old[chunk]
+        known = missing.intersection(old)
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
         self._learn(missing.difference(known))
         get = young.__getitem__
         return [np.array(self.ids(t), "<u4").tobytes() if o else b"".join(map(get, s)) for t, o, s in zip(texts, odd, split, strict=True)]

@@ -1,0 +1,387 @@
+"""Edge cases and brute-force comparisons of the training-data operators."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quern.llm import bpe, chat, cnn, components, decontam, jaccard, licenses, pii, quality, repeats, simple8b
+from quern.llm.common import Scratch, prefiltered, without_ids
+from tests.llm import cases
+
+ROWS = cases.odd_rows()
+BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Odd rows with columns whose names operators use inside."""
+    return cases.clashing(cases.frame(spark, ROWS)).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return cases.frame(spark, []).limit(0)
+
+
+# -- 1: pseudonyms
+
+
+def test_feistel_is_a_permutation_for_any_size():
+    cipher = pii.Feistel(b"k")
+    for n in (1, 2, 3, 10, 97, 1000):
+        image = [cipher.permute("t", x, n) for x in range(n)]
+        assert sorted(image) == list(range(n))
+        assert [cipher.permute("t", y, n, inverse=True) for y in image] == list(range(n))
+
+
+def test_pseudonyms_keep_formats_and_links():
+    names = pii.Pseudonyms(b"k")
+    one, found = names.replace("card 4111111111111111, mail a.b7@mail7.example.com, ip 97.51.17.173, iban DE89370400440532013000, on 2020-02-29")
+    assert found == {"number": 1, "email": 1, "ip": 1, "iban": 1, "date": 1}
+    card, address, iban, day = (re.search(p, one)[0] for p in (r"\d{16}", r"\S+@\S+\.com", r"DE\d{20}", r"\d{4}-\d\d-\d\d"))
+    assert card != "4111111111111111" and pii.luhn_digit(card[:-1]) == card[-1]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"[a-z]\.[a-z]\d@[a-z]{4}\d\.[a-z]{7}\.com", address) and "a.b7@mail7" not in one
+    # The same value elsewhere, in another layout of digits, has the same pseudonym.
+    assert names.replace("4111-1111-1111-1111")[0].replace("-", "") == card
+    assert pii.Pseudonyms(b"other").replace("4111111111111111")[0] != card and day != "2020-02-29"
+
+
+def test_what_only_looks_private_stays():
+    names = pii.Pseudonyms(b"k")
+    for text in ("9807915762804491", "999.1.1.300", "2020-13-45", "CC BY-NC 4.0. Version 2.0", "key: value", "DE00370400440532013000", "000-12-3456"):
+        assert names.replace(text) == (text, {}), text
+    two = names.replace("4111111111111111 5500005555555559")
+    assert two[1] == {"number": 2}
+
+
+def test_month_first_dates_stay_readable():
+    names = pii.Pseudonyms(b"k")
+    for k in range(13, 29):
+        new = names.replace(f"12/{k}/1999")[0]
+        assert int(new.split("/")[0]) <= 12 and int(new.split("/")[1]) > 12
+
+
+def test_pseudonymise_table(spark, docs, none):
+    got = pii.pseudonymise(docs)
+    assert got.columns == docs.drop("pii_counts").columns + ["pii_counts"]
+    assert {r.doc_id: r.text for r in got.collect()} == dict(ROWS)
+    assert got.where("doc_id = 0").first().pii_counts == {}
+    assert pii.pseudonymise(none).count() == 0
+    hits = cases.frame(spark, [(k, "ip 97.51.17.173 password=b7db7aa4a5fcc783") for k in range(50)])
+    assert len({r.text for r in pii.pseudonymise(hits).collect()}) == 1
+
+
+# -- 2: quality rules
+
+
+def plain_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    count = Counter(windows)
+    covered = {p for k, w in enumerate(windows) if count[w] > 1 for p in (k, k + 1, k + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n)
+
+
+def test_quality_counts(docs, none):
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_rules(docs).collect()}
+    assert got == {i: plain_quality(t) for i, t in ROWS}
+    assert quality.quality_rules(none).count() == 0
+
+
+def test_quality_verdicts(spark):
+    clean = " ".join(f"the word{k} of" for k in range(40))
+    texts = [clean, clean.replace("the", "th#").replace("of", "o|f"), " ".join(f"word{k}" for k in range(80)), "\n".join([clean, *["same line"] * 50])]
+    got = {r.doc_id: (r.kept, r.failed_rules) for r in quality.quality_rules(cases.frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == (True, []) and got[1][0] is False and "symbol_ratio" in got[1][1] and "stop_words" in got[2][1] and "dup_lines" in got[3][1]
+
+
+# -- 3: licences
+
+
+def scan(text):
+    return licenses.compile_all().scan(text.lower().encode())
+
+
+@pytest.mark.parametrize(("text", "base", "labels"), [
+    ("Released under the MIT License.", ["mit"], {"mit"}), ("Licensed under the Apache License, Version 2.0.", ["apache-2"], {"apache-2"}),
+    ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"], {"cc-by-nc"}), ("This work is licensed under the GNU General Public License, version 3.", [], {"gpl"}),
+    ("distributed under the terms of the MIT open source licence", [], {"mit"}), ("released under the MITT license", [], set()),
+    ("Copyright (c) 2020 by Some Body. All rights reserved.", [], {"all-rights-reserved"}), ("", [], set()),
+])
+def test_templates(text, base, labels):
+    found, extra, score = scan(text)
+    assert [x[0] for x in found] == base and {x[0] for x in (*found, *extra)} == labels and (score > 0) == bool(labels)
+
+
+def test_all_places_count_and_words_must_be_whole(spark, docs, none):
+    texts = ["x under the MIT license y under the\n mit  license", "undery the mit license", "q " * 30000 + "cc-by-nc", None]
+    got = {r.doc_id: tuple(r)[1:6] for r in licenses.scan_licenses(cases.frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == (10, 2, 1, 6, "mit") and got[1][1:4] == (0, None, None) and got[2] == (30003, 1, 30000, 30000, "cc-by-nc") and got[3] == (0, 0, None, None, "")
+    assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(none).count() == 0
+
+
+def test_bounded_gap():
+    template = licenses.compile_template("x", 0.5, "begin <<var:2>> end")
+    words = lambda s: s.encode().split()
+    assert template.match(words("begin end"), 0) == 2 and template.match(words("begin a b end"), 0) == 4 and template.match(words("begin a b c end"), 0) == -1
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.compile_template("x", 0.5, "<<opt>> a <</opt>>")
+
+
+# -- 4: token files
+
+
+@pytest.mark.parametrize("high", [1, 2, 300, 49408, 1 << 20, (1 << 30) - 1, 1 << 30, (1 << 32) - 1])
+def test_simple8b_round_trip(high):
+    rng = np.random.default_rng(high)
+    for n in (0, 1, 2, 5, 1000, 1024, 1025, 5000):
+        values = rng.integers(0, high, n, dtype=np.uint64, endpoint=True).astype("<u4")
+        values[10:400] = 0
+        words, offsets, escapes = simple8b.pack(values)
+        assert (simple8b.unpack(words, escapes) == values).all()
+        # Each segment is unpacked by itself from its offset.
+        for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+            part = values[k * simple8b.SEGMENT : (k + 1) * simple8b.SEGMENT]
+            before = int((values[: k * simple8b.SEGMENT] >= simple8b.ESCAPE).sum())
+            assert (simple8b.unpack(words[a:b], escapes[before : before + int((part >= simple8b.ESCAPE).sum())]) == part).all()
+
+
+def test_chunk_coder_equals_the_library():
+    rng = random.Random(1)
+    whole, coder = Tokenizer.from_file(WORDS), simple8b.ChunkCoder(open(WORDS, "rb").read())
+    pieces = ["a", "b", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "é", "ß", "İ", "中", "😀", "́", "'s", "'LL", "1", "²", "_", "!", "the", " ", "　", "<|endoftext|>", "\0", "Σ", "ΑΣ", "É", "e.", "x,#"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    assert coder.chunked and [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    whole = Tokenizer.from_file(WORDS)
+    simple8b.write_ids(docs, WORDS, f"file://{tmp_path}/a", 2)
+    got = {r.doc_id: (r.start, r.n_ids, bytes(r.ids)) for r in simple8b.read_ids(spark, f"file://{tmp_path}/a").collect()}
+    crc = {r.doc_id: r.crc for r in simple8b.read_digests(spark, f"file://{tmp_path}/a").collect()}
+    start = 0
+    for i, text in sorted(ROWS):
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (start, len(ids), ids.tobytes()) and crc[i] == zlib.crc32(ids.tobytes())
+        start += len(ids)
+    assert len(got) == len(ROWS)
+    simple8b.write_ids(none, WORDS, f"file://{tmp_path}/b", 2)
+    assert simple8b.read_ids(spark, f"file://{tmp_path}/b").count() == 0
+
+
+# -- 5: byte-level BPE
+
+
+def test_merge_replay_equals_tiktoken():
+    ranks = bpe.load_ranks(open(BPE, "rb").read())
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    pieces = ["a", "b", " ", "  ", "\n", "\x1c", "\x85", "é", "中", "😀", "́", "'s", "'LL", "1", "²", "_", "!", "aaaa", "abab", "the", " the", "ing", "\0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(2000)), "a" * 3000, " " * 2000]
+    coder = bpe.MergeReplay(ranks, public_tokenizers.PATTERN)
+    coded = coder.encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in coded] == [known.encode_ordinary(t) for t in texts]
+    assert [coder.decode(b) for b in coded] == [t.encode() for t in texts]
+
+
+def test_replay_with_merges_out_of_rank_order():
+    """Ranks of which a later merge makes a pair of a lower rank, against merging each piece by itself."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 301, b"cd": 299, b"abcd": 298, b"aa": 302, b"aab": 297}
+    coder, known = bpe.MergeReplay(ranks, r"\S+|\s+"), tiktoken.Encoding("x", pat_str=r"\S+|\s+", mergeable_ranks=ranks | {bytes([0, 1, k]): 303 + k for k in range(2)}, special_tokens={})
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [known.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_tables(docs, none):
+    coded = bpe.decode(bpe.encode(docs, BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.decoded) for r in coded.collect()} == {i: (t or "").encode() for i, t in ROWS}
+    assert bpe.encode(none, BPE, public_tokenizers.PATTERN).count() == 0
+
+
+# -- 6: decontamination
+
+
+def test_leaks_equal_trying_every_window(spark, docs, none):
+    passage = dict(ROWS)[60].split("\n")[1].split()
+    items = [(1, " ".join(passage[5:40])), (2, " ".join(passage)), (3, "One, two!"), (4, None), (5, ""), (6, " ".join(passage[10:30] + ["other", "words", "here"])), (7, "nothing like it in any of them")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("hamming", F.lit(1))
+    got = decontam.find_leaks(docs, bench)
+    found = {(r.doc_id, r.item_id): (r.first_word, r.similarity) for r in got.collect()}
+    assert found == cases.leaks([r for r in ROWS if r[0] not in (8, 9, 10)], items) and len(found) > 20
+    blocks = decontam.find_leaks(docs, bench, block_bytes=200)
+    assert {(r.doc_id, r.item_id): (r.first_word, r.similarity) for r in blocks.collect()} == found
+    assert decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_multi_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    index = decontam.Index.build([(1, " ".join(f"w{k}" for k in range(30)))])
+    own = index.prints[30][0]
+    for flips in (0, 1, decontam.RADIUS - 1, decontam.RADIUS, decontam.RADIUS + 1):
+        bits = own.copy()
+        bits[rng.permutation(decontam.BITS)[:flips]] ^= 1
+        assert bool(index.near(30, bits[None] * 2 - 1)) == (flips <= decontam.RADIUS)
+
+
+# -- 7: repeated strings
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT_RUNS, 2])
+def test_repeats_equal_a_set_of_strings(docs, none, hot):
+    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in repeats.remove_repeats(docs, hot_runs=hot).collect()}
+    assert got == cases.without_repeats(ROWS)
+    assert repeats.remove_repeats(none).count() == 0
+
+
+# -- 8: classifier
+
+
+def junk(rng):
+    w = "".join(rng.choice("abcdefgh") for _ in range(5))
+    return f"{w} " * 80 if rng.random() < 0.5 else " ".join(f"{w}{k}###" for k in range(60))
+
+
+def prose(rng):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(5, 200)))
+
+
+def test_classifier(spark, docs, none):
+    rng = random.Random(4)
+    rows = [(k, junk(rng) if k % 5 == 1 else prose(rng)) for k in range(700)]
+    labels = spark.createDataFrame([(k, int(k % 5 != 1)) for k, _ in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    table = cases.frame(spark, rows)
+    net = cnn.fit_from_labels(table, labels, sample_rows=400)
+    scored = cnn.score_quality(table, net).withColumn("held", cnn.held_out(F.col("doc_id"))).collect()
+    assert all(r.held == cases.held_out(r.doc_id) for r in scored)
+    test = [r for r in scored if r.held]
+    assert sum(r.predicted == int(r.doc_id % 5 != 1) for r in test) / len(test) > 0.95
+    odd = {r.doc_id: r.score for r in cnn.score_quality(docs, net).collect()}
+    assert len(odd) == len(ROWS) and all(0 <= s <= 1 for s in odd.values()) and odd[0] == odd[1] and odd[8] == odd[9]
+    kept = cnn.keep_quality(docs, net)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in odd.items() if s >= 0.3}
+    assert cnn.score_quality(none, net).count() == 0
+    assert [r.score for r in cnn.score_quality(table.limit(2), cnn.fit_from_labels(table, labels.limit(0))).collect()] == [0.5, 0.5]
+
+
+def test_held_out_labels_do_not_matter(spark):
+    rng = random.Random(4)
+    rows = [(k, junk(rng) if k % 5 == 1 else prose(rng)) for k in range(120)]
+    labels = lambda flip: spark.createDataFrame([(k, int(k % 5 != 1) ^ (flip and cases.held_out(k))) for k, _ in rows], "doc_id long, quality int")
+    nets = [cnn.fit_from_labels(cases.frame(spark, rows), labels(flip)) for flip in (False, True)]
+    assert all((a == b).all() for a, b in zip(nets[0].arrays(), nets[1].arrays(), strict=True))
+
+
+def test_score_does_not_depend_on_neighbours():
+    net = cnn.Network.fresh()
+    texts = [b"abc", b"", b"x" * 5000, "é".encode() * 300]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([0, *map(len, texts)])
+    together = cnn.logits(net, net.pairs(), ends, flat)
+    alone = [cnn.logits(net, net.pairs(), np.array([0, len(t)]), np.frombuffer(t, np.uint8))[0] for t in texts]
+    assert np.allclose(together, alone, atol=1e-5)
+
+
+# -- 9: quotations
+
+CHAT = [
+    (1, 0, "user", "How do I install the tool?\nIt fails on my box."), (1, 1, "assistant", "Run the setup script first."), (1, 2, "user", "Another topic: what is the price?"),
+    (1, 3, "assistant", "On Monday, Ann wrote:\n> How do I install the tool?\n> It fails on my box.\nTry again with sudo."), (1, 4, "user", "> > How do I install the tool?\n> Try again  WITH sudo.\nWorks, thanks."),
+    (2, 0, "user", "> Another topic: what is the price?\nI ask too."), (2, 1, "assistant", "> nothing like this anywhere\nHm."), (2, 1, "assistant", "> nothing like this anywhere\nHm."),
+    (3, 0, "user", None), (3, 1, None, ""), (None, 1, "user", "x"), (4, None, "user", "x"),
+]
+
+
+def test_quotations(spark):
+    rows = cases.clashing(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"))
+    got = chat.format_chats(rows)
+    found = {(r.conv_id, r.turn): (r.place, r.thread, r.reply_to, r.cites_conv, r.n_quotes, r.n_linked, r.text) for r in got.collect()}
+    assert found == {
+        (1, 0): (0, 0, None, None, 0, 0, "How do I install the tool?\nIt fails on my box."), (1, 3): (1, 0, 0, 1, 1, 1, "Try again with sudo."),
+        (1, 4): (2, 0, 3, 1, 2, 2, "Works, thanks."), (1, 1): (3, 1, None, None, 0, 0, "Run the setup script first."), (1, 2): (4, 2, None, None, 0, 0, "Another topic: what is the price?"),
+        (2, 0): (0, 0, None, 1, 1, 1, "I ask too."), (2, 1): (1, 1, None, None, 1, 0, "Hm."), (3, 0): (0, 0, None, None, 0, 0, ""), (3, 1): (1, 1, None, None, 0, 0, ""),
+    }
+    assert chat.format_chats(rows.limit(0)).count() == 0
+
+
+def test_long_reply_chain_stays_in_order(spark):
+    rows = [(1, k, "user", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(60)] + [(1, 60 + k, "user", f"aside number {k}") for k in range(5)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).orderBy("place").collect()
+    assert [r.turn for r in got] == list(range(65)) and [r.place for r in got] == list(range(65))
+    assert all(r.thread == 0 and r.reply_to == (r.turn - 1 if r.turn else None) for r in got[:60]) and all(r.thread == r.turn for r in got[60:])
+
+
+# -- 10: Jaccard join
+
+
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
+def test_components_equal_comparing_all(docs, none, size, percent):
+    rule = jaccard.Threshold(size, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, rule).collect()}
+    assert got == cases.components(ROWS, size, percent)
+    assert jaccard.jaccard_components(none, rule).count() == 0
+
+
+def test_frequent_lists_are_split(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(cases.frame(spark, rows)).collect()}
+    assert got == cases.components(rows)
+
+
+def test_connected_components_and_forest(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(70)]
+    root = {x: x for pair in links for x in pair}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame([(min(p), max(p)) for p in links if p[0] != p[1]], "a long, b long").repartition(5)
+    expected = {x: top(x) for p in links if p[0] != p[1] for x in p}
+    assert {r.doc_id: r.component for r in components.connected_components(table, Scratch(spark, "t")).collect()} == expected
+    few = components.spanning_forest(table.distinct(), Scratch(spark, "t"))
+    assert few.count() == len(expected) - len(set(expected.values()))
+    assert {r.doc_id: r.component for r in components.connected_components(few, Scratch(spark, "t")).collect()} == expected
+
+
+# -- shared
+
+
+def test_bit_filter_loses_nothing(spark, docs):
+    wanted = docs.where("doc_id % 3 = 0").select("doc_id")
+    maybe, surely = prefiltered(docs, wanted)
+    assert maybe.columns == docs.columns and {r.doc_id for r in maybe.collect()} >= {i for i, _ in ROWS if i % 3 == 0}
+    assert maybe.count() + surely.count() == len(ROWS) and surely.where("doc_id % 3 = 0").count() == 0
+    left = without_ids(docs, wanted)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in ROWS if i % 3}
+    assert {r.quern_word for r in left.collect()} == {"own"}
