@@ -73,7 +73,7 @@ def _heavy_buckets(docs: DataFrame, size: int) -> np.ndarray:
                 np.add.at(counts, (runs >> np.uint64(42)).astype(np.int64), 1)
         top = np.argpartition(counts, -HEAVY)[-HEAVY:]
         top = top[counts[top] > 8]
-        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(counts[top])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(counts[top].astype(np.int64))], ["bucket", "n"])
         del counts, top
         give_back()
 
