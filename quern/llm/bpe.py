@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from quern.llm.common import map_batches, with_text
 
 #: Pieces kept in each of the two generations of a worker's memory.
-MEMORY_PIECES = 120_000
+MEMORY_PIECES = 60_000
 #: Characters of text whose pieces are gathered before a replay.
 BLOCK_CHARS = 1 << 20
 
@@ -174,27 +174,44 @@ def _vocabulary(docs: DataFrame, path: str):  # noqa: ANN202
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _encoded(coder: MergeReplay, texts: pa.Array) -> list[bytes]:
+    """Ids per text, in blocks of bounded size."""
+    out: list[bytes] = []
+    block: list[str] = []
+    size = 0
+    for t in texts.to_pylist():
+        block.append(t or "")
+        size += len(block[-1])
+        if size >= BLOCK_CHARS:
+            out += coder.encode(block)
+            block, size = [], 0
+    return out + coder.encode(block)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of the whole text by the ranks in the file."""
     sent = _vocabulary(docs, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = _coder(sent.value, pattern)
-        out: list[bytes] = []
-        block: list[str] = []
-        size = 0
-        for t in batch.column(1).to_pylist():
-            block.append(t or "")
-            size += len(block[-1])
-            if size >= BLOCK_CHARS:
-                out += coder.encode(block)
-                block, size = [], 0
-        out += coder.encode(block)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+        ids = _encoded(_coder(sent.value, pattern), batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_batches(with_text(docs, key, text), run, "doc_id long, ids binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As encode and then decode, in one pass over a worker."""
+    sent = _vocabulary(docs, path)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = _coder(sent.value, pattern)
+        ids = _encoded(coder, batch.column(1))
+        back = [coder.decode(x) for x in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return map_batches(with_text(docs, key, text), run, "doc_id long, ids binary, decoded binary")
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and decoded (the bytes of the ids' tokens, one after another)."""
     sent = _vocabulary(encoded, path)

@@ -49,7 +49,7 @@ def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path, pattern), path, pattern)
+    decoded = bpe.round_trip(documents(spark, sf_dir), path, pattern)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

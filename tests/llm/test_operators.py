@@ -213,6 +213,8 @@ def test_replay_with_merges_out_of_rank_order():
 def test_bpe_tables(docs, none):
     coded = bpe.decode(bpe.encode(docs, BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN)
     assert {r.doc_id: bytes(r.decoded) for r in coded.collect()} == {i: (t or "").encode() for i, t in ROWS}
+    once = bpe.round_trip(docs, BPE, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, coded.collect()))
     assert bpe.encode(none, BPE, public_tokenizers.PATTERN).count() == 0
 
 
