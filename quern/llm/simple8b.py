@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ SEGMENT = 1024
 #: Ids that a block gathers before it is written.
 BLOCK_IDS = 1 << 16
 #: Chunks kept in each of the two generations of a worker's memory.
-MEMORY_CHUNKS = 700_000
+MEMORY_CHUNKS = 500_000
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, n_ids array<int>, words binary, offsets array<int>, escapes binary"
 
@@ -203,6 +204,9 @@ class ChunkCoder:
         young, old, whole, made = self.young, self.old, [], []
         words: set[str] = set()
         for chunk in chunks:
+            if chunk.isalpha() and chunk.isascii() and chunk.islower():
+                words.add(chunk)
+                continue
             m = _PLAIN.fullmatch(chunk)
             if m is None:
                 whole.append(chunk)
@@ -229,7 +233,7 @@ class ChunkCoder:
         if len(self.young) > MEMORY_CHUNKS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = set().union(*split).difference(young)
+        missing = set(filterfalse(young.__contains__, chain.from_iterable(split)))
         known = missing.intersection(old)
         young.update(zip(known, map(old.__getitem__, known), strict=True))
         self._learn(missing.difference(known))
