@@ -94,8 +94,8 @@ _PREFIX = dict(zip(RANKERS, ("se", "ce", "le", "bm"), strict=True))
 
 
 def fused(c: str, q: str, k: int = 10, t: str = "") -> str:
-    tagged = " UNION ALL ".join(f"SELECT question_id, item_id, '{n}' AS by, rank, score FROM {t}{p}r" for n, p in _PREFIX.items())
-    ranks = ", ".join(f"max(CASE WHEN by = '{n}' THEN rank END) AS {n}_rank, max(CASE WHEN by = '{n}' THEN score END) AS {n}_score" for n in RANKERS)
+    tagged = " UNION ALL ".join(f"SELECT question_id, item_id, '{n}' AS ranker, rank, score FROM {t}{p}r" for n, p in _PREFIX.items())
+    ranks = ", ".join(f"max(CASE WHEN ranker = '{n}' THEN rank END) AS {n}_rank, max(CASE WHEN ranker = '{n}' THEN score END) AS {n}_score" for n in RANKERS)
     rrf = " + ".join(f"coalesce(1.0::DOUBLE / (60 + {n}_rank), 0)" for n in RANKERS)
     return f"""{four(c, q, k, t)}, tagged AS ({tagged}),
 wide AS (SELECT question_id, item_id, {ranks}, count(*)::INT AS strategies, min(rank) AS best_rank FROM tagged GROUP BY question_id, item_id),
@@ -194,9 +194,9 @@ SQL: dict[str, str] = {
     "semantic_decision": f"WITH {VEC}, {cosine('vec_c', 'vec_q', 'x')}, {ranked('xs', 'vec_c', 'x', 2)}, {runner_up('xr', 'x')} SELECT question_id, item_id, round(score, 6) AS score, round(margin, 6) AS margin, CASE WHEN round(score, 9) < 0.88 THEN 'NoMatch' WHEN round(margin, 9) < 0.05 THEN 'Ambiguous' ELSE 'Confident' END AS decision FROM x2",
     "no_match_gate": f"WITH {MIX}, {fused('mix_c', 'mix_q')} SELECT question_id, round(coalesce(max(semantic_score), 0), 6) AS best_score, CASE WHEN round(coalesce(max(semantic_score), 0), 9) < 0.875 THEN 'NoMatch' ELSE 'InDomain' END AS decision FROM ev GROUP BY question_id",
     "ambiguity_evidence": f"WITH {MIX}, {four('mix_c', 'mix_q', 2)}, {', '.join(runner_up(p + 'r', p) for p in _PREFIX.values())}, t AS ("
-    + " UNION ALL ".join(f"SELECT question_id, '{n}' AS by, item_id, margin FROM {p}2" for n, p in _PREFIX.items())
+    + " UNION ALL ".join(f"SELECT question_id, '{n}' AS ranker, item_id, margin FROM {p}2" for n, p in _PREFIX.items())
     + "), v AS (SELECT question_id, max(c)::INT AS agreement FROM (SELECT question_id, item_id, count(*) AS c FROM t GROUP BY question_id, item_id) GROUP BY question_id), w AS (SELECT question_id, "
-    + ", ".join(f"max(CASE WHEN by = '{n}' THEN item_id END) AS {n}_item_id, round(max(CASE WHEN by = '{n}' THEN margin END), 6) AS {n}_margin" for n in RANKERS)
+    + ", ".join(f"max(CASE WHEN ranker = '{n}' THEN item_id END) AS {n}_item_id, round(max(CASE WHEN ranker = '{n}' THEN margin END), 6) AS {n}_margin" for n in RANKERS)
     + ", count(*)::INT AS active FROM t GROUP BY question_id) SELECT * FROM w JOIN v USING (question_id) WHERE semantic_item_id IS NOT NULL",
     "intent_sets": f"WITH {MIX}, {fused('mix_c', 'mix_q')}, s AS (SELECT question_id, item_id, place, best_rank, "
     + " + ".join(f"coalesce(({r}_rank = 1)::INT, 0)" for r in RANKERS) + " AS top1, " + " + ".join(f"coalesce(({r}_rank <= 2)::INT, 0)" for r in RANKERS)
