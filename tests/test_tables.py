@@ -120,18 +120,6 @@ def test_windows_batch_and_stream(spark, tmp_path):
     assert [(r.n, r.rejected) for r in spark.table("rejected").collect()] == [(5, 2)]
 
 
-def test_response_memory(spark, tmp_path):
-    schema = "key string, version long, reply string"
-    spark.createDataFrame([("k", 1, "a")], schema).coalesce(1).write.parquet(f"{tmp_path}/m")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/m")
-    run = changes.remember(stream).writeStream.outputMode("append").format("memory").queryName("memory_hits").start()
-    run.processAllAvailable()
-    spark.createDataFrame([("k", 1, "b"), ("k", 2, "c"), ("k", 1, "d")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
-    run.processAllAvailable()
-    run.stop()
-    assert sorted((r.version, r.reply, r.hit) for r in spark.table("memory_hits").collect()) == [(1, "a", False), (1, "a", True), (1, "d", False), (2, "c", False)]
-
-
 def test_json_items(spark, tmp_path):
     path = tmp_path / "items.json"
     path.write_text(json.dumps([{"ID": "1", "Question": "q", "answer": "a", "AlternativeQuestions": ["x"]}]))
