@@ -6,19 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields
-
-
-def descendants(nodes: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
-    """id, root_id, distance of everything below the roots, level by level until nothing is left."""
-    spark, view = nodes.sparkSession, f"quern_nodes_{id(nodes)}"
-    nodes.select("id", "parent_id").createOrReplaceTempView(view)
-    roots.select("id").createOrReplaceTempView(f"{view}_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE below MAX RECURSION LEVEL {depth} AS (
-          SELECT id, id AS root_id, 0 AS distance FROM {view}_roots
-          UNION ALL
-          SELECT n.id, b.root_id, b.distance + 1 FROM below b JOIN {view} n ON n.parent_id = b.id)
-        SELECT id, root_id, distance FROM below WHERE distance > 0""")
+from quern.sources.tables import kept, shared_path
+
+
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, root_id, distance of everything below the roots, level by level until nothing is left.
+
+    Each level is a table in the shared folder, so neither rows nor levels are bounded. A circle, which
+    has no last level, raises.
+    """
+    spark, base = nodes.sparkSession, shared_path(nodes.sparkSession, "tree")
+    links = kept(nodes.select(F.col("id").alias("below"), F.col("parent_id").alias("id")).where("id is not null"), f"{base}/links")
+    most = links.count()
+    level = roots.select("id", F.col("id").alias("root_id"), F.lit(0).alias("distance"))
+    paths: list[str] = []
+    while True:
+        paths.append(f"{base}/{len(paths) + 1}")
+        level = kept(level.join(links, "id").select(F.col("below").alias("id"), "root_id", F.lit(len(paths)).alias("distance")), paths[-1])
+        if level.isEmpty():
+            return spark.read.schema(level.schema).parquet(*paths)
+        # A way down that meets no page twice is no longer than there are links.
+        if len(paths) > most or not level.where("id = root_id").isEmpty():
+            raise ValueError("the pages below a root form a circle")
 
 
 def latest(nodes: DataFrame, kind: str, take: int = 3) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,21 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder that the cluster names; in a folder of our own only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="quern-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/quern-{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df from a table written to the path, which cuts its lineage."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_items(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """Items of a JSON array; property names in any case. Another number of items than expected raises."""
     raw = spark.read.option("multiLine", True).json(path)

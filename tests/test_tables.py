@@ -81,6 +81,23 @@ def test_content(spark):
     assert value(spark, content.media_or(F.array(F.lit(" ")), ["f"])) == ["f"]
 
 
+def test_descendants_have_no_row_or_depth_limit(spark):
+    links = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 21)] + [(f"x{k}", "n20") for k in range(50)]
+    tree = spark.createDataFrame(links, "id string, parent_id string")
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        found = {r.id: (r.root_id, r.distance) for r in content.descendants(tree, tree.where("parent_id is null")).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert found == {f"n{k}": ("n0", k) for k in range(1, 21)} | {f"x{k}": ("n0", 21) for k in range(50)}
+    circle = spark.createDataFrame([("a", "b"), ("b", "a")], tree.schema)
+    with pytest.raises(ValueError, match="circle"):
+        content.descendants(circle, circle.where("id = 'a'"))
+    assert content.descendants(tree.limit(0), tree.limit(0)).count() == 0
+
+
 def test_index_store(spark, tmp_path):
     store = index_store.IndexStore(spark, f"file://{tmp_path}/index")
     assert store.version() == 0 and store.read() is None
