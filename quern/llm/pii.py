@@ -26,14 +26,16 @@ from pyspark.sql import types as T
 from quern.llm.common import map_batches
 
 ROUNDS = 10
-#: Pseudonyms kept in a worker's memory.
+#: Pseudonyms kept in a worker's memory, of values of one stretch at most.
 MEMORY_VALUES = 100_000
+#: Characters permuted as one number; longer secrets are permuted stretch by stretch, as one large number takes quadratic time.
+STRETCH = 512
 DEMO_KEY = b"quern demonstration key; pass your own"
 
 PATTERN = re.compile(
     r"""
-    (?P<secret>(?i:\b(?:token|api[_-]?key|secret|passwd|password|access[_-]?key|bearer)\b)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_\-+/.=~]{8,512}))
-  | (?P<known>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255})\b)
+    (?P<secret>(?i:\b(?:token|api[_-]?key|secret|passwd|password|access[_-]?key|bearer)\b)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_\-+/.=~]{8,}))
+  | (?P<known>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})\b)
   | (?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,255}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<date>(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d\-/]))
@@ -193,11 +195,33 @@ def email(cipher: Feistel, text: str) -> str:
     return f"{permute_text(cipher, 'email', head)}.{top}"
 
 
+def permute_long(cipher: Feistel, tag: str, text: str, letters: str = "") -> str:
+    """permute_text of a text of any length, in time linear in it.
+
+    Even stretches are permuted under a digest of those before them, and then from the end under a digest of
+    those behind them. Either way can be undone, so different texts stay different, and each character counts
+    for all.
+    """
+    n = -(-len(text) // STRETCH)
+    if n < 2:
+        return permute_text(cipher, tag, text, [letters] * len(text) if letters else None)
+    cuts = [k * len(text) // n for k in range(n + 1)]
+    parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for way, places in (("on", range(n)), ("back", reversed(range(n)))):
+        seen = blake2b(digest_size=32)
+        for k in places:
+            own = parts[k]
+            new = permute_text(cipher, f"{tag}:{way}:{n}:{k}:{seen.hexdigest()}", own, [letters] * len(own) if letters else None)
+            seen.update((own if way == "on" else new).encode())
+            parts[k] = new
+    return "".join(parts)
+
+
 def secret(cipher: Feistel, text: str) -> str:
     for letters in ("0123456789abcdef", "0123456789ABCDEF"):
         if len(text) >= 16 and set(text) <= set(letters):
-            return permute_text(cipher, "hex", text, [letters] * len(text))
-    return permute_text(cipher, "secret", text)
+            return permute_long(cipher, "hex", text, letters)
+    return permute_long(cipher, "secret", text)
 
 
 KINDS: dict[str, Callable[[Feistel, str], str | None]] = {
@@ -214,6 +238,8 @@ class Pseudonyms:
 
     def of(self, kind: str, value: str) -> str | None:
         """The pseudonym, or None for what only looks like a value of the kind."""
+        if len(value) > STRETCH:
+            return KINDS[kind](self.cipher, value)
         if (kind, value) not in self.memory:
             if len(self.memory) >= MEMORY_VALUES:
                 self.memory.clear()

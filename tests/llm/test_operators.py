@@ -74,6 +74,33 @@ def test_month_first_dates_stay_readable():
         assert int(new.split("/")[0]) <= 12 and int(new.split("/")[1]) > 12
 
 
+def test_long_secrets_are_replaced_whole():
+    names, rng = pii.Pseudonyms(b"k"), random.Random(6)
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    mixed, lower_hex = pii.DIGITS + pii.LOWER + pii.UPPER, "0123456789abcdef"
+    for head, kind, value in [
+        *(("token=", "secret", run(n, mixed)) for n in (512, 513, 803, 5000)), ("password: ", "secret", run(3000, lower_hex)),
+        ("x ghp_", "known", run(300, mixed)), ("x xoxb-", "known", run(700, mixed)),
+    ]:
+        new, found = names.replace(f"{head}{value} end")
+        assert found == {kind: 1} and new.endswith(" end") and len(new) == len(head) + len(value) + 4
+        own = new[-len(value) - 4 : -4]
+        assert all(own[k : k + 64] != value[k : k + 64] for k in range(0, len(value), 64))
+        assert set(own) <= set(lower_hex) if set(value) <= set(lower_hex) else pii._alphabets(own) == pii._alphabets(value)
+    assert names.replace("secret=" + "Ab1/" * 500_000)[0].count("Ab1/") < 100  # 2 MB in a few seconds
+
+
+def test_long_permutation_loses_nothing(monkeypatch):
+    monkeypatch.setattr(pii, "STRETCH", 1)
+    cipher = pii.Feistel(b"k")
+    assert len({pii.permute_long(cipher, "t", f"{k:03d}") for k in range(1000)}) == 1000
+    # A change of either end changes both.
+    monkeypatch.setattr(pii, "STRETCH", 512)
+    text = "a1" * 600
+    first, last, same = (pii.permute_long(cipher, "t", t) for t in ("b" + text[1:], text[:-1] + "2", text))
+    assert all(x[:300] != same[:300] and x[-300:] != same[-300:] for x in (first, last)) and same == pii.permute_long(cipher, "t", text)
+
+
 def test_pseudonymise_table(spark, docs, none):
     got = pii.pseudonymise(docs)
     assert got.columns == docs.drop("pii_counts").columns + ["pii_counts"]
