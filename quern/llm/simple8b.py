@@ -159,7 +159,9 @@ class ChunkCoder:
         self.chunked = bool(drops and parting and len(parting) == len(plan["added_tokens"]) and self._agrees(parting[0]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.special = [t["content"] for t in plan.get("added_tokens", ())]
+        special = [t["content"] for t in plan.get("added_tokens", ())]
+        self.low_special = [w for w in special if w == w.lower()]
+        self.special = [w for w in special if w != w.lower()]
 
     def _agrees(self, parting: dict) -> bool:
         """Whether chunks give the ids of the whole on a text of many kinds."""
@@ -227,9 +229,11 @@ class ChunkCoder:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if not self.chunked:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        odd = [any(w in t for w in self.special) or bool(_CONTROL.search(t)) for t in texts]
         # Lower case first where that is the library's, for fewer chunks to know.
-        split = [[] if o else (t if not self.plain or _NOT_PLAIN.search(t) else t.lower()).split() for t, o in zip(texts, odd, strict=True)]
+        read = [t if not self.plain or _NOT_PLAIN.search(t) else t.lower() for t in texts]
+        # A special token counts only as it is written, so lower case must not make one. One without capitals in a text is in its lower case too.
+        odd = [any(w in r for w in self.low_special) or any(w in t for w in self.special) or bool(_CONTROL.search(t)) for t, r in zip(texts, read, strict=True)]
+        split = [[] if o else r.split() for r, o in zip(read, odd, strict=True)]
         if len(self.young) > MEMORY_CHUNKS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old

@@ -197,6 +197,13 @@ def test_chunk_coder_equals_the_library():
     assert coder.chunked and [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_count_only_as_written():
+    whole, coder = Tokenizer.from_file(WORDS), simple8b.ChunkCoder(open(WORDS, "rb").read())
+    heads = ["<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>"]
+    texts = [t for h in heads for t in (h, f"a {h} b", f"A{h}b", f"É {h}", f"中 {h} x{h}", f"{h}{h.lower()}")]
+    assert coder.plain and [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, docs, none, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     simple8b.write_ids(docs, WORDS, f"file://{tmp_path}/a", 2)
