@@ -4,7 +4,8 @@ Lines that begin with ``>`` are quoted, as deep as they have such marks. Runs of
 form passages; a passage is normalised (marks and case removed, white space collapsed) and hashed.
 Originals are the passages that a message says itself, and its lines and whole body, so a reply
 that quotes a line, a paragraph or all of a message finds it. Each quote joins to the latest
-original before it in its conversation, or else to the first one anywhere. A reply belongs to the
+original before it in its conversation, or else to the first one anywhere. A line that announces a
+quote ("Ann wrote:") goes with it; one of such words without a quote behind it stays. A reply belongs to the
 thread of the message that its first linked quote cites; threads stand in the order of their
 first messages and messages in a thread by turn, which puts every reply after what it answers.
 
@@ -24,8 +25,12 @@ from quern.llm.common import Scratch
 
 #: Quote marks at the start of a line; spaces may stand between them.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Lines that only announce a quote.
-ATTRIBUTION = r"(?i)^\s*(?:on\s.{1,200}\s(?:wrote|said|writes)|.{1,120}\s(?:wrote|writes)|-{2,}\s*original message\s*-{2,})\s*:?\s*$"
+#: Own lines that only announce the quote which follows them, blank lines between; no other line of such words is one.
+ATTRIBUTION = r"(?idm)^(?![ \t]*>)[^\S\n]*(?:on[^\S\n].{1,200}[^\S\n](?:wrote|said|writes)|.{1,120}[^\S\n](?:wrote|writes))[^\S\n]*:?[^\S\n]*$(?=[ \t\n]*+>)"
+#: Own lines that announce all that follows them, if a quote does.
+ORIGINAL = r"(?idm)^[^\S\n]*-{2,}[^\S\n]*original message[^\S\n]*-{2,}[^\S\n]*:?[^\S\n]*$"
+#: All before the last quoted line.
+BEFORE_LAST_QUOTE = r"(?ds)^(.*\n)[ \t]*>"
 #: Shorter originals, such as a lone "yes", are no evidence of a reply.
 MIN_CHARS = 8
 
@@ -35,6 +40,13 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
 
 
+def _without_announcements(text: Column) -> Column:
+    """The text with each line that announces a quote as a blank quoted line, which is neither said nor quoted."""
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), ATTRIBUTION, ">")
+    head = F.regexp_extract(text, BEFORE_LAST_QUOTE, 1)
+    return F.concat(F.regexp_replace(head, ORIGINAL, ">"), F.substr(text, F.length(head) + 1))
+
+
 def parse_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, role, body (own lines), own (own passages) and quotes (depth, passage), normalised."""
     rows = messages.select(
@@ -43,7 +55,7 @@ def parse_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     ).where("conv_id is not null and turn is not null")
     one = rows.groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "text"), F.struct("role", "text")).alias("m"))
     lines = F.transform(
-        F.split("m.text", "\r?\n", -1),
+        F.split(_without_announcements(F.col("m.text")), "\n", -1),
         lambda s: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(s, MARKS, 1), r"[ \t]", "")).alias("depth"),
             F.regexp_replace(s, MARKS, "").alias("line"),
@@ -52,7 +64,7 @@ def parse_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     marked = one.select("conv_id", "turn", F.col("m.role").alias("role"), lines.alias("lines"))
     spoken = marked.select(
         "conv_id", "turn", "role", "lines",
-        F.filter("lines", lambda s: (s["depth"] == 0) & ~s["line"].rlike(ATTRIBUTION)).alias("own_lines"),
+        F.filter("lines", lambda s: s["depth"] == 0).alias("own_lines"),
         F.exists("lines", lambda s: s["depth"] > 0).alias("quoting"),
     )
     # A run starts where the depth changes; a blank quoted line ends one too.

@@ -357,6 +357,21 @@ def test_quotations(spark):
     assert chat.format_chats(rows.limit(0)).count() == 0
 
 
+def test_lines_stay_that_announce_no_quote(spark):
+    texts = [
+        "Please check the email she wrote", "Hello.\nThis is the poem that I wrote:\nRoses are red", "On reflection I agree with what you said",
+        "--- Original Message ---\nno quote here", "> Please check the email she wrote\nDone.", "a\r\nOn Monday, Ann wrote:\r\n\r\n> This is the poem that I wrote:\r\nb",
+        "-----Original Message-----\nFrom: Ann\n> Hello.\nbye\n-- original message --", "> Hello.\nBob writes:\n>> On reflection I agree with what you said\nAnn wrote:\nlast",
+        "> Ann wrote:\n> > Please check the email she wrote\nok", "Ann wrote:\n" * 3 + "\n \n> Roses are red", "", "\n\nOn\nMonday wrote:\n>x",
+    ]
+    rows = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.text, r.n_quotes, r.n_linked) for r in chat.format_chats(rows).collect()}
+    assert got == {
+        **{k: (texts[k], 0, 0) for k in (0, 1, 2, 3, 10)}, 4: ("Done.", 1, 1), 5: ("a\n\nb", 1, 1), 6: ("From: Ann\nbye\n-- original message --", 1, 0),
+        7: ("Ann wrote:\nlast", 2, 1), 8: ("ok", 2, 2), 9: ("Ann wrote:\nAnn wrote:\n\n ", 1, 1), 11: ("On", 1, 0),
+    }
+
+
 def test_long_reply_chain_stays_in_order(spark):
     rows = [(1, k, "user", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(60)] + [(1, 60 + k, "user", f"aside number {k}") for k in range(5)]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).orderBy("place").collect()
