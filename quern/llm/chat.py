@@ -4,7 +4,7 @@ Lines that begin with ``>`` are quoted, as deep as they have such marks. Runs of
 form passages; a passage is normalised (marks and case removed, white space collapsed) and hashed.
 Originals are the passages that a message says itself, and its lines and whole body, so a reply
 that quotes a line, a paragraph or all of a message finds it. Each quote joins to the latest
-original before it in its conversation, or else to the first one anywhere. A line that announces a
+original before it in its conversation, or else to the first one of another conversation. A line that announces a
 quote ("Ann wrote:") goes with it; one of such words without a quote behind it stays. A reply belongs to the
 thread of the message that its first linked quote cites; threads stand in the order of their
 first messages and messages in a thread by turn, which puts every reply after what it answers.
@@ -109,14 +109,17 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     tells = said.distinct().select("hash", "conv_id", "turn", F.lit(0).alias("asks"), F.lit(-1).alias("place"), F.lit(0).alias("depth"), F.col("turn").alias("source"))
     before = Window.partitionBy("hash", "conv_id").orderBy("turn", F.col("asks").desc(), "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = asks.unionByName(tells).withColumn("source", F.last("source", ignorenulls=True).over(before)).where("asks = 1")
+    # The first original, and the first one of another conversation than that: one of the two is not the quoting conversation's own.
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = near.join(first, "hash", "left")
+    others = said.join(first, "hash").where(F.col("conv_id") != F.col("first.conv_id"))
+    second = others.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    found = near.join(first, "hash", "left").join(second, "hash", "left")
     inside = F.col("source").isNotNull()
-    elsewhere = F.col("first.conv_id") != F.col("conv_id")
+    elsewhere = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     return found.select(
         "conv_id", "turn", "place", "depth",
-        F.when(inside, F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("cites_conv"),
-        F.when(inside, F.col("source")).when(elsewhere, F.col("first.turn")).alias("cites_turn"),
+        F.when(inside, F.col("conv_id")).otherwise(elsewhere["conv_id"]).alias("cites_conv"),
+        F.when(inside, F.col("source")).otherwise(elsewhere["turn"]).alias("cites_turn"),
     )
 
 

@@ -372,6 +372,14 @@ def test_lines_stay_that_announce_no_quote(spark):
     }
 
 
+def test_own_later_words_hide_no_original_elsewhere(spark):
+    said, quote = "The words in question.", "> The words in question.\nYes."
+    talks = [(1, 0, quote), (1, 1, said), (2, 3, said), (2, 4, quote), (3, 0, said), (3, 1, "x"), (4, 0, quote), (5, 0, "> Said by itself only.\nNo."), (5, 1, "Said by itself only.")]
+    rows = spark.createDataFrame([(c, t, "user", x) for c, t, x in talks], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.cites_conv, r.cites_turn) for r in chat.format_chats(rows).where("n_quotes > 0").collect()}
+    assert got == {(1, 0): (2, 3), (2, 4): (2, 3), (4, 0): (1, 1), (5, 0): (None, None)}
+
+
 def test_long_reply_chain_stays_in_order(spark):
     rows = [(1, k, "user", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(60)] + [(1, 60 + k, "user", f"aside number {k}") for k in range(5)]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).orderBy("place").collect()
