@@ -46,8 +46,8 @@ PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-#: A text without a digit, an @ or a word that announces a secret holds nothing to replace.
-HINT = re.compile(r"[0-9@]|(?i:token|key|secret|passw|bearer)|xox")
+#: A text without a digit of any script, an @, a word that announces a secret or the head of a known key holds nothing to replace.
+HINT = re.compile(r"[\d@]|(?i:token|key|secret|passw|bearer)|xox|AKIA|gh[pousr]_")
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
