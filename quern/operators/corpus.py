@@ -7,10 +7,11 @@ embedding).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
+from quern.sources.tables import kept, shared_path
 
 ANSWER, CLARIFICATION = "Answer", "Clarification"
 
@@ -29,6 +30,22 @@ def expand_candidates(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("item_id"), F.posexplode(texts).alias("place", "text"), "answer", "kind")
 
 
+def expand_messages(rows: DataFrame, item: str, turn: str, body: str) -> DataFrame:
+    """item_id, place, text: the texts of each item by turn, trimmed, each once, blanks dropped; a row per text all the way."""
+    said = rows.select(F.col(item).cast("string").alias("item_id"), F.trim(body).alias("text"), F.struct(F.col(turn).alias("turn"), F.col(body).alias("body")).alias("at"))
+    each = said.where(F.length("text") > 0).groupBy("item_id", "text").agg(F.min("at").alias("at")).select("item_id", "text", "at.turn", "at.body")
+    ordered = each.repartitionByRange("item_id", "turn").sortWithinPartitions("item_id", "turn", "body")
+    low = F.monotonically_increasing_id()
+    placed = ordered.select("item_id", "text", F.shiftright(low, 33).alias("part"), low.bitwiseAND((1 << 33) - 1).alias("offset"))
+    placed = kept(placed, shared_path(rows.sparkSession, "messages"))
+    # A row per item and part; items that span parts add up the counts before.
+    sizes = placed.groupBy("item_id", "part").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
+    earlier = Window.partitionBy("item_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("item_id").alias("item"), F.col("part").alias("of"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("start"))
+    joined = placed.join(starts, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("part") == F.col("of")))
+    return joined.select("item_id", (F.col("start") + F.col("offset")).cast("int").alias("place"), "text")
+
+
 def of_kind(candidates: DataFrame, kind: str | None) -> DataFrame:
     """Phrasings of one kind; to be applied before statistics, as these depend on it."""
     return candidates if kind is None else candidates.where(F.col("kind") == kind)

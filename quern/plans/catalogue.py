@@ -140,12 +140,7 @@ def semantic_best_margin(spark: SparkSession, d: str) -> DataFrame:
 @query
 def candidate_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation as an item: its first message is the question, the others are alternatives."""
-    rows = parquet(spark, d, "conversations")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"])
-    items = rows.groupBy("conv_id").agg(said.alias("said")).select(
-        F.col("conv_id").cast("string").alias("id"), F.get("said", F.lit(0)).alias("question"), F.slice("said", 2, 1 << 30).alias("alternative_questions"), F.lit("x").alias("answer"), F.lit("Answer").alias("kind")
-    )
-    return corpus.expand_candidates(items).select("item_id", "place", "text")
+    return corpus.expand_messages(parquet(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query

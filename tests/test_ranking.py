@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores
 from quern.operators import corpus, ranking
+from quern.plans import catalogue
 
 SCHEMA = "item_id string, pos long, text string, answer string, kind string, embedding array<float>"
 
@@ -119,3 +120,13 @@ def test_items_are_cleaned_and_expanded(spark):
     clean = corpus.clean_items(items)
     assert {r.id: r.kind for r in clean.collect()} == {"A": "Clarification", "C": "Answer"}
     assert [(r.item_id, r.place, r.text) for r in corpus.expand_candidates(clean).orderBy("item_id").collect()] == [("A", 0, "Same question"), ("C", 0, "c")]
+
+
+def test_expanded_messages_are_never_gathered(spark, tmp_path, monkeypatch):
+    rows = [(7, k, f" m{k % 900} " if k % 3 else f"m{k % 900}") for k in range(1800)] + [(8, 1, "b"), (8, 1, "a"), (8, 0, " "), (8, 2, None), (8, 3, "a "), (None, 1, "y"), (None, 0, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    for gather in ("collect_list", "collect_set", "array_agg"):
+        monkeypatch.delattr(F, gather)
+    done = catalogue.candidate_expansion(spark, str(tmp_path))
+    found = {(r.item_id, r.place): r.text for r in done.collect()}
+    assert found == {("7", k): f"m{k}" for k in range(900)} | {("8", 0): "a", ("8", 1): "b", (None, 0): "x", (None, 1): "y"} and done.count() == 904
