@@ -1,8 +1,7 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by anchors and hashed names, in place of distributed prefix doubling.
 
 A string of LENGTH bytes goes where an equal one starts earlier (a smaller doc_id, or the same
-document). The ranks of the suffixes at growing prefix lengths are names: 64-bit hashes, equal for
-equal strings. Positions leave as soon as their name is unique, and one position stands for all
+document). Strings have names: 64-bit hashes, equal for equal strings, and no ranks. Positions leave as soon as their name is unique, and one position stands for all
 whose names can't differ any more, so that few of them reach the last length:
 
 1. GRAM bytes. Each window of LENGTH bytes holds an anchor, the smallest hash of its GRAM-byte
@@ -10,8 +9,8 @@ whose names can't differ any more, so that few of them reach the last length:
    form a run. Runs whose anchor's name is unique can't repeat and leave.
 2. All bytes of a run. Of runs with equal names the first stays and the others are covered. A first
    whose anchor has no other name leaves too.
-3. LENGTH bytes. In the runs left, the names of 25, 50 and 100 bytes come from pairs of names at
-   offsets 25 and 50; Spark sorts the runs by anchor and place, and of equal names all but the first
+3. LENGTH bytes. In the runs left, a worker names each window from one rolling sum; Spark sorts the
+   runs by anchor and place, not the names, and of equal names all but the first
    are covered. An anchor with very many runs is dealt out by the names of its windows instead.
 
 Defined results: a null or empty text has no bytes (and an empty kept text); texts below LENGTH bytes lose
@@ -87,7 +86,7 @@ def anchored_runs(offsets: np.ndarray, data: np.ndarray):
 
 
 def names_by_doubling(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Names of the LENGTH bytes from each start, from pairs of names at offsets 25 and 50."""
+    """Names of the LENGTH bytes from each start, mixed from the hashes of their quarters, as good as one hash of all."""
     quarter = LENGTH // 4
     with np.errstate(over="ignore"):
         names = [string_hash(sums, starts + k * quarter, starts + (k + 1) * quarter) for k in range(4)]
