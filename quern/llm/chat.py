@@ -1,19 +1,22 @@
 """Quotation linking: conversations in reply order, without quotes, by Spark's own functions.
 
-Lines that begin with ``>`` are quoted, as deep as they have such marks. Runs of lines of one depth
-form passages; a passage is normalised (marks and case removed, white space collapsed) and hashed.
-Originals are the passages that a message says itself, and its lines and whole body, so a reply
-that quotes a line, a paragraph or all of a message finds it. Each quote joins to the latest
-original before it in its conversation, or else to the first one of another conversation. A line that announces a
-quote ("Ann wrote:") goes with it; one of such words without a quote behind it stays. A reply belongs to the
-thread of the message that its first linked quote cites; threads stand in the order of their
-first messages and messages in a thread by turn, which puts every reply after what it answers.
+Lines that begin with ``>`` are quoted, as deep as they have such marks. Runs of lines of one depth without
+a blank one form passages; a passage is normalised (marks and case removed, white space collapsed) and hashed.
+Originals are what a message says itself: each line, each paragraph, the whole, and each run of as many lines as
+some passage has, so a reply that quotes a line, a paragraph, several lines of one or all of a message finds
+it. Each quote joins to the latest original before it in its conversation, or else to the first one of another
+conversation. Linked quotes leave the text, and with them the line that announces one ("Ann wrote:"); a passage
+without an original (a prompt sign, a shell line) stays where it is, and a text without linked quotes
+stays as it is. A reply belongs to the thread of the message that its first linked quote cites; threads stand
+in the order of their first messages and messages in a thread by turn, which puts every reply after what it
+answers.
 
 Defined results: a null conversation or turn drops the row, as it has no place; of repeated
 (conversation, turn) rows the one with the smallest role and text stays; a null or empty text
-gives an empty one; quotes without an original are removed and counted as unlinked; an empty table
-gives an empty result; other columns are neither read nor returned. Long conversations are not
-gathered: each message stays a row, and places come from a distributed sort.
+gives an empty one; quotes without an original stay and are counted as unlinked; quoted lines without words
+go where a quote of the message is linked; an empty table gives an empty result; other columns are neither read
+nor returned. Long conversations are not gathered: each message stays a row, and places come from a
+distributed sort; lines of one message meet in one task.
 """
 
 from __future__ import annotations
@@ -25,85 +28,89 @@ from quern.llm.common import Scratch
 
 #: Quote marks at the start of a line; spaces may stand between them.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Own lines that only announce the quote which follows them, blank lines between; no other line of such words is one.
-ATTRIBUTION = r"(?idm)^(?![ \t]*>)[^\S\n]*(?:on[^\S\n].{1,200}[^\S\n](?:wrote|said|writes)|.{1,120}[^\S\n](?:wrote|writes))[^\S\n]*:?[^\S\n]*$(?=[ \t\n]*+>)"
-#: Own lines that announce all that follows them, if a quote does.
-ORIGINAL = r"(?idm)^[^\S\n]*-{2,}[^\S\n]*original message[^\S\n]*-{2,}[^\S\n]*:?[^\S\n]*$"
-#: All before the last quoted line.
-BEFORE_LAST_QUOTE = r"(?ds)^(.*\n)[ \t]*>"
+#: A text with a quoted line.
+QUOTING = r"(?m)^[ \t]*>"
+#: Own lines that announce the quote behind them, blank lines between; no other line of such words does.
+ATTRIBUTION = r"(?i)^[^\S\n]*(?:on\s.{1,200}\s(?:wrote|said|writes)|.{1,120}\s(?:wrote|writes))\s*:?\s*$"
+#: Own lines that announce the next quote behind them, whatever stands between.
+ORIGINAL = r"(?i)^\s*-{2,}\s*original message\s*-{2,}\s*:?\s*$"
+#: Blank lines at the ends of a text that has lost quotes.
+BLANK_ENDS = r"^(?:[^\S\n]*\n)+|(?:\n[^\S\n]*)+$"
 #: Shorter originals, such as a lone "yes", are no evidence of a reply.
 MIN_CHARS = 8
+MESSAGE = ("conv_id", "turn")
 
 
 def _normal(text: Column) -> Column:
     """Lower case, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\u00A0]+", " "))
 
 
-def _without_announcements(text: Column) -> Column:
-    """The text with each line that announces a quote as a blank quoted line, which is neither said nor quoted."""
-    text = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), ATTRIBUTION, ">")
-    head = F.regexp_extract(text, BEFORE_LAST_QUOTE, 1)
-    return F.concat(F.regexp_replace(head, ORIGINAL, ">"), F.substr(text, F.length(head) + 1))
-
-
-def parse_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, body (own lines), own (own passages) and quotes (depth, passage), normalised."""
-    rows = messages.select(
+def messages_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, turn, role and text, one row for each message."""
+    rows = rows.select(
         F.col(conversation).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     ).where("conv_id is not null and turn is not null")
-    one = rows.groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "text"), F.struct("role", "text")).alias("m"))
-    lines = F.transform(
-        F.split(_without_announcements(F.col("m.text")), "\n", -1),
-        lambda s: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(s, MARKS, 1), r"[ \t]", "")).alias("depth"),
-            F.regexp_replace(s, MARKS, "").alias("line"),
-        ),
-    )
-    marked = one.select("conv_id", "turn", F.col("m.role").alias("role"), lines.alias("lines"))
-    spoken = marked.select(
-        "conv_id", "turn", "role", "lines",
-        F.filter("lines", lambda s: s["depth"] == 0).alias("own_lines"),
-        F.exists("lines", lambda s: s["depth"] > 0).alias("quoting"),
-    )
-    # A run starts where the depth changes; a blank quoted line ends one too.
-    starts = F.filter(
-        F.transform("lines", lambda s, i: F.when(
-            (s["depth"] > 0) & (F.trim(s["line"]) != "") & ((i == 0) | (F.get("lines", i - 1)["depth"] != s["depth"]) | (F.trim(F.get("lines", i - 1)["line"]) == "")), i
-        )),
-        lambda i: i.isNotNull(),
-    )
-    placed = spoken.select("*", F.when(F.col("quoting"), starts).otherwise(F.array().cast("array<int>")).alias("starts"))
-
-    def passage(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.size("lines"))
-        run = F.filter(F.slice("lines", start + 1, end - start), lambda s: s["depth"] == F.get("lines", start)["depth"])
-        return F.struct(
-            F.get("lines", start)["depth"].alias("depth"),
-            _normal(F.array_join(F.transform(run, lambda s: s["line"]), " ")).alias("passage"),
-        )
-
-    own = F.transform("own_lines", lambda s: s["line"])
-    body = F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n")
-    body = F.when(F.col("quoting"), F.regexp_replace(body, r"^\n+|\n+$", "")).otherwise(body)
-    paragraphs = F.split(F.array_join(own, "\n"), r"\n[ \t]*\n")
-    said = F.array_distinct(F.filter(F.transform(F.concat(own, paragraphs, F.array(F.array_join(own, " "))), _normal), lambda s: F.length(s) >= MIN_CHARS))
-    return placed.select(
-        "conv_id", "turn", "role", body.alias("body"), said.alias("own"),
-        F.filter(F.transform("starts", passage), lambda q: F.length(q["passage"]) > 0).alias("quotes"),
-    )
-
-
-def link_quotes(parsed: DataFrame) -> DataFrame:
+    one = rows.groupBy(*MESSAGE).agg(F.min_by(F.struct("role", "text"), F.struct("role", "text")).alias("m"))
+    return one.select(*MESSAGE, "m.role", "m.text")
+
+
+def quoted_lines(messages: DataFrame) -> DataFrame:
+    """A row per line of the texts with quoted lines: pos, raw, its depth and words, and place.
+
+    place is the number of the passage that the line belongs to or announces; null for other own lines, -1 for
+    quoted lines without words. quotes is the number of passages of the message.
+    """
+    rows = messages.where(F.col("text").rlike(QUOTING)).select(*MESSAGE, F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    rows = rows.withColumn("depth", F.length(F.regexp_replace(F.regexp_extract("raw", MARKS, 1), r"[ \t]", "")))
+    rows = rows.withColumn("words", _normal(F.regexp_replace("raw", MARKS, "")))
+    down = Window.partitionBy(*MESSAGE).orderBy("pos")
+    up = Window.partitionBy(*MESSAGE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    said = F.col("words") != ""
+    # The quoted line that comes next, blank lines between.
+    rows = rows.withColumn("next", F.last(F.when(said, F.col("depth")), ignorenulls=True).over(up))
+    starts = (F.col("depth") > 0) & said & ((F.coalesce(F.lag("depth").over(down), F.lit(0)) != F.col("depth")) | (F.lag("words").over(down) == ""))
+    rows = rows.withColumn("starts", F.when(starts, 1).otherwise(0))
+    rows = rows.withColumn("before", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("quotes", F.sum("starts").over(Window.partitionBy(*MESSAGE)))
+    announces = ((F.col("next") > 0) & F.col("raw").rlike(ATTRIBUTION)) | ((F.col("before") < F.col("quotes")) & F.col("raw").rlike(ORIGINAL))
+    place = F.when(F.col("depth") > 0, F.when(said, F.col("before") - 1).otherwise(-1)).when(announces, F.col("before"))
+    return rows.select(*MESSAGE, "pos", "raw", "depth", "words", place.alias("place"), "quotes")
+
+
+def quotes_of(lines: DataFrame) -> DataFrame:
+    """conv_id, turn, place, depth, n_lines and the words of each passage."""
+    quoted = lines.where("depth > 0 and place >= 0")
+    found = quoted.groupBy(*MESSAGE, "place").agg(F.first("depth").alias("depth"), F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("own"))  # lines of one passage
+    return found.select(*MESSAGE, "place", "depth", F.size("own").alias("n_lines"), F.array_join("own.words", " ").alias("passage"))
+
+
+def said_by(messages: DataFrame, lines: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, turn and each passage (normalised) that the message says itself."""
+    own = lines.where("depth = 0 and place is null").groupBy(*MESSAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("own"))  # lines of one message
+    own = own.select(*MESSAGE, F.array_join("own.raw", "\n").alias("text"))
+    texts = messages.where(~F.col("text").rlike(QUOTING)).select(*MESSAGE, "text").unionByName(own)
+    # Numbers of lines that passages have: one row, of no more numbers than the longest passage has lines.
+    lengths = quotes.where("n_lines > 1").agg(F.sort_array(F.collect_set("n_lines")).alias("lengths")).withColumn("one", F.lit(1))
+    rows = texts.withColumn("one", F.lit(1)).join(F.broadcast(lengths), "one")
+    spoken = F.filter(F.transform(F.split("text", "\n", -1), _normal), lambda w: w != "")
+    rows = rows.select(*MESSAGE, "text", "lengths", spoken.alias("spoken"))
+    paragraphs = F.transform(F.split("text", r"\n\s*\n", -1), _normal)
+    size = F.size("spoken")
+    runs = F.flatten(F.transform(
+        F.filter("lengths", lambda k: k <= size),
+        lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.array_join(F.slice("spoken", i, k), " ")),
+    ))
+    every = F.array_distinct(F.concat("spoken", paragraphs, F.array(F.array_join("spoken", " ")), runs))
+    return rows.select(*MESSAGE, F.explode(F.filter(every, lambda w: F.length(w) >= MIN_CHARS)).alias("passage"))
+
+
+def link_quotes(quotes: DataFrame, said: DataFrame) -> DataFrame:
     """conv_id, turn, place, depth, and the conversation and turn that the quote cites (null if none does)."""
-    digest = lambda c: F.sha2(c, 256)
-    quotes = parsed.select("conv_id", "turn", F.posexplode("quotes").alias("place", "q")).select(
-        "conv_id", "turn", "place", "q.depth", digest(F.col("q.passage")).alias("hash")
-    )
-    wanted = quotes.select("hash").distinct()
-    said = parsed.select("conv_id", "turn", F.explode("own").alias("s")).select("conv_id", "turn", digest(F.col("s")).alias("hash"))
-    said = said.join(wanted, "hash", "left_semi")
+    hashed = F.sha2("passage", 256).alias("hash")
+    quotes = quotes.select(*MESSAGE, "place", "depth", hashed)
+    said = said.select(*MESSAGE, hashed).join(quotes.select("hash").distinct(), "hash", "left_semi")
     # One row per conversation, turn and hash at most, ordered by turn: the latest before a quote is a running maximum, no pair of rows.
     asks = quotes.select("hash", "conv_id", "turn", F.lit(1).alias("asks"), "place", "depth", F.lit(None).cast("long").alias("source"))
     tells = said.distinct().select("hash", "conv_id", "turn", F.lit(0).alias("asks"), F.lit(-1).alias("place"), F.lit(0).alias("depth"), F.col("turn").alias("source"))
@@ -137,25 +144,33 @@ def _threads(parents: DataFrame, scratch: Scratch) -> DataFrame:
             return now
 
 
-def format_chats(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message: its thread, its place in reply order, the message it answers, and its text without quotes."""
-    spark: SparkSession = messages.sparkSession
+def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per message: its thread, its place in reply order, the message it answers, and its text without linked quotes."""
+    spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "chat")
-    parsed = scratch.keep(parse_quotes(messages, conversation, turn, role, text))
-    links = scratch.keep(link_quotes(parsed))
+    messages = scratch.keep(messages_of(rows, conversation, turn, role, text))
+    lines = scratch.keep(quoted_lines(messages))
+    quotes = scratch.keep(quotes_of(lines))
+    links = scratch.keep(link_quotes(quotes, said_by(messages, lines, quotes)))
     cited = F.when(F.col("cites_turn").isNotNull(), F.struct("depth", "place", "cites_conv", "cites_turn"))
     inner = F.when(F.col("cites_conv") == F.col("conv_id"), F.struct("depth", "place", "cites_turn"))
-    replies = links.groupBy("conv_id", "turn").agg(
-        F.count("cites_turn").alias("n_linked"), F.min(cited).alias("cites"), F.min(inner)["cites_turn"].alias("parent")
+    replies = links.groupBy(*MESSAGE).agg(
+        F.count("*").alias("n_quotes"), F.count("cites_turn").alias("n_linked"), F.min(cited).alias("cites"), F.min(inner)["cites_turn"].alias("parent")
     )
+    # Texts that lose quotes: without the lines of linked passages, those that announce them, and quoted lines without words.
+    gone = links.where("cites_turn is not null").select(*MESSAGE, "place").withColumn("linked", F.lit(True))
+    cut = lines.join(gone.select(*MESSAGE).distinct(), [*MESSAGE], "left_semi").join(gone, [*MESSAGE, "place"], "left")
+    cut = cut.groupBy(*MESSAGE).agg(F.array_sort(F.collect_list(F.when(F.col("linked").isNull() & (F.coalesce("place", F.lit(0)) >= 0), F.struct("pos", "raw")))).alias("left"))  # lines of one message
+    bodies = cut.select(*MESSAGE, F.regexp_replace(F.array_join("left.raw", "\n"), BLANK_ENDS, "").alias("body"))
+    replies = scratch.keep(replies.join(bodies, [*MESSAGE], "left"))
     roots = _threads(replies.where("parent is not null"), scratch)
-    rows = parsed.join(replies, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", F.coalesce("root", "turn").alias("thread"), "role", F.col("body").alias("text"),
+    joined = messages.join(replies, [*MESSAGE], "left").join(roots, [*MESSAGE], "left").select(
+        *MESSAGE, F.coalesce("root", "turn").alias("thread"), "role", F.coalesce("body", "text").alias("text"),
         F.col("parent").alias("reply_to"), F.col("cites.cites_conv").alias("cites_conv"), F.col("cites.cites_turn").alias("cites_turn"),
-        F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
     )
-    done = _numbered(rows, scratch)
-    scratch.drop(parsed, links, roots)
+    done = _numbered(joined, scratch)
+    scratch.drop(messages, lines, quotes, links, replies, roots)
     return done
 
 

@@ -118,3 +118,94 @@ def leaks(rows, items, threshold: float = 0.8, size: int = 5) -> dict[tuple[int,
 
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def chats(seed: int, conversations: int = 120) -> list[tuple]:
+    """Messages that quote lines, runs of lines, paragraphs or all of earlier ones, of any conversation or of none."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(("alpha", "beta", "gamma", "delta", "no", "yes", "line", "Ärger"))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(1, 7)))
+    rows: list[tuple] = []
+    bodies: list[tuple[int, int, str]] = []
+    for c in range(conversations):
+        for t in range(rng.choice((1, 4, 30))):
+            body = "\n".join(rng.choice((line(), line(), line(), "", "  ", "Thanks a lot!")) for _ in range(rng.randrange(6)))
+            parts = []
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                near = [b for b in bodies if b[0] == c] if rng.random() < 0.7 else bodies
+                said = rng.choice(near)[2].split("\n") if near and rng.random() < 0.85 else [line(), line()]
+                a, b = sorted((rng.randrange(len(said) + 1), rng.randrange(len(said) + 1)))
+                marks = rng.choice(("> ", ">", ">> ", " > > "))
+                head = rng.choice(("", "", "Ann wrote:\n", "On Monday, Bob wrote:\n\n", "---- Original Message ----\n"))
+                parts.append(head + "\n".join(marks + rng.choice((x, x.upper(), x + "  ")) for x in said[a:b]))
+                parts.append(line())
+            text = "\n".join([*parts, body])
+            rows.append((c, t * rng.choice((1, 1, 2)) if rng.random() < 0.05 else t, rng.choice(("user", "assistant", None)), rng.choice((text, text, text, text.replace("\n", "\r\n")))))
+            bodies.append((c, t, text))
+    rows += rng.sample(rows, 30)
+    rows += [(None, 1, "user", "x"), (3, None, "user", "x"), (3, 900, "user", None), (3, 901, None, ""), (3, 901, "user", "tie")]
+    rng.shuffle(rows)
+    return rows
+
+
+def formatted(rows: list[tuple]) -> list[tuple]:
+    """What format_chats gives, message by message, by comparing every passage with everything said."""
+    first = lambda r: (r[2] is not None, r[2] or "", r[3] or "")
+    known: dict[tuple[int, int], tuple[str | None, str]] = {}
+    for r in sorted((r for r in rows if None not in r[:2]), key=first, reverse=True):
+        known[r[0], r[1]] = (r[2], r[3] or "")
+    normal = lambda t: re.sub(r"[\s\u00a0]+", " ", t.lower()).strip(" ")
+    parsed, said = {}, defaultdict(set)
+    for key, (_, text) in known.items():
+        lines = []  # raw, depth, words, passage
+        for raw in text.split("\n"):
+            m = re.match(r"[ \t]*((?:>[ \t]?)+)", raw)
+            lines.append([raw, m[1].count(">") if m else 0, normal(raw[m.end() :] if m else raw), None])
+        passages: list[tuple[int, list[str]]] = []
+        for k, (_, depth, words, _) in enumerate(lines):
+            if depth and words:
+                if not k or lines[k - 1][1] != depth or not lines[k - 1][2]:
+                    passages.append((depth, []))
+                passages[-1][1].append(words)
+                lines[k][3] = len(passages) - 1
+            elif depth:
+                lines[k][3] = -1
+        for k, (raw, depth, _, _) in enumerate(lines):
+            behind = [x for x in lines[k + 1 :] if x[2]]
+            later = [x[3] for x in behind if x[1]]
+            if not depth and later:
+                direct = behind[0][1] and re.match(r"(?i)[^\S\n]*(?:on\s.{1,200}\s(?:wrote|said|writes)|.{1,120}\s(?:wrote|writes))\s*:?\s*$", raw)
+                if direct or re.match(r"(?i)\s*-{2,}\s*original message\s*-{2,}\s*:?\s*$", raw):
+                    lines[k][3] = later[0]
+        parsed[key] = (lines, [(d, " ".join(w)) for d, w in passages])
+        own = [x[0] for x in lines if not x[1] and x[3] is None]
+        spoken = [w for w in map(normal, own) if w]
+        said[key] = {" ".join(spoken[i:j]) for i in range(len(spoken)) for j in range(i + 1, len(spoken) + 1)} | {normal(p) for p in re.split(r"\n\s*\n", "\n".join(own))}
+    out, parents, cited = [], {}, {}
+    for (c, t), (_, passages) in parsed.items():
+        links = []
+        for depth, words in passages:
+            holders = sorted(k for k in said if words in said[k]) if len(words) >= 8 else []
+            near = [k for k in holders if k[0] == c and k[1] < t]
+            links.append((depth, near[-1] if near else next((k for k in holders if k[0] != c), None)))
+        cited[c, t] = links
+        inner = [(d, p, k[1]) for p, (d, k) in enumerate(links) if k and k[0] == c]
+        if inner:
+            parents[c, t] = min(inner)[2]
+    for (c, t), (role, text) in known.items():
+        lines, passages = parsed[c, t]
+        links = cited[c, t]
+        linked = {p for p, (_, k) in enumerate(links) if k}
+        if linked:
+            text = "\n".join(x[0] for x in lines if x[3] is None or (x[3] >= 0 and x[3] not in linked))
+            text = re.sub(r"^(?:[^\S\n]*\n)+|(?:\n[^\S\n]*)+\Z", "", text)
+        best = min(((d, p, k) for p, (d, k) in enumerate(links) if k), default=(0, 0, (None, None)))[2]
+        root = t
+        while (c, root) in parents:
+            root = parents[c, root]
+        out.append([c, t, 0, root, role, text, parents.get((c, t)), *best, len(links), len(linked)])
+    place: Counter = Counter()
+    for row in sorted(out, key=lambda r: (r[0], r[3], r[1])):
+        row[2] = place[row[0]]
+        place[row[0]] += 1
+    return sorted(map(tuple, out), key=lambda r: r[:2])
