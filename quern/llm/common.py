@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,17 +27,33 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return docs.select(*columns) if columns else docs
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as one text may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if int(spark.conf.get(BATCH_KEY, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside; the setting of before holds again behind it."""
+    before = spark.conf.get(BATCH_KEY, "10000")
+    spark.conf.set(BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; a folder of our own only in a local session, whose workers all see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -50,10 +67,11 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/quern-{label}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, **options: str) -> DataFrame:
+    def keep(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.options(**options).parquet(path)
+        with batches_of(self.spark, batch_rows or min(BATCH_ROWS, int(self.spark.conf.get(BATCH_KEY, "10000")))):
+            df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._quern_path = path
         return kept
@@ -61,12 +79,21 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no returned plan reads."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._quern_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._remove(table._quern_path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        left = {table._quern_path for table in tables}
+        for k in range(1, self.count + 1):
+            if (path := f"{self.base}/{k}") not in left:
+                self._remove(path)
 
 
 def with_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

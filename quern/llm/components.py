@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, bounded_batches, map_batches
+from quern.llm.common import Scratch, map_batches
+
+
+#: Links that are contracted at once.
+LINKS = 20_000
 
 
 def _contract(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -32,46 +34,6 @@ def _contract(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[root[moved]]), pa.array(names[moved])], ["a", "b"])
 
 
-def spanning_forest(links: DataFrame, scratch: Scratch, group_links: int = 500_000) -> DataFrame:
-    """Few of the links (a, b and more columns) that connect what all of them connect.
-
-    Links of a component meet in one task, or in as many as its links fill (group_links each); each
-    task keeps one tree over the members that it has seen.
-    """
-    parts = connected_components(links, scratch)
-    named = links.join(parts.withColumnRenamed("doc_id", "a"), "a")
-    sizes = named.groupBy("component").agg(F.count("*").alias("n_links"))
-    salts = F.ceil(F.col("n_links") / group_links).cast("int")
-    dealt = named.join(sizes, "component").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts))
-    dealt = dealt.repartition("component", "salt").sortWithinPartitions("component", "salt")
-    names = links.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, root = None, {}
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for batch in batches:
-            columns = [batch.column(names_in[n]).to_pylist() for n in ("component", "salt", "a", "b")]
-            keep = []
-            for component, salt, a, b in zip(*columns, strict=True):
-                if (component, salt) != at:
-                    at, root = (component, salt), {}
-                a, b = top(a), top(b)
-                keep.append(a != b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-            yield batch.select(names).filter(pa.array(keep))
-
-    names_in = {n: k for k, n in enumerate(dealt.columns)}
-    bounded_batches(links.sparkSession)
-    return dealt.mapInArrow(run, links.schema)
-
-
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id and component (its smallest member) of every doc_id in links (a, b long).
 
@@ -79,7 +41,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     with the logarithm of the longest chain. No component is gathered anywhere: a star is rows.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    now = scratch.keep(map_batches(links, _contract, "a long, b long").distinct())
+    now = scratch.keep(map_batches(links, _contract, "a long, b long").distinct(), batch_rows=LINKS)
     mark = None
     while True:
         # Large star: neighbours above a node go to the smallest of its neighbours and itself.

@@ -189,26 +189,52 @@ def test_simple8b_round_trip(high):
         values[10:400] = 0
         words, offsets, escapes = simple8b.pack(values)
         assert (simple8b.unpack(words, escapes) == values).all()
-        # Each segment is unpacked by itself from its offset.
-        for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
-            part = values[k * simple8b.SEGMENT : (k + 1) * simple8b.SEGMENT]
-            before = int((values[: k * simple8b.SEGMENT] >= simple8b.ESCAPE).sum())
-            assert (simple8b.unpack(words[a:b], escapes[before : before + int((part >= simple8b.ESCAPE).sum())]) == part).all()
+        # Each segment is unpacked by itself from its offsets, and so is any stretch.
+        for k, ((a, x), (b, y)) in enumerate(zip(offsets, offsets[1:], strict=False)):
+            assert (simple8b.unpack(words[a:b], escapes[x:y]) == values[k * simple8b.SEGMENT : (k + 1) * simple8b.SEGMENT]).all()
+        for a, b in rng.integers(0, n, (20, 2), endpoint=True).tolist():
+            assert (simple8b.unpack_span(words, offsets, escapes, a, b) == values[a:b]).all()
 
 
-def test_chunk_coder_equals_the_library():
+def coded(coder, texts):
+    ids, counts = coder.encode(*simple8b._as_slab(texts))
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_unit_coder_equals_the_library():
     rng = random.Random(1)
-    whole, coder = Tokenizer.from_file(WORDS), simple8b.ChunkCoder(open(WORDS, "rb").read())
+    whole, coder = Tokenizer.from_file(WORDS), simple8b.UnitCoder(open(WORDS, "rb").read())
     pieces = ["a", "b", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "é", "ß", "İ", "中", "😀", "́", "'s", "'LL", "1", "²", "_", "!", "the", " ", "　", "<|endoftext|>", "\0", "Σ", "ΑΣ", "É", "e.", "x,#"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    assert coder.chunked and [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.by_units and coded(coder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_special_tokens_count_only_as_written():
-    whole, coder = Tokenizer.from_file(WORDS), simple8b.ChunkCoder(open(WORDS, "rb").read())
+    whole, coder = Tokenizer.from_file(WORDS), simple8b.UnitCoder(open(WORDS, "rb").read())
     heads = ["<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>"]
     texts = [t for h in heads for t in (h, f"a {h} b", f"A{h}b", f"É {h}", f"中 {h} x{h}", f"{h}{h.lower()}")]
-    assert coder.plain and [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.by_units and coded(coder, texts) == expected and [coded(coder, [t])[0] for t in texts] == expected
+
+
+def test_full_memory_of_pieces(monkeypatch):
+    monkeypatch.setattr(simple8b, "MEMORY_PIECES", 60)
+    rng = random.Random(6)
+    whole, coder = Tokenizer.from_file(WORDS), simple8b.UnitCoder(open(WORDS, "rb").read())
+    for _ in range(60):
+        texts = [" ".join(f"{rng.choice('abcé')}{rng.choice('xyz')}{rng.choice('pqrs')}{rng.choice('.!1')}" for _ in range(20)) for _ in range(2)]
+        assert coded(coder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(coder.keys) <= 60 + 200 and (np.diff(coder.keys.astype(object)) > 0).all()
+
+
+def test_whole_texts_by_other_tokenizers():
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    coder = simple8b.UnitCoder(other.to_str().encode())
+    texts = ["a b", "", "b a c", "A"]
+    assert not coder.by_units and coded(coder, texts) == [other.encode(t).ids for t in texts]
 
 
 def test_token_files(spark, docs, none, tmp_path):
@@ -222,6 +248,14 @@ def test_token_files(spark, docs, none, tmp_path):
         assert got[i] == (start, len(ids), ids.tobytes()) and crc[i] == zlib.crc32(ids.tobytes())
         start += len(ids)
     assert len(got) == len(ROWS)
+    # Some documents alone, from their own segments.
+    some = spark.createDataFrame([(3,), (10,), (41,), (41,), (999,)], "doc_id long")
+    assert {r.doc_id: (r.start, r.n_ids, bytes(r.ids)) for r in simple8b.read_ids(spark, f"file://{tmp_path}/a", some).collect()} == {i: got[i] for i in (3, 10, 41)}
+    # Repeated rows and null keys.
+    odd = spark.createDataFrame([(2, "b"), (1, "same"), (1, "same"), (None, "gone"), (1, None)], "doc_id long, text string")
+    simple8b.write_ids(odd, WORDS, f"file://{tmp_path}/c", 2)
+    rows = sorted((r.doc_id, r.start, r.n_ids) for r in simple8b.read_ids(spark, f"file://{tmp_path}/c").collect())
+    assert rows == [(1, 0, 1), (1, 1, 2), (1, 3, 2), (2, 5, 2)]
     simple8b.write_ids(none, WORDS, f"file://{tmp_path}/b", 2)
     assert simple8b.read_ids(spark, f"file://{tmp_path}/b").count() == 0
 
@@ -359,7 +393,7 @@ def test_quotations(spark):
     assert found == {
         (1, 0): (0, 0, None, None, 0, 0, "How do I install the tool?\nIt fails on my box."), (1, 3): (1, 0, 0, 1, 1, 1, "Try again with sudo."),
         (1, 4): (2, 0, 3, 1, 2, 2, "Works, thanks."), (1, 1): (3, 1, None, None, 0, 0, "Run the setup script first."), (1, 2): (4, 2, None, None, 0, 0, "Another topic: what is the price?"),
-        (2, 0): (0, 0, None, 1, 1, 1, "I ask too."), (2, 1): (1, 1, None, None, 1, 0, "Hm."), (3, 0): (0, 0, None, None, 0, 0, ""), (3, 1): (1, 1, None, None, 0, 0, ""),
+        (2, 0): (0, 0, None, 1, 1, 1, "I ask too."), (2, 1): (1, 1, None, None, 1, 0, "> nothing like this anywhere\nHm."), (3, 0): (0, 0, None, None, 0, 0, ""), (3, 1): (1, 1, None, None, 0, 0, ""),
     }
     assert chat.format_chats(rows.limit(0)).count() == 0
 
@@ -374,11 +408,28 @@ def test_lines_stay_that_announce_no_quote(spark):
     rows = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     got = {r.turn: (r.text, r.n_quotes, r.n_linked) for r in chat.format_chats(rows).collect()}
     assert got == {
-        **{k: (texts[k], 0, 0) for k in (0, 1, 2, 3, 10)}, 4: ("Done.", 1, 1), 5: ("a\n\nb", 1, 1), 6: ("From: Ann\nbye\n-- original message --", 1, 0),
-        7: ("Ann wrote:\nlast", 2, 1), 8: ("ok", 2, 2), 9: ("Ann wrote:\nAnn wrote:\n\n ", 1, 1), 11: ("On", 1, 0),
+        **{k: (texts[k], 0, 0) for k in (0, 1, 2, 3, 10)}, 4: ("Done.", 1, 1), 5: ("a\r\n\r\nb", 1, 1), 6: (texts[6], 1, 0),
+        7: ("> Hello.\nAnn wrote:\nlast", 2, 1), 8: ("ok", 2, 2), 9: ("Ann wrote:\nAnn wrote:", 1, 1), 11: (texts[11], 1, 0),
     }
 
 
+def test_what_only_looks_quoted_stays(spark):
+    texts = ["Try this:\n\n\n\n>>> print(1)\n> ls -la /tmp\n", "one line here\nsecond line there\nthird line too\n\nfourth line last", "> second line there\n> third line too\n>\nYes, both.", "> line here second\nNo run of lines."]
+    rows = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.text, r.n_quotes, r.n_linked, r.reply_to) for r in chat.format_chats(rows).collect()}
+    assert got == {0: (texts[0], 2, 0, None), 1: (texts[1], 0, 0, None), 2: ("Yes, both.", 1, 1, 1), 3: (texts[3], 1, 0, None)}
+
+
+def test_quotations_equal_plain_python(spark):
+    """Generated threads with nested, partial, foreign and unknown quotes, repeated rows, nulls and ties."""
+    rows = cases.chats(3)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    columns = ("conv_id", "turn", "place", "thread", "role", "text", "reply_to", "cites_conv", "cites_turn", "n_quotes", "n_linked")
+    got = sorted((tuple(r[c] for c in columns) for r in chat.format_chats(table).collect()), key=lambda r: r[:2])
+    assert got == cases.formatted(rows)
+    assert sum(r[-1] for r in got) > 800 and sum(r[-2] - r[-1] for r in got) > 100
+
+
 def test_own_later_words_hide_no_original_elsewhere(spark):
     said, quote = "The words in question.", "> The words in question.\nYes."
     talks = [(1, 0, quote), (1, 1, said), (2, 3, said), (2, 4, quote), (3, 0, said), (3, 1, "x"), (4, 0, quote), (5, 0, "> Said by itself only.\nNo."), (5, 1, "Said by itself only.")]
@@ -419,7 +470,54 @@ def test_frequent_lists_are_split(spark, monkeypatch):
     assert got == cases.components(rows)
 
 
-def test_connected_components_and_forest(spark):
+def test_linked_sets_agree_in_a_fragment_or_both_give_first_grams():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85, 95):
+        rule = jaccard.Threshold(4, percent)
+        for n in (1, 2, 5, 7, 8, 9, 13, 20, 47, 100, 300, 2000):
+            for _ in range(20):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+                gone = int(rng.integers(0, n // 4 + 1))
+                b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)])
+                a, b = np.unique(a), np.unique(b)
+                both = len(np.intersect1d(a, b))
+                if not len(b) or both == len(a) == len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                owner, found = jaccard.fragment_hashes([a, b], rule)
+                assert set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
+
+
+def test_near_copies_below_and_above_the_threshold(spark, monkeypatch):
+    """Groups whose members link by chains only, so that every step has links to find; small blocks."""
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 15)
+    monkeypatch.setattr(jaccard, "SET_BLOCK", 10)
+    rng = random.Random(9)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(rng.choice((12, 40, 90)))]
+        for _ in range(40):
+            words = list(words)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    rows += [rows[0], rows[1]]
+    for rule in (jaccard.Threshold(), jaccard.Threshold(5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(cases.frame(spark, rows), rule).collect()}
+        assert got == cases.components(sorted(set(rows)), rule.size, rule.percent)
+
+
+def test_exact_distances(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 40)))) for _ in range(30)]
+    expected = [[len(np.setxor1d(a, b)) for b in sets] for a in sets]
+    assert jaccard._exactly_apart(sets).tolist() == expected
+    least = jaccard._apart([jaccard._parity(s.astype(np.uint64)) for s in sets])
+    assert (least <= np.array(expected)).all()
+
+
+def test_connected_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(70)]
     root = {x: x for pair in links for x in pair}
@@ -435,9 +533,6 @@ def test_connected_components_and_forest(spark):
     table = spark.createDataFrame([(min(p), max(p)) for p in links if p[0] != p[1]], "a long, b long").repartition(5)
     expected = {x: top(x) for p in links if p[0] != p[1] for x in p}
     assert {r.doc_id: r.component for r in components.connected_components(table, Scratch(spark, "t")).collect()} == expected
-    few = components.spanning_forest(table.distinct(), Scratch(spark, "t"))
-    assert few.count() == len(expected) - len(set(expected.values()))
-    assert {r.doc_id: r.component for r in components.connected_components(few, Scratch(spark, "t")).collect()} == expected
 
 
 # -- shared
