@@ -25,8 +25,11 @@ def _image(text: str) -> str:
 def _tables() -> tuple[str, str, dict[str, str]]:
     """Characters that become one (source, target; those that vanish last), and those that become several."""
     one, gone, many = {}, [], {}
-    for code in (*range(0x21, 0xD800), *range(0xE000, 0x10000)):
+    # Beyond U+FFFF: what has a decomposition, is a mark or is punctuation stands in these planes.
+    for code in (*range(0x21, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         c = chr(code)
+        if code > 0xFFFF and not unicodedata.decomposition(c) and unicodedata.category(c) != "Mn" and unicodedata.category(c)[0] != "P":
+            continue
         image = _image(c)
         if len(image) == 1 and unicodedata.category(image)[0] == "P":
             image = " "  # by the tables of Python, which may know later characters than the JVM
@@ -45,14 +48,15 @@ def normalize(text: Column) -> Column:
     """NFKC, folded letters, no marks, no punctuation, single spaces, lower case, trimmed; null gives ''.
 
     Built-in functions alone: a translate for one-to-one characters, and a look-up per character only in
-    texts that hold one of the characters that expand. Characters beyond U+FFFF stay as they are.
+    texts that lose characters when those that expand are taken out.
     """
     source, target, many = _tables()
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), "ئ", "ئ")
-    wide = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    body = F.replace(F.coalesce(text, F.lit("")), F.lit("ئ"), F.lit("ئ"))
+    body = F.translate(body, source, target)  # first, as what others expand to is not folded again
+    # One literal, parted by characters that no text keeps, which the optimizer folds into a map.
+    wide = F.str_to_map(F.lit("\x02".join(f"{c}\x01{image}" for c, image in many.items())), F.lit("\x02"), F.lit("\x01"))
     spelled = F.array_join(F.transform(F.split(body, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
-    body = F.when(body.rlike("[" + "".join(many) + "]"), spelled).otherwise(body)
-    body = F.translate(body, source, target)
+    body = F.when(F.length(F.translate(body, "".join(many), "")) < F.length(body), spelled).otherwise(body)
     body = F.regexp_replace(body, r"\p{P}", " ")
     return F.trim(F.lower(F.regexp_replace(body, r"(?U)\s+", " ")))
 
