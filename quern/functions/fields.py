@@ -34,6 +34,25 @@ def expiry(stated: Column, now: Column, minutes: int = 30) -> Column:
     return F.when(stated > now, stated).otherwise(later)
 
 
+def stated_expiry(json: Column, name: str, now: Column, zone: str = "Asia/Tehran", minutes: int = 30) -> Column:
+    """The local time in a field of a JSON text as UTC; what is missing, no time or not ahead gives some minutes from now."""
+    return expiry(F.to_utc_timestamp(F.try_to_timestamp(non_blank(json_field(json, name))), zone), now, minutes)
+
+
+def as_json(**named: Column) -> Column:
+    """A JSON object of the named columns; nulls are left out."""
+    return F.to_json(F.struct(*[c.alias(name) for name, c in named.items()]))
+
+
+def ymd(date: Column) -> Column:
+    return F.date_format(date, "yyyy/MM/dd")
+
+
+def may_access(groups: Column, allowed: tuple[str, ...], admin: str = "admin") -> Column:
+    """Whether a user of these groups is an administrator or in an allowed group."""
+    return F.coalesce(F.arrays_overlap(groups, F.array(*map(F.lit, (admin, *allowed)))), F.lit(False))
+
+
 def json_field(json: Column, name: str) -> Column:
     """A top-level field by name, whatever its case."""
     fields = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: F.lower(k) == name.lower())

@@ -43,6 +43,35 @@ def pair_scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]
     return run
 
 
+BEGIN, END, UNKNOWN, MOST_IDS = 0, 2, 3, 510
+
+
+def model_ids(pieces: list[int], most: int = MOST_IDS) -> list[int]:
+    """Ids of a text for the embedding model: pieces one up, the unknown one (0) as 3, cut to the most, between begin and end."""
+    return [BEGIN, *[UNKNOWN if p == 0 else p + 1 for p in pieces][:most], END]
+
+
+def pair_ids(question: list[int], candidate: list[int]) -> list[int]:
+    """Ids of a pair for the relevance model: begin, question, end, end, candidate, end, with room for 508 of both."""
+    left, right = trim_pair(model_ids(question, len(question))[1:-1], model_ids(candidate, len(candidate))[1:-1])
+    return [BEGIN, *left, END, END, *right, END]
+
+
+def piece_tokenizer(model: bytes):  # noqa: ANN201
+    """A column function from two texts to the ids of the pair, by a SentencePiece model loaded once per worker."""
+
+    @F.pandas_udf("array<int>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for questions, candidates in parts:
+            both = zip(pieces.encode(list(questions.fillna(""))), pieces.encode(list(candidates.fillna(""))), strict=True)
+            yield pd.Series([pair_ids(q, c) for q, c in both])
+
+    return run
+
+
 def trim_pair(left: list[int], right: list[int], room: int = 508) -> tuple[list[int], list[int]]:
     """Two token lists cut to the room, the longer first; of equal ones the left."""
     left, right = list(left), list(right)

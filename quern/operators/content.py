@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields
+from quern.operators import submissions
 from quern.sources.tables import kept, shared_path
 
 
@@ -30,6 +31,52 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             raise ValueError("the pages below a root form a circle")
 
 
+def ancestors_or_self(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """id, above, distance: each start and everything above it, a level of joins at a time until no row has a parent."""
+    spark, base = nodes.sparkSession, shared_path(nodes.sparkSession, "up")
+    links = kept(nodes.where("id is not null and parent_id is not null").select(F.col("id").alias("above"), F.col("parent_id").alias("next")), f"{base}/links")
+    most = links.count()
+    level = start.select("id", F.col("id").alias("above"), F.lit(0).alias("distance"))
+    paths: list[str] = []
+    while True:
+        paths.append(f"{base}/{len(paths) + 1}")
+        level = kept(level, paths[-1])
+        if level.isEmpty():
+            return spark.read.schema(level.schema).parquet(*paths)
+        if len(paths) > most + 1:
+            raise ValueError("the pages above a start form a circle")
+        level = level.join(links, "above").select("id", F.col("next").alias("above"), F.lit(len(paths)).alias("distance"))
+
+
+def below_roots(nodes: DataFrame) -> DataFrame:
+    """The nodes that stand below a node without a parent."""
+    return nodes.join(descendants(nodes, nodes.where("parent_id is null")).select("id").distinct(), "id", "left_semi")
+
+
+def in_order(nodes: DataFrame, kind: str, take: int = 3) -> DataFrame:
+    """The first pages of a type by sort order; ``take`` from 1 to 12."""
+    return nodes.where(F.col("type") == kind).orderBy("sort_order", "id").limit(max(1, min(take, 12)))
+
+
+def first_of(nodes: DataFrame, kind: str) -> DataFrame:
+    """The first page of a type in tree order: by level, then sort order."""
+    return nodes.where(F.col("type") == kind).orderBy("level", "sort_order", "id").limit(1)
+
+
+def cards(blocks: DataFrame, title: str, text: str, button: str, icons: tuple[str, ...], default_icon: str) -> DataFrame:
+    """Visible blocks with defaults for blank texts and, where no icon is given, the one of their place among those shown.
+
+    Only the first blocks can get an icon by place, so no more of them are numbered.
+    """
+    shown = visible(blocks, "visible")
+    order = Window.orderBy("pos")
+    first = shown.orderBy("pos").limit(len(icons)).withColumn("place", F.row_number().over(order) - 1).select("pos", "place")
+    placed = shown.join(F.broadcast(first), "pos", "left")
+    icon = F.coalesce(fields.non_blank(F.col("icon")), fields.by_position(F.col("place"), icons, default_icon))
+    named = [F.coalesce(fields.non_blank(F.col(c)), F.lit(d)).alias(c) for c, d in (("title", title), ("text", text), ("button", button))]
+    return placed.select("pos", *named, icon.alias("icon"))
+
+
 def latest(nodes: DataFrame, kind: str, take: int = 3) -> DataFrame:
     """Newest pages of a type by publish date, else create date; ``take`` from 1 to 12."""
     rows = nodes.where(F.col("type") == kind)
@@ -76,9 +123,9 @@ def visible(rows: DataFrame, flag: str, *needed: str) -> DataFrame:
 
 def category_order(categories: DataFrame) -> DataFrame:
     """Visible categories, "all" first, others as they come."""
-    shown = visible(categories, "visible", "key", "title")
-    order = Window.orderBy((F.col("key") == "all").desc(), "pos")
-    return shown.withColumn("place", F.row_number().over(order))
+    shown = visible(categories, "visible", "key", "title").withColumn("_rest", F.col("key") != "all")
+    placed = submissions.with_ids(shown, 0, "_rest", "pos")
+    return placed.withColumnRenamed("id", "place").withColumn("place", F.col("place").cast("int")).drop("_rest")
 
 
 def in_category(selected: str) -> Column:

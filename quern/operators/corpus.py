@@ -18,7 +18,7 @@ ANSWER, CLARIFICATION = "Answer", "Clarification"
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Trimmed items without blank questions or answers; alternatives trimmed, not blank, each once; kinds parsed."""
-    alternatives = F.array_distinct(F.transform(F.filter("alternative_questions", lambda a: F.length(F.trim(a)) > 0), F.trim))
+    alternatives = F.array_distinct(F.transform(F.filter("alternative_questions", lambda a: F.length(F.trim(a)) > 0), lambda a: F.trim(a)))
     kind = F.when(F.lower(F.trim("kind")) == "clarification", CLARIFICATION).otherwise(ANSWER)
     out = items.select("id", F.trim("question").alias("question"), F.trim("answer").alias("answer"), F.coalesce(alternatives, F.array().cast("array<string>")).alias("alternative_questions"), kind.alias("kind"))
     return out.where((F.length("question") > 0) & (F.length("answer") > 0))
@@ -26,7 +26,7 @@ def clean_items(items: DataFrame) -> DataFrame:
 
 def expand_candidates(items: DataFrame) -> DataFrame:
     """item_id, place, text, answer, kind: the question and its alternatives, trimmed, each once, blanks dropped."""
-    texts = F.array_distinct(F.filter(F.transform(F.concat(F.array("question"), F.coalesce("alternative_questions", F.array().cast("array<string>"))), F.trim), lambda t: F.length(t) > 0))
+    texts = F.array_distinct(F.filter(F.transform(F.concat(F.array("question"), F.coalesce("alternative_questions", F.array().cast("array<string>"))), lambda t: F.trim(t)), lambda t: F.length(t) > 0))
     return items.select(F.col("id").alias("item_id"), F.posexplode(texts).alias("place", "text"), "answer", "kind")
 
 
@@ -61,16 +61,38 @@ def with_grams(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("grams", text.trigrams(text.normalize(F.col(column))))
 
 
+def term_lists(candidates: DataFrame) -> DataFrame:
+    """item_id, pos, terms."""
+    return with_terms(candidates.select("item_id", "pos", "text"), "text").select("item_id", "pos", "terms")
+
+
+def gram_lists(candidates: DataFrame) -> DataFrame:
+    """item_id, pos, grams."""
+    return with_grams(candidates.select("item_id", "pos", "text"), "text").select("item_id", "pos", "grams")
+
+
+def kept_once(rows: DataFrame, label: str) -> DataFrame:
+    """rows from a table in the shared folder, for what is read several times."""
+    return kept(rows, shared_path(rows.sparkSession, label))
+
+
 def postings(candidates: DataFrame) -> DataFrame:
     """item_id, pos, term, tf, doc_len."""
-    rows = with_terms(candidates.select("item_id", "pos", "text"), "text")
-    each = rows.select("item_id", "pos", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+    return postings_of(term_lists(candidates))
+
+
+def postings_of(lists: DataFrame) -> DataFrame:
+    each = lists.select("item_id", "pos", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
     return each.groupBy("item_id", "pos", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def bm25_corpus(candidates: DataFrame) -> DataFrame:
     """One row: n phrasings and their mean length in terms."""
-    sized = with_terms(candidates.select("text"), "text").select(F.size("terms").alias("doc_len"))
+    return corpus_of(term_lists(candidates))
+
+
+def corpus_of(lists: DataFrame) -> DataFrame:
+    sized = lists.select(F.size("terms").alias("doc_len"))
     return sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
 
 
@@ -81,12 +103,16 @@ def bm25_df(posted: DataFrame) -> DataFrame:
 
 def gram_rows(candidates: DataFrame) -> DataFrame:
     """item_id, pos, gram."""
-    return with_grams(candidates.select("item_id", "pos", "text"), "text").select("item_id", "pos", F.explode("grams").alias("gram"))
+    return gram_lists(candidates).select("item_id", "pos", F.explode("grams").alias("gram"))
 
 
 def gram_idf(candidates: DataFrame) -> DataFrame:
     """gram, df, idf, and the same unseen_idf in each row."""
-    n = candidates.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    df = gram_rows(candidates).groupBy("gram").agg(F.count("*").alias("df")).withColumn("one", F.lit(1))
+    return idf_of(gram_lists(candidates))
+
+
+def idf_of(lists: DataFrame) -> DataFrame:
+    n = lists.agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    df = lists.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).withColumn("one", F.lit(1))
     joined = df.join(F.broadcast(n), "one")  # one row
     return joined.select("gram", "df", scores.smoothed_idf(F.col("n"), F.col("df")).alias("idf"), scores.smoothed_idf(F.col("n"), F.lit(0)).alias("unseen_idf"))

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from quern.functions import fields, text
 from quern.operators import corpus, fusion, ranking
+from quern.sources.tables import kept, shared_path
 
 MIN_SCORE, MIN_MARGIN, NO_MATCH_BELOW, MAX_SUGGESTIONS = 0.88, 0.05, 0.875, 3
 
 
-def semantic_decision(best: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """best (a row per question, nulls where nothing was found) with ``decision``."""
+def semantic_decision(best: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN, questions: DataFrame | None = None) -> DataFrame:
+    """best (a row per question) with ``decision``; questions without a row in it have no match."""
+    best = best if questions is None else questions.select("question_id").distinct().join(best, "question_id", "left")
     low = F.col("score").isNull() | (F.round("score", 9) < min_score)
     near = F.col("margin").isNotNull() & (F.round("margin", 9) < min_margin)
     return best.withColumn("decision", F.when(low, "NoMatch").when(near, "Ambiguous").otherwise("Confident"))
@@ -58,6 +60,7 @@ def intent_gap(found: DataFrame, questions: DataFrame) -> DataFrame:
 
 def discriminative_terms(questions: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per evidence item its terms that no other item of the question has, and those that the question names."""
+    evidence = kept(evidence.select("question_id", "item_id"), shared_path(evidence.sparkSession, "evidence"))  # read three times
     own = corpus.with_terms(candidates.select("item_id", "text"), "text").select("item_id", F.explode("terms").alias("term")).distinct()
     each = evidence.select("question_id", "item_id").join(own, "item_id")
     unique = each.groupBy("question_id", "term").agg(F.count("*").alias("c"), F.min("item_id").alias("item_id")).where("c = 1")
@@ -105,6 +108,7 @@ def route(questions: DataFrame, candidates: DataFrame, items: DataFrame, below:
     found = asks.join(answer, "question_id", "left").join(clarify, "question_id", "left")
     rest = found.where("answer_item is null and clarify_item is null").select(*questions.columns)
     fused = fusion.evidence(rest, candidates, MAX_SUGGESTIONS, corpus.ANSWER)
+    fused = kept(fused, shared_path(questions.sparkSession, "evidence"))  # read twice
     inside = no_match_gate(fused, below).where("decision = 'InDomain'").select("question_id")
     offered = suggestions(fused.join(inside, "question_id", "left_semi"), items, verifier)
     lists = offered.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("n", "item_id"))).alias("s")).select("question_id", F.transform("s", lambda x: x["item_id"]).alias("suggested"))
@@ -118,5 +122,33 @@ def select_suggestion(chosen: DataFrame, items: DataFrame) -> DataFrame:
     return chosen.join(items.where(F.col("kind") == corpus.ANSWER), "item_id")
 
 
+def above(score: Column, threshold: float) -> Column:
+    """A verifier of scored pairs: the threshold itself passes, no score doesn't."""
+    return F.coalesce(score >= threshold, F.lit(False))
+
+
+def pools(questions: DataFrame, candidates: DataFrame, limit: int = 4) -> DataFrame:
+    """The fused evidence among answers and among clarifications, as ``pool``."""
+    parts = [fusion.evidence(questions, candidates, limit, kind).withColumn("pool", F.lit(kind)) for kind in (corpus.ANSWER, corpus.CLARIFICATION)]
+    return parts[0].unionByName(parts[1])
+
+
+def answer_or_clarification(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per question the reranked best answer and the best clarification; null where there is none."""
+    out = ranking.asked(questions).select("question_id")
+    for kind in (corpus.ANSWER, corpus.CLARIFICATION):
+        best = fusion.rerank(questions, candidates, kind)
+        out = out.join(best.select("question_id", F.col("item_id").alias(f"{kind.lower()}_item_id"), F.col("strategy").alias(f"{kind.lower()}_strategy")), "question_id", "left")
+    return out
+
+
+def projected(evidence: DataFrame, limit: int) -> DataFrame:
+    """The first 1 to 10 rows per question: position, item, ranks and scores."""
+    if not 1 <= limit <= 10:
+        raise ValueError("the limit is from 1 to 10")
+    columns = [c for name in fusion.RANKERS for c in (f"{name}_rank", f"{name}_score")]
+    return evidence.where(F.col("place") <= limit).select("question_id", F.col("place").alias("position"), "item_id", *columns, "rrf")
+
+
 def verifier_text(*parts: Column) -> Column:
     return fields.joined_parts(*parts)

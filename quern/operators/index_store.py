@@ -48,6 +48,10 @@ class IndexStore:
         version = self.version()
         return self.spark.read.parquet(f"{self.path}/v{version}") if version else None
 
+    def ready(self) -> bool:
+        """Whether there is a snapshot to answer from; callers ask again some seconds later if not."""
+        return self.version() > 0
+
     def rebuild(self, candidates: DataFrame) -> int:
         """Write a new snapshot; returns its version."""
         version = self.version() + 1

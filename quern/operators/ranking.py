@@ -7,17 +7,22 @@ ordered after rounding to 9 places, so that the order of additions does not deci
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import scores
 from quern.operators import corpus
 
 #: Questions that are compared with all vectors at once; more are taken in blocks of about this many.
 QUESTION_BLOCK = 2048
+#: Phrasings that are compared with a block of questions at once.
+ROW_BLOCK = 1000
 SEMANTIC_SHARE, LEXICAL_SHARE = 0.85, 0.15
 
 
@@ -43,12 +48,14 @@ def asked(questions: DataFrame) -> DataFrame:
 
 def bm25_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Scores above 0 of phrasings that share a term, through an inverted index."""
-    posted = corpus.postings(candidates)
+    lists = corpus.kept_once(corpus.term_lists(candidates), "terms")
+    terms = corpus.with_terms(asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
+    # Only the terms asked for; each of them with all its postings, so that df is whole.
+    posted = corpus.postings_of(lists).join(terms.select("term").distinct(), "term", "left_semi")
     weighted = posted.join(corpus.bm25_df(posted), "term").withColumn("one", F.lit(1))
-    weighted = weighted.join(F.broadcast(corpus.bm25_corpus(candidates).withColumn("one", F.lit(1))), "one")  # one row
+    weighted = weighted.join(F.broadcast(corpus.corpus_of(lists).withColumn("one", F.lit(1))), "one")  # one row
     part = scores.bm25_term(scores.bm25_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
     index = weighted.select("term", "item_id", "pos", part.alias("part"))
-    terms = corpus.with_terms(asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
     return terms.join(index, "term").groupBy("question_id", "item_id", "pos").agg(F.sum("part").alias("score")).where("score > 0")
 
 
@@ -59,8 +66,9 @@ def bm25_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: s
 
 def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """Twice the shared weight over both sides' weight, for phrasings that share a gram; unseen grams weigh unseen_idf."""
-    idf = corpus.gram_idf(candidates if statistics is None else statistics)
-    grams = corpus.gram_rows(candidates).join(idf.select("gram", "idf"), "gram", "left")
+    lists = corpus.kept_once(corpus.gram_lists(candidates), "grams")
+    idf = corpus.kept_once(corpus.idf_of(lists) if statistics is None else corpus.gram_idf(statistics), "idf")
+    grams = lists.select("item_id", "pos", F.explode("grams").alias("gram")).join(idf.select("gram", "idf"), "gram", "left")
     unseen = F.broadcast(idf.agg(F.max("unseen_idf").alias("unseen")).withColumn("one", F.lit(1)))  # one row
     index = grams.withColumn("one", F.lit(1)).join(unseen, "one").select("gram", "item_id", "pos", F.coalesce("idf", "unseen").alias("w"))
     totals = index.groupBy("item_id", "pos").agg(F.sum("w").alias("own"))
@@ -88,28 +96,64 @@ def dice_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     return shared.select("question_id", "item_id", "pos", (2.0 * F.col("both") / (F.col("own") + F.col("asked"))).alias("score"))
 
 
-def in_blocks(questions: DataFrame, compare: Callable[[DataFrame], DataFrame], size: int = QUESTION_BLOCK) -> DataFrame:
-    """Compare a stated set of questions with all rows, as many questions at a time as may be broadcast."""
-    count = questions.count()
-    blocks = max(1, -(-count // size))
-    # Hashes deal evenly; twice the blocks keeps each below the size that is broadcast.
-    blocks = blocks if blocks == 1 else 2 * blocks
-    parts = [questions if blocks == 1 else questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, [compare(F.broadcast(p)) for p in parts])
+def _matrix(vectors: pa.Array | list) -> np.ndarray:
+    """Vectors at unit length as rows; ragged or zero ones raise."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    rows = np.array([np.asarray(v, np.float64) for v in (vectors.to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else vectors)])
+    size = np.sqrt((rows * rows).sum(1, keepdims=True))
+    if (size == 0).any():
+        raise ValueError("a vector is zero")
+    return rows / size
 
 
-def cosine_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The cosine of every question with every phrasing; negative ones stay."""
-    rows = candidates.select("item_id", "pos", scores.doubles(F.col("embedding")).alias("v"))
+def cosine_scores(questions: DataFrame, candidates: DataFrame, keep: int | None = None, slack: float = 0.0) -> DataFrame:
+    """The cosine of questions with phrasings, as products of matrices; negative ones stay.
+
+    With keep, a block of phrasings gives a question only those that reach its best ``keep`` items in the
+    block, less the slack, ties included: no other can be among the best ``keep`` of all, nor get there by a second
+    score that adds at most the slack. Questions are a stated set, sent in blocks of at most QUESTION_BLOCK.
+    """
+    rows = candidates.select(F.col("item_id").cast("string").alias("item_id"), F.col("pos").cast("long").alias("pos"), scores.doubles(F.col("embedding")).alias("v"))
+    kind = next(f for f in questions.schema if f.name == "question_id").dataType
+    schema = T.StructType([T.StructField("question_id", kind), T.StructField("item_id", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
     asks = questions.select("question_id", scores.doubles(F.col("embedding")).alias("q"))
-    # Every phrasing has a cosine with every question of the block; the block is bounded.
-    both = lambda block: rows.crossJoin(block).select("question_id", "item_id", "pos", scores.cosine(F.col("q"), F.col("v")).alias("score"))
-    return in_blocks(asks, both)
+    blocks = max(1, -(-asks.count() // QUESTION_BLOCK))
+    # Hashes deal evenly; twice the blocks keeps each below the size that is sent.
+    blocks = blocks if blocks == 1 else 2 * blocks
+
+    def compared(block: DataFrame) -> DataFrame:
+        asked = block.collect()  # a block of questions
+        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], _matrix([r[1] for r in asked])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            ids = pa.array(ids)
+            for batch in batches:
+                for first in range(0, batch.num_rows if len(ids) else 0, ROW_BLOCK):
+                    part = batch.slice(first, ROW_BLOCK)
+                    vectors = _matrix(part.column(2))
+                    if vectors.shape[1] != matrix.shape[1]:
+                        raise ValueError("vectors differ in length")
+                    cosine = matrix @ vectors.T
+                    least = np.full((len(ids), 1), -np.inf)
+                    if keep is not None:
+                        codes = part.column(0).dictionary_encode().indices.to_numpy()
+                        order = np.argsort(codes, kind="stable")
+                        best = np.maximum.reduceat(cosine[:, order], np.searchsorted(codes[order], np.arange(codes.max() + 1)), axis=1)
+                        if best.shape[1] > keep > 0:
+                            least = np.partition(best, -keep, axis=1)[:, -keep, None] - slack - 2e-9  # scores are compared at nine places
+                    q, c = np.nonzero(cosine >= least)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(c)), part.column(1).take(pa.array(c)), pa.array(cosine[q, c])], ["question_id", "item_id", "pos", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [compared(asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
 def semantic_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
     candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(cosine_scores(questions, candidates)), candidates, k)
+    return top(best_phrasing(cosine_scores(questions, candidates, k)), candidates, k)
 
 
 def centroids(candidates: DataFrame) -> DataFrame:
@@ -126,12 +170,12 @@ def centroids(candidates: DataFrame) -> DataFrame:
 
 def centroid_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
     candidates = corpus.of_kind(candidates, kind)
-    return top(cosine_scores(questions, centroids(candidates)), candidates, k)
+    return top(cosine_scores(questions, centroids(candidates), k), candidates, k)
 
 
-def blended_scores(questions: DataFrame, candidates: DataFrame, lexical: DataFrame) -> DataFrame:
-    """0.85 of the cosine and 0.15 of a lexical score."""
-    near = cosine_scores(questions, candidates).withColumnRenamed("score", "cosine")
+def blended_scores(questions: DataFrame, candidates: DataFrame, lexical: DataFrame, keep: int | None = None) -> DataFrame:
+    """0.85 of the cosine and 0.15 of a lexical score from 0 to 1; with keep, where they can be among the best items of a question."""
+    near = cosine_scores(questions, candidates, keep, LEXICAL_SHARE / SEMANTIC_SHARE).withColumnRenamed("score", "cosine")
     joined = near.join(lexical.withColumnRenamed("score", "lexical"), ["question_id", "item_id", "pos"], "left")
     lexical_part = F.coalesce("lexical", F.lit(0.0))
     return joined.select("question_id", "item_id", "pos", (SEMANTIC_SHARE * F.col("cosine") + LEXICAL_SHARE * lexical_part).alias("score"))
@@ -154,10 +198,15 @@ def semantic_best(questions: DataFrame, candidates: DataFrame, kind: str | None
 
 
 def hybrid_best(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    scored = blended_scores(asked(questions), candidates, dice_scores(questions, candidates))
+    # Only pairs that the cosine leaves in play are read for their grams.
+    near = corpus.kept_once(cosine_scores(asked(questions), candidates, 2, LEXICAL_SHARE / SEMANTIC_SHARE), "near")
+    own = corpus.gram_lists(candidates).join(near.select("item_id", "pos").distinct(), ["item_id", "pos"], "left_semi")
+    asks = corpus.with_grams(asked(questions), "question").select("question_id", F.col("grams").alias("asked"))
+    both = near.join(own, ["item_id", "pos"]).join(asks, "question_id")
+    scored = both.select("question_id", "item_id", "pos", (SEMANTIC_SHARE * F.col("score") + LEXICAL_SHARE * scores.dice(F.col("asked"), F.col("grams"))).alias("score"))
     return with_runner_up(top(best_phrasing(scored), candidates, 2))
 
 
 def weighted_hybrid_best(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    scored = blended_scores(asked(questions), candidates, weighted_dice_scores(questions, candidates))
+    scored = blended_scores(asked(questions), candidates, weighted_dice_scores(questions, candidates), 2)
     return with_runner_up(top(best_phrasing(scored), candidates, 2))

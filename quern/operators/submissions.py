@@ -69,6 +69,55 @@ def not_trapped(hidden: Column) -> Column:
     return fields.non_blank(hidden).isNull()
 
 
+def stored_name_ok(name: Column) -> Column:
+    """A name that the library gave to a stored file: no folder, 32 hexadecimal digits, a PDF."""
+    return F.coalesce(name.rlike(STORED_NAME), F.lit(False))
+
+
+# Forms with their numbers in the tables of submissions; the last is for unknown names.
+FORMS = {"job_interest_form": (40, 61, "d7c7277", "61"), "contact_form": (34, 129, "7f7b520", "129"), "product_demo_form": (34, 129, "7f7b520", "129"), "consult_form": (34, 129, "7f7b520", "129")}
+
+
+def form_definition(name: Column) -> Column:
+    """The form's name and numbers as a struct."""
+    low = F.lower(F.trim(name))
+    row = lambda form: F.struct(F.lit(form).alias("form_name"), *[F.lit(v).alias(k) for k, v in zip(("main_meta_id", "post_id", "element_id", "edit_post_id"), FORMS[form], strict=True)])
+    *known, default = FORMS
+    out = F.when(low == known[0], row(known[0]))
+    for form in known[1:]:
+        out = out.when(low == form, row(form))
+    return out.otherwise(row(default))
+
+
+class SubmissionStore:
+    """Headers and values of submissions under one path; a batch is there as a whole or not at all."""
+
+    def __init__(self, spark, path: str) -> None:  # noqa: ANN001
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self, *parts: str):  # noqa: ANN202
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write(self, batch_id: int, headers: DataFrame, values: DataFrame) -> bool:
+        """Both tables of a batch by one rename; False for a batch that is there already, as streams repeat them."""
+        final, files = self._files(f"batch={batch_id}")
+        if files.exists(final):
+            return False
+        staged, _ = self._files(f"_staged-{batch_id}")
+        files.delete(staged, True)  # what a failed try left
+        headers.write.parquet(f"{staged}/headers")
+        values.write.parquet(f"{staged}/values")
+        if not files.rename(staged, final):
+            files.delete(staged, True)
+            return False
+        return True
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/batch=*/{table}")
+
+
 def with_ids(rows: DataFrame, last_id: int, *order: str) -> DataFrame:
     """New ids behind the last, in order of the columns, by a sort over ranges and counts per part."""
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())

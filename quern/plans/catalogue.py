@@ -157,6 +157,10 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return fusion.evidence(mixed_questions(spark, d), mixed_candidates(spark, d))
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.evidence(mixed_questions(spark, d), mixed_candidates(spark, d), 4, corpus.ANSWER)
+
+
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     rows = _evidence(spark, d)
@@ -170,7 +174,9 @@ def margin_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def semantic_decision(spark: SparkSession, d: str) -> DataFrame:
-    rows = decide.semantic_decision(ranking.semantic_best(vector_questions(spark, d), vector_candidates(spark, d)))
+    """Every second question finds candidates only."""
+    asked = vector_questions(spark, d)
+    rows = decide.semantic_decision(ranking.semantic_best(asked.where("question_id % 40 = 0"), vector_candidates(spark, d)), questions=asked)
     return shown(rows.select("question_id", "item_id", "score", "margin", "decision"))
 
 
@@ -196,14 +202,14 @@ def intent_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discriminative_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = decide.discriminative_terms(mixed_questions(spark, d), _evidence(spark, d), mixed_candidates(spark, d))
+    rows = decide.discriminative_terms(mixed_questions(spark, d), _answers(spark, d), mixed_candidates(spark, d))
     return rows.withColumn("matched", F.array_join("matched", " "))
 
 
 @query
 def winner_discriminative(spark: SparkSession, d: str) -> DataFrame:
-    winners = fusion.rerank(mixed_questions(spark, d), mixed_candidates(spark, d)).select("question_id", "item_id", "strategy")
-    rows = decide.discriminative_terms(mixed_questions(spark, d), _evidence(spark, d), mixed_candidates(spark, d))
+    winners = fusion.rerank(mixed_questions(spark, d), mixed_candidates(spark, d), corpus.ANSWER).select("question_id", "item_id", "strategy")
+    rows = decide.discriminative_terms(mixed_questions(spark, d), _answers(spark, d), mixed_candidates(spark, d))
     return winners.join(rows, ["question_id", "item_id"], "left").withColumn("matched", F.array_join("matched", " "))
 
 

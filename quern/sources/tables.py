@@ -53,7 +53,14 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: in
     return reader.load()
 
 
-def knowledge_items(nodes: DataFrame) -> DataFrame:
-    """Children of the first knowledge base under any root, in tree order."""
-    bases = nodes.where("type = 'knowledgeBase'").orderBy("level", "sort_order", "id").limit(1).select(F.col("id").alias("parent_id"))
-    return nodes.where("type = 'faqItem'").join(F.broadcast(bases), "parent_id")
+def knowledge_items(nodes: DataFrame, base: str = "knowledgeBase", item: str = "faqItem") -> DataFrame:
+    """Children of the first knowledge base directly below a root, in tree order; none without a base."""
+    roots = nodes.where("parent_id is null").select(F.col("id").alias("parent_id"), F.col("sort_order").alias("root_order"))
+    found = nodes.where(F.col("type") == base).join(roots, "parent_id")
+    first = found.orderBy("root_order", "parent_id", "sort_order", "id").limit(1).select(F.col("id").alias("parent_id"))
+    return nodes.where(F.col("type") == item).join(F.broadcast(first), "parent_id")  # one row
+
+
+def look_up(nodes: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """wanted (id) with the columns of the node of that id; nulls where there is none, or one of another type."""
+    return wanted.select("id").join(nodes.where(F.col("type") == kind), "id", "left")

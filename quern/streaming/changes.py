@@ -1,13 +1,13 @@
-"""Change feeds, fixed-window limits and response memory as Structured Streaming."""
+"""Change feeds and fixed-window limits, for streams too, and the memory of responses."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from quern.operators.index_store import IndexStore
 
@@ -52,27 +52,22 @@ def rejected_counts(events: DataFrame, client: str, ts: str, width: str, permits
     return counts.select(client, F.col("window.start").alias("window_start"), "n", F.greatest(F.lit(0), F.col("n") - permits).alias("rejected"))
 
 
-def remember(requests: DataFrame, idle_ms: int = 900_000) -> DataFrame:
-    """Per cache key (key, version, reply) of a stream whether the reply was known; forgotten when idle, and by a newer version."""
+def from_memory(requests: DataFrame, key: str, ts: str, idle_seconds: int = 900, most_seconds: int = 3600) -> DataFrame:
+    """requests with ``hit``: whether a reply was known that was last used less than idle and made less than most seconds ago.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.get if state.exists else None
-        for frame in frames:
-            out = []
-            for version, reply in zip(frame["version"], frame["reply"], strict=True):
-                if known is None or version > known[0]:
-                    known = (int(version), reply)
-                    out.append((key[0], int(version), reply, False))
-                else:
-                    # An older version's reply is neither stored nor used.
-                    out.append((key[0], int(version), known[1] if version == known[0] else reply, bool(version == known[0])))
-            state.update(known)
-            state.setTimeoutDuration(idle_ms)
-            yield pd.DataFrame(out, columns=["key", "version", "reply", "hit"])
-
-    return requests.groupBy("key").applyInPandasWithState(
-        run, "key string, version long, reply string, hit boolean", "version long, reply string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    Requests of one key are gone through in order of time, in one task without being gathered; what is kept is two times.
+    """
+    place = requests.columns.index(key), requests.columns.index(ts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, made, used = None, 0, 0
+        for batch in batches:
+            hits = []
+            for own, time in zip(batch.column(place[0]).to_pylist(), batch.column(place[1]).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), strict=True):
+                hit = own == at and time - used < idle_seconds * 1_000_000 and time - made < most_seconds * 1_000_000
+                at, made, used = own, made if hit else time, time
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
+
+    ordered = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts)
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("hit", T.BooleanType())]))

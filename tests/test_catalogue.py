@@ -7,7 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quern.plans import catalogue, oracle
+from quern.plans import catalogue, further, oracle, oracle_further
+
+QUERIES, SQL = catalogue.QUERIES | further.QUERIES, oracle.SQL | oracle_further.SQL
 
 TABLES = Path("/root/testdata/sf0.001")
 
@@ -28,10 +30,10 @@ def same(spark, name, query, sql, tables=TABLES):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no tables here")
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
-    same(spark, name, catalogue.QUERIES[name], oracle.SQL[name])
+    same(spark, name, QUERIES[name], SQL[name])
 
 
 def test_names_agree():
-    assert set(oracle.SQL) <= set(catalogue.QUERIES)
+    assert set(SQL) <= set(QUERIES)

@@ -106,10 +106,21 @@ def test_question_blocks_agree(spark):
     whole = sorted(map(tuple, ranking.cosine_scores(asks, some).collect()))
     size, ranking.QUESTION_BLOCK = ranking.QUESTION_BLOCK, 2
     try:
-        parted = ranking.in_blocks(asks.select("question_id", scores.doubles(F.col("embedding")).alias("q")), lambda b: some.select("item_id", "pos", scores.doubles(F.col("embedding")).alias("v")).crossJoin(b).select("question_id", "item_id", "pos", scores.cosine(F.col("q"), F.col("v")).alias("score")), 2)
+        parted = ranking.cosine_scores(asks, some)
+        near = ranking.cosine_scores(asks, some, 2)
     finally:
         ranking.QUESTION_BLOCK = size
-    assert sorted(map(tuple, parted.collect())) == whole
+    assert sorted(map(tuple, parted.collect())) == whole and len(whole) == 180
+    # By blocks at least the best two items of each question stay, and the tops agree.
+    assert set(map(tuple, near.collect())) <= set(whole)
+    rows, best = ranking.ROW_BLOCK, sorted(map(tuple, ranking.semantic_top(asks, some, None).where("rank <= 3").collect()))
+    ranking.ROW_BLOCK = 3
+    try:
+        assert sorted(map(tuple, ranking.semantic_top(asks, some, 3).collect())) == best
+    finally:
+        ranking.ROW_BLOCK = rows
+    expected = {(r.question_id, r.pos): r.s for r in asks.crossJoin(some.select("pos", F.col("embedding").alias("v"))).select("question_id", "pos", scores.cosine(scores.doubles(F.col("embedding")), scores.doubles(F.col("v"))).alias("s")).collect()}
+    assert all(abs(expected[q, pos] - s) < 1e-12 for q, _, pos, s in whole)
 
 
 def test_items_are_cleaned_and_expanded(spark):

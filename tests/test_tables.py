@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,46 @@ def test_models(spark):
     found = [sum(x * x for x in r[0]) for r in rows.select(models.embedder(models.hashed_vectors)("t")).collect()]
     assert all(abs(x - 1) < 1e-6 for x in found)
     assert models.trim_pair([1] * 6, [2] * 6, 8) == ([1] * 4, [2] * 4) and models.trim_pair([1] * 9, [2], 8) == ([1] * 7, [2])
+
+
+def test_knowledge_is_below_a_root(spark):
+    rows = [("r", None, 1, 2, "home"), ("s", None, 1, 1, "home"), ("x", "r", 2, 0, "page"), ("deep", "x", 3, 0, "base"), ("b2", "r", 2, 1, "base"), ("b1", "s", 2, 9, "base"), ("i1", "b1", 3, 0, "item"), ("i2", "b2", 3, 0, "item"), ("i3", "deep", 4, 0, "item")]
+    tree = spark.createDataFrame(rows, "id string, parent_id string, level int, sort_order long, type string")
+    assert [r.id for r in tables.knowledge_items(tree, "base", "item").collect()] == ["i1"]
+    assert tables.knowledge_items(tree.where("type <> 'base'"), "base", "item").count() == 0
+    found = tables.look_up(tree, spark.createDataFrame([("i1",), ("r",), ("none",)], "id string"), "item")
+    assert {r.id: r.type for r in found.collect()} == {"i1": "item", "r": None, "none": None}
+
+
+def test_submissions_are_written_whole_or_not_at_all(spark, tmp_path):
+    store = submissions.SubmissionStore(spark, f"file://{tmp_path}/s")
+    headers, values = spark.createDataFrame([(1, "f")], "id long, form_name string"), spark.createDataFrame([(1, "k", "v")], "submission_id long, key string, value string")
+    assert store.write(1, headers, values) and not store.write(1, headers, values) and store.write(2, headers, values)
+    assert store.read("headers", "id long, form_name string").count() == 2 and store.read("values", "key string").count() == 2
+    broken = values.withColumn("value", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.write(3, headers, broken)
+    assert store.read("headers", "id long, form_name string").count() == 2
+    assert store.write(3, headers, values) and store.read("values", "key string").count() == 3
+
+
+def test_memory_of_responses(spark):
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    rows = [("a", at(m)) for m in (0, 10, 24, 38, 52, 59, 61, 90)] + [("b", at(5)), ("b", at(20)), (None, at(1))]
+    got = changes.from_memory(spark.createDataFrame(rows, "key string, ts timestamp").repartition(3), "key", "ts").collect()
+    hits = {(r.key, (r.ts - at(0)).seconds // 60): r.hit for r in got}
+    assert hits == {("a", 0): False, ("a", 10): True, ("a", 24): True, ("a", 38): True, ("a", 52): True, ("a", 59): True, ("a", 61): False, ("a", 90): False, ("b", 5): False, ("b", 20): False}
+
+
+def test_pairs_for_models():
+    assert models.model_ids([5, 0, 7]) == [0, 6, 3, 8, 2] and len(models.model_ids(list(range(1, 2000)))) == 512
+    assert models.pair_ids([5], [0, 9]) == [0, 6, 2, 2, 3, 10, 2] and len(models.pair_ids(list(range(600)), [1, 2])) == 512
+    vectors = np.array([[[1.0, 3.0], [3.0, 5.0], [9.0, 9.0]]])
+    assert models.mean_pool(vectors, np.array([[1, 1, 0]])).tolist() == [[2.0, 4.0]]
+
+
+def test_upward_walk_and_circles(spark):
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent_id string")
+    assert {(r.id, r.above, r.distance) for r in content.ancestors_or_self(tree, tree.where("id = 'c'")).collect()} == {("c", "c", 0), ("c", "b", 1), ("c", "a", 2)}
+    with pytest.raises(ValueError, match="circle"):
+        content.ancestors_or_self(spark.createDataFrame([("a", "b"), ("b", "a")], tree.schema), tree.where("id = 'a'"))
