@@ -1,4 +1,4 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over blocks of the corpus.
 
 The pieces of a block of documents are gathered, each new one once, and the merges are replayed over
 all of them together: an inverted index from merge rank (that is, from the token that a pair forms)
@@ -9,12 +9,13 @@ by itself, because pieces never touch.
 
 Defined results: a null or empty text has no ids; decoding no ids gives no bytes; ids outside the
 vocabulary raise; texts are encoded whole at any length; rows are handled one by one (ties,
-repeated rows, empty tables) and other columns are neither read nor returned.
+repeated rows, null keys, empty tables) and other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right
 from heapq import heappop, heappush
@@ -28,6 +29,9 @@ from quern.llm.common import map_batches, with_text
 
 #: Pieces kept in each of the two generations of a worker's memory.
 MEMORY_PIECES = 250_000
+# Letters and numbers of later Unicode versions than 16, by which the pieces are defined; regular expressions here may know them.
+LATE_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+LATE_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
 #: Characters of text whose pieces are gathered before a replay.
 BLOCK_CHARS = 2 << 20
 
@@ -37,6 +41,11 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
+def _ranges(listed: str) -> str:
+    """The inside of a class of characters."""
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in listed.split())
+
+
 class MergeReplay:
     """A vocabulary of byte strings by rank, its piece pattern, and a memory of pieces."""
 
@@ -48,7 +57,12 @@ class MergeReplay:
             self.tokens[rank] = token
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         # White space as Unicode defines it; some regex engines count more control characters in.
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        plain = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.pattern = regex.compile(plain)
+        # The same with letters and numbers of Unicode 16 alone, for texts in which that matters.
+        letters, numbers = (_ranges(late) for late in (LATE_LETTERS, LATE_NUMBERS))
+        pinned = plain.replace(r"\p{L}", rf"[\p{{L}}--[{letters}]]").replace(r"\p{N}", rf"[\p{{N}}--[{numbers}]]")
+        self.pinned, self.late = regex.compile(pinned, regex.V1), re.compile(f"[{letters}{numbers}]")
         #: What two neighbours form: left * size + right to rank.
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -61,6 +75,9 @@ class MergeReplay:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.pinned if not text.isascii() and self.late.search(text) else self.pattern).findall(text)
+
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of each piece after all merges, in rank order over all pieces at once."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -134,7 +151,7 @@ class MergeReplay:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(t) for t in texts]
+        split = [self.pieces(t) for t in texts]
         if len(self.young) > MEMORY_PIECES:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old

@@ -276,6 +276,29 @@ def test_merge_replay_equals_tiktoken():
     assert [coder.decode(b) for b in coded] == [t.encode() for t in texts]
 
 
+def test_classes_of_characters_are_those_of_the_library():
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    bytes_alone = {bytes([b]): b for b in range(256)}
+    own = bpe.MergeReplay(bytes_alone, r"\p{L}|\p{N}|\s")
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        known = tiktoken.Encoding("own", pat_str=name, mergeable_ranks=bytes_alone, special_tokens={})
+        theirs = set("".join(known.decode(known.encode_ordinary("".join(every[a : a + 50_000]))) for a in range(0, len(every), 50_000)))
+        ours = bpe.MergeReplay(bytes_alone, name)
+        assert set("".join(p for a in range(0, len(every), 50_000) for p in ours.pieces("".join(every[a : a + 50_000])))) == theirs
+        assert theirs <= set("".join(own.pieces("".join(every))))
+
+
+def test_random_unicode_equals_tiktoken():
+    rng = random.Random(12)
+    ranks = bpe.load_ranks(open(BPE, "rb").read())
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.MergeReplay(ranks, public_tokenizers.PATTERN)
+    odd = ["\U000190e0", "\U00018e9b", "\U000107bb", "\U00018e4d", "'ll", "'s", " ", "\n", "\u0558", "\x1c", "\x85", "é", "中", "12", "²", "a", "Z", "!", "\U00012550"]
+    char = lambda: chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x300, 0xD800), rng.randrange(0xE000, 0x20000))))
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.6 else char() for _ in range(rng.randrange(12))) for _ in range(6000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [known.encode_ordinary(t) for t in texts]
+
+
 def test_replay_with_merges_out_of_rank_order():
     """Ranks of which a later merge makes a pair of a lower rank, against merging each piece by itself."""
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 301, b"cd": 299, b"abcd": 298, b"aa": 302, b"aab": 297}
