@@ -7,8 +7,8 @@ depends on key and kind alone, so equal values get equal pseudonyms in all docum
 different ones never meet.
 
 Defined results: a null text stays null and an empty one empty, with no findings; whole texts of
-any length are read; rows are handled one by one (ties, repeated rows, empty tables); other
-columns stay as they are, but for a column of the name ``pii_counts``, which the result replaces.
+any length are read; rows are handled one by one (ties, repeated rows, null keys, empty tables); other
+columns stay as they are, but for one of the name of ``counts``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from hashlib import blake2b
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quern.llm.common import map_batches
@@ -30,7 +30,10 @@ ROUNDS = 10
 MEMORY_VALUES = 100_000
 #: Characters permuted as one number; longer secrets are permuted stretch by stretch, as one large number takes quadratic time.
 STRETCH = 512
+#: For tests and demonstrations; whoever knows the key can undo the pseudonyms.
 DEMO_KEY = b"quern demonstration key; pass your own"
+#: Setting of a session that holds the secret key.
+KEY_SETTING = "quern.pii.key"
 
 PATTERN = re.compile(
     r"""
@@ -127,28 +130,36 @@ def number(cipher: Feistel, text: str) -> str | None:
     return _refill(text, head + luhn_digit(head))
 
 
+def _day(cipher: Feistel, day: datetime.date) -> datetime.date:
+    """A day from 1900 to 2099 for each, the same whatever format it is written in.
+
+    Days of the month up to 12 and later ones stay among themselves, so that what is written with the month
+    first, because it can't be read otherwise, stays so.
+    """
+    x = day.toordinal() - FIRST_DAY
+    while True:
+        x = cipher.permute("date", x, LAST_DAY - FIRST_DAY + 1)
+        new = datetime.date.fromordinal(FIRST_DAY + x)
+        if (new.day > 12) == (day.day > 12):
+            return new
+
+
 def date(cipher: Feistel, text: str) -> str | None:
-    """Days from 1900 to 2099 permuted; dates with the month first only among those that can't be read otherwise."""
+    """Year first, day first, or month first where it can't be read otherwise; numbers are as wide as they were."""
     a, b, c = map(int, re.split(r"\D", text))
     sep = re.search(r"\D", text)[0]
     day_of = {"ymd": lambda: (a, b, c), "dmy": lambda: (c, b, a), "mdy": lambda: (c, a, b)}
     for order in ("ymd",) if sep == "-" else ("dmy", "mdy") if sep == "/" else ("dmy",):
         try:
-            day = datetime.date(*day_of[order]()).toordinal()
+            day = datetime.date(*day_of[order]())
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             continue
-        wide = sep == "-" or len(text) == 10
-        while True:
-            day = FIRST_DAY + cipher.permute(f"date{order}{sep}{wide}", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1)
-            d = datetime.date.fromordinal(day)
-            short = d.day < 10 or d.month < 10
-            if (order == "mdy" and d.day <= 12) or (not wide and not short):
-                continue
-            n = (lambda x: f"{x:02d}") if wide else str
-            parts = {"ymd": (f"{d.year}", n(d.month), n(d.day)), "dmy": (n(d.day), n(d.month), f"{d.year}"), "mdy": (n(d.month), n(d.day), f"{d.year}")}
-            return sep.join(parts[order])
+        d = _day(cipher, day)
+        n = (lambda x: f"{x:02d}") if sep == "-" or len(text) == 10 else str
+        parts = {"ymd": (f"{d.year}", n(d.month), n(d.day)), "dmy": (n(d.day), n(d.month), f"{d.year}"), "mdy": (n(d.month), n(d.day), f"{d.year}")}
+        return sep.join(parts[order])
     return None
 
 
@@ -265,11 +276,17 @@ class Pseudonyms:
         return ("".join(out) + text[done:] if out else text), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") -> DataFrame:
-    """docs with the personal data in its texts replaced, and pii_counts (kind to number of values)."""
-    rest = docs.drop("pii_counts")
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session is set to; without one the demonstration key, as tests and the queries on given tables have."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str = "pii_counts") -> DataFrame:
+    """docs with the personal data in its texts replaced under the key, and counts (kind to number of values)."""
+    rest = docs.drop(counts)
     place = rest.columns.index(text)
-    schema = T.StructType([*rest.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.LongType()))])
+    schema = T.StructType([*rest.schema.fields, T.StructField(counts, T.MapType(T.StringType(), T.LongType()))])
     made: dict[str, Pseudonyms] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -277,7 +294,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") ->
         found = [(None, {}) if t is None else names.replace(t) for t in batch.column(place).to_pylist()]
         columns = list(batch.columns)
         columns[place] = pa.array([t for t, _ in found], columns[place].type)
-        counts = pa.array([list(c.items()) for _, c in found], pa.map_(pa.string(), pa.int64()))
-        return pa.RecordBatch.from_arrays([*columns, counts], [*batch.schema.names, "pii_counts"])
+        numbers = pa.array([list(c.items()) for _, c in found], pa.map_(pa.string(), pa.int64()))
+        return pa.RecordBatch.from_arrays([*columns, numbers], [*batch.schema.names, counts])
 
     return map_batches(rest, run, schema)

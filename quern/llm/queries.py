@@ -14,7 +14,7 @@ from quern.llm.common import Scratch, documents
 from quern.llm.decontam import find_leaks
 from quern.llm.jaccard import jaccard_components
 from quern.llm.licenses import scan_licenses
-from quern.llm.pii import pseudonymise
+from quern.llm.pii import pseudonymise, session_key
 from quern.llm.quality import quality_rules
 from quern.llm.repeats import remove_repeats
 
@@ -24,7 +24,7 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = F.col("pii_counts")
     total = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b)
     kinds = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws(":", e["key"], e["value"]))
-    done = pseudonymise(documents(spark, sf_dir, "doc_id", "text"))
+    done = pseudonymise(documents(spark, sf_dir, "doc_id", "text"), session_key(spark))
     return done.select("doc_id", "text", total.alias("n_values"), F.array_join(kinds, ",").alias("kinds"))
 
 
