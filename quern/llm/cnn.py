@@ -5,13 +5,13 @@ cover it takes the strongest answer of every filter (max pooling); a small dense
 into a logit per chunk, and the mean over the chunks into one probability. Filters are sums of
 learned values per byte and place, so two bytes at a time are looked up in a table of byte pairs.
 
-The network is fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a hash of
-the key, of the labels that ``held_out`` leaves; everything else reads all rows.
+The network is fitted on the driver on at most ``sample_rows`` labelled rows and ``sample_bytes`` of their
+texts, chosen by a hash of the key, of the labels that ``held_out`` leaves; everything else reads all rows.
 
 Defined results: a null or empty text is one chunk of no bytes and gets the score that the biases
 give; a text of any length is scored chunk by chunk in bounded memory; without usable labels all
-scores are 0.5; a key with several labels counts each of them; an empty table gives an empty
-result; other columns are neither read nor returned.
+scores are 0.5; a key with several labels counts each of them; repeated rows count once for fitting and
+are scored one by one, as are those with a null key; an empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -178,15 +178,35 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """A network from at most sample_rows labelled rows that are not held out."""
+def sample_of_labels(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[int, str]]:
+    """(label, text) of at most sample_rows labelled rows that are not held out and sample_bytes of texts, by a hash of the key.
+
+    A row whose text would pass the bytes left is left out, and the next ones are tried.
+    """
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    # The sample is bounded by sample_rows, and so is what is broadcast and collected.
-    rows = with_text(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1], r[2]))
-    return fit([r[2].encode() for r in rows], [r[1] for r in rows])
+    # At most sample_rows rows are broadcast and collected; of their texts first the lengths alone.
+    rows = with_text(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.xxhash64("text")
+    sized = rows.select(F.xxhash64("doc_id").alias("place"), "doc_id", "label", F.octet_length("text").alias("n"), mark.alias("mark")).collect()
+    fits, left = set(), sample_bytes
+    for _, doc, own, n, m in sorted(set(map(tuple, sized))):
+        if n < left:
+            fits.add((doc, own, m))
+            left -= n
+    if not fits:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted(fits), "doc_id long, label int, mark long")
+    found = rows.withColumn("mark", mark).join(F.broadcast(wanted), ["doc_id", "label", "mark"]).select("doc_id", "label", "text").distinct().collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1], r[2]))
+    return [(r[1], r[2]) for r in found]
+
+
+def fit_from_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, sample_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
+    """A network from at most sample_rows labelled rows, and sample_bytes of their texts, that are not held out."""
+    rows = sample_of_labels(docs, labels, sample_rows, sample_bytes, key, text, label)
+    return fit([t.encode() for _, t in rows], [own for own, _ in rows])
 
 
 def _scorer(docs: DataFrame, net: Network) -> Callable[[pa.Array], np.ndarray]:

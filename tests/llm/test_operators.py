@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import datetime as dt
 import random
 import re
 import zlib
@@ -74,6 +75,32 @@ def test_month_first_dates_stay_readable():
         assert int(new.split("/")[0]) <= 12 and int(new.split("/")[1]) > 12
 
 
+def test_dates_are_linked_over_formats():
+    names = pii.Pseudonyms(b"k")
+    for year, month, day in ((2020, 2, 29), (2020, 2, 1), (1999, 12, 31), (1900, 1, 1), (2099, 12, 12)):
+        iso = names.replace(f"{year}-{month:02d}-{day:02d}")[0]
+        y, m, d = map(int, iso.split("-"))
+        wide, narrow = f"{d:02d}/{m:02d}/{y}", f"{d}/{m}/{y}"
+        assert names.replace(f"{day:02d}.{month:02d}.{year}")[0] == wide.replace("/", ".") and names.replace(f"{day:02d}/{month:02d}/{year}")[0] == wide
+        if len(f"{day}/{month}/{year}") < 10:
+            assert names.replace(f"{day}/{month}/{year}")[0] == narrow
+        if day > 12:
+            assert names.replace(f"{month:02d}/{day:02d}/{year}")[0] == f"{m:02d}/{d:02d}/{y}"
+    first = dt.date(1900, 1, 1)
+    days = [first + dt.timedelta(k) for k in range((dt.date(2099, 12, 31) - first).days + 1)]
+    assert sorted(pii._day(names.cipher, d) for d in days) == days
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    """Cards and dates of a table by an implementation of its own."""
+    rng = random.Random(8)
+    card = lambda: (lambda head: head + pii.luhn_digit(head))("".join(rng.choice("0123456789") for _ in range(15)))
+    rows = [(k, " and ".join(rng.choice((card(), "1234567890123456", f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", "words")) for _ in range(6))) for k in range(60)]
+    rows += [rows[0], (None, rows[1][1]), (70, None), (71, "")]
+    got = sorted(((r.doc_id, r.text) for r in pii.pseudonymise(cases.frame(spark, rows), b"secret").collect()), key=repr)
+    assert got == sorted(((k, cases.with_pseudonyms(b"secret", t)) for k, t in rows), key=repr)
+
+
 def test_long_secrets_are_replaced_whole():
     names, rng = pii.Pseudonyms(b"k"), random.Random(6)
     run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
@@ -109,13 +136,13 @@ def test_hint_lets_all_values_through():
 
 
 def test_pseudonymise_table(spark, docs, none):
-    got = pii.pseudonymise(docs)
+    got = pii.pseudonymise(docs, b"k")
     assert got.columns == docs.drop("pii_counts").columns + ["pii_counts"]
     assert {r.doc_id: r.text for r in got.collect()} == dict(ROWS)
     assert got.where("doc_id = 0").first().pii_counts == {}
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, b"k").count() == 0
     hits = cases.frame(spark, [(k, "ip 97.51.17.173 password=b7db7aa4a5fcc783") for k in range(50)])
-    assert len({r.text for r in pii.pseudonymise(hits).collect()}) == 1
+    assert len({r.text for r in pii.pseudonymise(hits, b"k").collect()}) == 1
 
 
 # -- 2: quality rules
@@ -381,6 +408,30 @@ def test_classifier(spark, docs, none):
     assert [r.score for r in cnn.score_quality(table.limit(2), cnn.fit_from_labels(table, labels.limit(0))).collect()] == [0.5, 0.5]
 
 
+def test_scores_equal_plain_convolution(spark):
+    rng = np.random.default_rng(3)
+    net = cnn.Network.fresh(filters=3, hidden=2, seed=5)
+    net.bias[:], net.dense_bias[:], net.out_bias[:] = rng.normal(0, 0.3, 3), rng.normal(0, 0.3, 2), 0.2
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)).replace(b"\0", b"a") for n in (0, 1, 3, 4, 250, 256, 257, 509, 512, 513, 1500)]
+    ends = np.cumsum([0, *map(len, texts)])
+    got = cnn.logits(net, net.pairs(), ends, np.frombuffer(b"".join(texts), np.uint8))
+    assert np.allclose(got, [cases.plain_logit(net, t) for t in texts], atol=1e-4)
+    # The same by tables, with null keys and repeated rows.
+    rows = [(None, "abc"), (1, "abc"), (1, "abc"), (2, None), (3, "")]
+    scores = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 5)) for r in cnn.score_quality(cases.frame(spark, rows), net).collect())
+    plain = lambda t: round(float(1 / (1 + np.exp(-cases.plain_logit(net, t)))), 5)
+    assert [s for *_, s in scores] == [plain(t) for t in (b"abc", b"abc", b"abc", b"", b"")]
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rng = random.Random(4)
+    rows = [(k, "long " * 2000 if k % 7 == 0 else prose(rng)) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 5 != 1)) for k, _ in rows], "doc_id long, quality int")
+    for most in (0, 5_000, 50_000, 1 << 30):
+        chosen = cnn.sample_of_labels(cases.frame(spark, rows), labels, 150, most)
+        assert sum(len(t) for _, t in chosen) <= most and len(chosen) <= 150 and (len(chosen) > 0) == (most > 0)
+
+
 def test_held_out_labels_do_not_matter(spark):
     rng = random.Random(4)
     rows = [(k, junk(rng) if k % 5 == 1 else prose(rng)) for k in range(120)]
