@@ -37,7 +37,8 @@ SHINGLE = 5
 BITS = 256
 #: Shingle bags at similarity 0.8 differ in about 39 of 256 bits, small bags in about 51 (deviation 6.4).
 RADIUS = 90
-BLOCK_BYTES = 32 << 20
+#: Text of the items that a worker holds at once; their index takes about six times as much.
+BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"
 
 
@@ -57,75 +58,83 @@ def _blocks() -> list[tuple[int, int]]:
 
 def _block_values(prints: np.ndarray) -> np.ndarray:
     """The number in each block of each fingerprint (bits as 0 and 1)."""
-    return np.stack([prints[:, a:b] @ (1 << np.arange(b - a)) for a, b in _blocks()], axis=1)
+    return np.stack([prints[:, a:b] @ (1 << np.arange(b - a, dtype=np.uint8)) for a, b in _blocks()], axis=1)
 
 
 @dataclass
 class Index:
-    """Items of one block: words, bags, fingerprints by size, and all shingles with their items."""
+    """Items of one block as arrays: bags one after another, fingerprints, and all shingles with their items."""
 
-    ids: list[int]
-    sizes: list[int]
-    bags: list[dict[int, int]]
-    by_size: dict[int, list[int]]
-    values: dict[int, np.ndarray]  # size -> block values, a row per item of by_size
-    prints: dict[int, np.ndarray]
-    shingles: dict[int, tuple[np.ndarray, list[list[int]], np.ndarray]]  # shingle size -> sorted hashes, their items, filter
+    ids: np.ndarray
+    sizes: np.ndarray
+    bag_at: np.ndarray  # places of each item's shingles in the next two
+    bag_values: np.ndarray
+    bag_counts: np.ndarray
+    prints: np.ndarray  # a row of bits per item
+    values: np.ndarray  # a row of block values per item
+    shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # shingle size -> sorted hashes, places, items, filter
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
-        ids, sizes, bags, by_size, prints = [], [], [], defaultdict(list), defaultdict(list)
-        owners: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        ids, sizes, bags, prints = [], [], [], []
         for item, text in items:
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends = spans(data, np.array([0, len(data)]), ALNUM)
             n = len(starts)
             if not n:
                 continue
-            size = min(SHINGLE, n)
-            hashes = windows(word_hashes(data, starts, ends), size)
-            values, counts = np.unique(hashes, return_counts=True)
-            k = len(ids)
+            hashes = windows(word_hashes(data, starts, ends), min(SHINGLE, n))
             ids.append(item)
             sizes.append(n)
-            bags.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
-            by_size[n].append(k)
-            prints[n].append(_signs(hashes).sum(0) >= 0)
-            for v in values.tolist():
-                owners[size][v].append(k)
+            bags.append(np.unique(hashes, return_counts=True))
+            prints.append(_signs(hashes).sum(0) >= 0)
+        counts = np.array([len(v) for v, _ in bags], np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in bags)])
+        owner = np.repeat(np.arange(len(bags), dtype=np.int32), counts)
+        width = np.repeat(np.minimum(np.array(sizes, np.int64), SHINGLE), counts)
         shingles = {}
-        for size, found in owners.items():
-            keys = np.array(sorted(found), np.uint64)
+        for size in np.unique(width).tolist():
+            mine = np.flatnonzero(width == size)
+            mine = mine[np.argsort(values[mine], kind="stable")]
+            keys, first = np.unique(values[mine], return_index=True)
             quick = np.zeros(1 << 20, bool)
             quick[(keys >> np.uint64(44)).astype(np.int64)] = True
-            shingles[size] = (keys, [found[v] for v in keys.tolist()], quick)
-        stacked = {n: np.array(p, np.int64) for n, p in prints.items()}
-        return cls(ids, sizes, bags, dict(by_size), {n: _block_values(p) for n, p in stacked.items()}, stacked, shingles)
-
-    def near(self, size: int, sums: np.ndarray) -> list[tuple[int, int, int]]:
+            shingles[size] = (keys, np.append(first, len(mine)), owner[mine], quick)
+        bits = np.array(prints, np.uint8).reshape(len(ids), BITS)
+        return cls(
+            np.array(ids, np.int64), np.array(sizes, np.int64), np.append(0, np.cumsum(counts)), values, np.concatenate([np.zeros(0, np.int32), *(c.astype(np.int32) for _, c in bags)]),
+            bits, _block_values(bits), shingles,
+        )
+
+    def near(self, items: list[int], sums: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, item, distance) within the radius, by the blocks; sums are the windows' signed bit sums."""
-        own = (sums >= 0).astype(np.int64)
+        own = (sums >= 0).astype(np.uint8)
         values, out = _block_values(own), []
-        for row, item in enumerate(self.by_size[size]):
-            some = np.flatnonzero((values == self.values[size][row]).any(axis=1))
-            apart = (own[some] != self.prints[size][row]).sum(1)
+        for item in items:
+            some = np.flatnonzero((values == self.values[item]).any(axis=1))
+            apart = (own[some] != self.prints[item]).sum(1)
             out += [(int(w), item, int(d)) for w, d in zip(some[apart <= RADIUS], apart[apart <= RADIUS], strict=True)]
         return out
 
     def similarity(self, item: int, hashes: np.ndarray) -> float:
-        bag = self.bags[item]
+        a, b = self.bag_at[item : item + 2]
+        bag, held = self.bag_values[a:b], self.bag_counts[a:b]
         values, counts = np.unique(hashes, return_counts=True)
-        shared = sum(min(c, bag.get(v, 0)) for v, c in zip(values.tolist(), counts.tolist(), strict=True))
-        return shared / (len(hashes) + sum(bag.values()) - shared)
+        at = np.minimum(np.searchsorted(bag, values), len(bag) - 1)
+        shared = int(np.minimum(counts, held[at])[bag[at] == values].sum())
+        return shared / (len(hashes) + int(held.sum()) - shared)
 
-    def match(self, words: np.ndarray, hits: dict[int, list[tuple[int, list[int]]]], threshold: float) -> dict[int, tuple[float, int, int, int]]:
+    def match(self, words: np.ndarray, hits: dict[int, list[tuple[int, np.ndarray]]], threshold: float) -> dict[int, tuple[float, int, int, int]]:
         """Item to (similarity, first word, words, distance) of its best window; hits: shingle size to (place, items)."""
         best: dict[int, tuple[float, int, int, int]] = {}
         for size, spots in hits.items():
             hashes = windows(words, size)
             tried: dict[int, set[int]] = defaultdict(set)
+            sharing: dict[int, set[int]] = defaultdict(set)  # items of a size that share a shingle with the document
             for place, items in spots:
-                for n in {self.sizes[k] for k in items}:
+                for k in items:
+                    sharing[int(self.sizes[k])].add(int(k))
+                for n in set(self.sizes[items].tolist()):
                     wide = min(n, len(words))
                     tried[n].update(range(max(0, place - wide + size), min(place, len(words) - wide) + 1))
             if not tried:
@@ -138,7 +147,7 @@ class Index:
                     low = int(part[0])
                     sums = np.zeros((int(part[-1]) - low + many + 1, BITS), np.int32)
                     np.cumsum(_signs(hashes[low : int(part[-1]) + many]), axis=0, out=sums[1:])
-                    for w, item, apart in self.near(n, sums[part - low + many] - sums[part - low]):
+                    for w, item, apart in self.near(sorted(sharing[n]), sums[part - low + many] - sums[part - low]):
                         first = int(part[w])
                         similar = self.similarity(item, hashes[first : first + many])
                         if similar >= threshold and (item not in best or (-similar, first) < (-best[item][0], best[item][1])):
@@ -154,7 +163,7 @@ def _scan(index: Index, keys: list, column: pa.Array, threshold: float) -> list[
         words = word_hashes(low, starts, ends)
         bounds = np.searchsorted(starts, offsets)
         hits: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for size, (known, owners, quick) in index.shingles.items():
+        for size, (known, begin, owners, quick) in index.shingles.items():
             runs = windows(words, size)
             maybe = np.flatnonzero(quick[(runs >> np.uint64(44)).astype(np.int64)])
             at = np.minimum(np.searchsorted(known, runs[maybe]), len(known) - 1)
@@ -163,10 +172,10 @@ def _scan(index: Index, keys: list, column: pa.Array, threshold: float) -> list[
             text = np.searchsorted(bounds, maybe, "right") - 1
             inside = maybe + size <= bounds[text + 1]
             for p, a, t in zip(maybe[inside].tolist(), at[inside].tolist(), text[inside].tolist(), strict=True):
-                hits[t][size].append((p - int(bounds[t]), owners[a]))
+                hits[t][size].append((p - int(bounds[t]), owners[begin[a] : begin[a + 1]]))
         for t, found in hits.items():
             for item, (similar, first, n, apart) in index.match(words[bounds[t] : bounds[t + 1]], found, threshold).items():
-                rows.append((keys[first_row + t], index.ids[item], first, n, apart, similar))
+                rows.append((keys[first_row + t], int(index.ids[item]), first, n, apart, similar))
     return rows
 
 
