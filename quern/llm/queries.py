@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op7_suffix_repeats": sql.OP7, "op10_jaccard_join": sql.OP10}
+    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op7_suffix_repeats": sql.OP7, "op9_chat_quotations": sql.OP9, "op10_jaccard_join": sql.OP10}

@@ -164,3 +164,77 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)
 """
+
+
+_SPACE = r"[\s\x0B\x{A0}]+"
+_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+
+
+def _said(t: str) -> str:
+    return f"trim(regexp_replace(lower({t}), '{_SPACE}', ' ', 'g'))"
+
+
+OP9 = rf"""
+WITH RECURSIVE m AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, coalesce(text, '')) = 1),
+raw AS (
+  SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS pos, unnest(s) AS raw FROM (SELECT *, string_split(text, chr(10)) AS s FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>'))),
+marked AS (SELECT *, length(regexp_replace(regexp_extract(raw, '{_MARKS}', 1), '[ \t]', '', 'g')) AS depth, {_said(f"regexp_replace(raw, '{_MARKS}', '')")} AS words FROM raw),
+seen AS (
+  SELECT *, last_value(CASE WHEN words <> '' THEN depth END IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next,
+         (depth > 0 AND words <> '' AND (coalesce(lag(depth) OVER w, 0) <> depth OR coalesce(lag(words) OVER w = '', false)))::INT AS starts
+  FROM marked WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+counted AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before, sum(starts) OVER (PARTITION BY conv_id, turn) AS quotes FROM seen),
+lines AS (
+  SELECT conv_id, turn, pos, raw, depth, words,
+         CASE WHEN depth > 0 AND words <> '' THEN before - 1 WHEN depth > 0 THEN -1
+              WHEN (coalesce(next, 0) > 0 AND regexp_matches(raw, '(?i)^\s*(?:on\s.{{1,200}}\s(?:wrote|said|writes)|.{{1,120}}\s(?:wrote|writes))\s*:?\s*$'))
+                OR (before < quotes AND regexp_matches(raw, '(?i)^\s*-{{2,}}\s*original message\s*-{{2,}}\s*:?\s*$')) THEN before END AS place
+  FROM counted),
+quotes AS (
+  SELECT conv_id, turn, place, any_value(depth) AS depth, count(*) AS n_lines, string_agg(words, ' ' ORDER BY pos) AS passage
+  FROM lines WHERE depth > 0 AND place >= 0 GROUP BY conv_id, turn, place),
+own AS (
+  SELECT conv_id, turn, text FROM m WHERE NOT regexp_matches(text, '(?m)^[ \t]*>')
+  UNION ALL SELECT conv_id, turn, string_agg(raw, chr(10) ORDER BY pos) FROM lines WHERE depth = 0 AND place IS NULL GROUP BY conv_id, turn),
+spoken AS (
+  SELECT conv_id, turn, words, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k
+  FROM (SELECT conv_id, turn, pos, {_said("line")} AS words FROM (SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS pos, unnest(s) AS line FROM (SELECT *, string_split(text, chr(10)) AS s FROM own)))
+  WHERE words <> ''),
+said AS (
+  SELECT DISTINCT * FROM (
+    SELECT conv_id, turn, words AS passage FROM spoken
+    UNION ALL SELECT conv_id, turn, {_said("p")} FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n\s*\n')) AS p FROM own)
+    UNION ALL SELECT conv_id, turn, string_agg(words, ' ' ORDER BY k) FROM spoken GROUP BY conv_id, turn
+    UNION ALL SELECT conv_id, turn, passage FROM (
+      SELECT a.conv_id, a.turn, a.k, n, count(*) AS c, string_agg(b.words, ' ' ORDER BY b.k) AS passage
+      FROM spoken AS a, (SELECT DISTINCT n_lines AS n FROM quotes WHERE n_lines > 1) JOIN spoken AS b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.k >= a.k AND b.k < a.k + n
+      GROUP BY a.conv_id, a.turn, a.k, n) WHERE c = n)
+  WHERE length(passage) >= 8),
+near AS (SELECT q.conv_id, q.turn, q.place, max(s.turn) AS source FROM quotes AS q JOIN said AS s ON s.passage = q.passage AND s.conv_id = q.conv_id AND s.turn < q.turn GROUP BY q.conv_id, q.turn, q.place),
+far AS (SELECT q.conv_id, q.turn, q.place, min({{'c': s.conv_id, 't': s.turn}}) AS source FROM quotes AS q JOIN said AS s ON s.passage = q.passage AND s.conv_id <> q.conv_id GROUP BY q.conv_id, q.turn, q.place),
+links AS (
+  SELECT q.conv_id, q.turn, q.place, q.depth, CASE WHEN n.source IS NOT NULL THEN q.conv_id ELSE f.source.c END AS cites_conv, coalesce(n.source, f.source.t) AS cites_turn
+  FROM quotes AS q LEFT JOIN near AS n USING (conv_id, turn, place) LEFT JOIN far AS f USING (conv_id, turn, place)),
+replies AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(cites_turn) AS n_linked,
+         arg_min(cites_conv, {{'d': depth, 'p': place}}) FILTER (WHERE cites_turn IS NOT NULL) AS cites_conv, arg_min(cites_turn, {{'d': depth, 'p': place}}) FILTER (WHERE cites_turn IS NOT NULL) AS cites_turn,
+         arg_min(cites_turn, {{'d': depth, 'p': place}}) FILTER (WHERE cites_conv = conv_id) AS parent
+  FROM links GROUP BY conv_id, turn),
+bodies AS (
+  SELECT l.conv_id, l.turn, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE k.place IS NULL AND coalesce(l.place, 0) >= 0), '') AS body
+  FROM lines AS l JOIN (SELECT DISTINCT conv_id, turn FROM links WHERE cites_turn IS NOT NULL) USING (conv_id, turn)
+  LEFT JOIN (SELECT conv_id, turn, place FROM links WHERE cites_turn IS NOT NULL) AS k ON k.conv_id = l.conv_id AND k.turn = l.turn AND k.place = l.place
+  GROUP BY l.conv_id, l.turn),
+up AS (
+  SELECT conv_id, turn, parent AS root FROM replies WHERE parent IS NOT NULL
+  UNION ALL SELECT u.conv_id, u.turn, r.parent FROM up AS u JOIN replies AS r ON r.conv_id = u.conv_id AND r.turn = u.root WHERE r.parent IS NOT NULL),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY conv_id, turn),
+done AS (
+  SELECT m.conv_id, m.turn, coalesce(root, m.turn) AS thread, role,
+         CASE WHEN body IS NULL THEN text ELSE regexp_replace(body, '^(?:[ \t\r\f\x0B]*\n)+|(?:\n[ \t\r\f\x0B]*)+$', '', 'g') END AS text,
+         parent AS reply_to, cites_conv, cites_turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked
+  FROM m LEFT JOIN replies USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn) LEFT JOIN bodies USING (conv_id, turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS place, turn, thread, role, text, reply_to, cites_conv, cites_turn, n_quotes, n_linked FROM done
+"""

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import bpe, chat, cnn, components, decontam, jaccard, licenses, pii, quality, repeats, simple8b
+from quern.llm import bpe, chat, cnn, components, decontam, jaccard, licenses, pii, quality, queries, repeats, simple8b
 from quern.llm.common import Scratch, prefiltered, without_ids
 from tests.llm import cases
 
@@ -501,6 +502,10 @@ def test_quotations_equal_plain_python(spark):
     columns = ("conv_id", "turn", "place", "thread", "role", "text", "reply_to", "cites_conv", "cites_turn", "n_quotes", "n_linked")
     got = sorted((tuple(r[c] for c in columns) for r in chat.format_chats(table).collect()), key=lambda r: r[:2])
     assert got == cases.formatted(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op9_chat_quotations']})").fetchall(), key=lambda r: r[:2]) == got
     assert sum(r[-1] for r in got) > 800 and sum(r[-2] - r[-1] for r in got) > 100
 
 
