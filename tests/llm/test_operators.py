@@ -206,6 +206,23 @@ def test_bounded_gap():
         licenses.compile_template("x", 0.5, "<<opt>> a <</opt>>")
 
 
+def test_whole_licence_texts():
+    scanner = {label: licenses.compile_template(label, weight, wording) for label, weight, wording in licenses.TEXTS}
+
+    def accepted(label, text):
+        words = licenses._WORDS.findall(text.lower().encode())
+        return any(scanner[label].match(words, k) >= 0 for k in range(len(words)))
+
+    bare = {label: re.sub(r"<<opt>>|<</opt>>", "", re.sub(r"<<var:\d+>>", "some holder", re.sub(r"<<([^<>:|]*)\|[^<>]*>>", r"\1", wording))) for label, _, wording in licenses.TEXTS}
+    for label, text in bare.items():
+        assert accepted(label, "Copyright (c) 2024 X. " + text.upper() + " More.") and licenses.compile_all().scan(text.lower().encode())[2] > 0.98
+        words = text.split()
+        for k in (3, len(words) // 2, len(words) - 2):  # no mandatory word may be missing
+            if words[k] not in ("some", "holder", "1", "2", "3"):
+                assert not accepted(label, " ".join(words[:k] + words[k + 1 :]))
+    assert accepted("bsd", re.sub(r" 3 neither .*? written permission", "", bare["bsd"])) and accepted("mit", bare["mit"].replace("including the next paragraph ", "").replace("noninfringement", "non-infringement"))
+
+
 # -- 4: token files
 
 
