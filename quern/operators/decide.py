@@ -59,17 +59,22 @@ def intent_gap(found: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def discriminative_terms(questions: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per evidence item its terms that no other item of the question has, and those that the question names."""
-    evidence = kept(evidence.select("question_id", "item_id"), shared_path(evidence.sparkSession, "evidence"))  # read three times
+    """Per evidence item its terms that no other item of the question has, and those that the question names.
+
+    Questions with the same evidence items share them, so terms are compared once for each set of items.
+    """
+    evidence = kept(evidence.select("question_id", "item_id"), shared_path(evidence.sparkSession, "evidence"))  # read several times
+    # At most the evidence of one question in an array.
+    sets = evidence.groupBy("question_id").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("set_id", F.sha2(F.to_json("items"), 256))
     own = corpus.with_terms(candidates.select("item_id", "text"), "text").select("item_id", F.explode("terms").alias("term")).distinct()
-    each = evidence.select("question_id", "item_id").join(own, "item_id")
-    unique = each.groupBy("question_id", "term").agg(F.count("*").alias("c"), F.min("item_id").alias("item_id")).where("c = 1")
-    asked = corpus.with_terms(ranking.asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"), F.lit(True).alias("named"))
-    marked = unique.join(asked, ["question_id", "term"], "left")
-    found = marked.groupBy("question_id", "item_id").agg(
-        F.count("*").cast("int").alias("n_unique"), F.array_sort(F.collect_list(F.when(F.col("named"), F.col("term")))).alias("matched")
-    )
-    out = evidence.select("question_id", "item_id").join(found, ["question_id", "item_id"], "left")
+    each = sets.select("set_id", "items").dropDuplicates(["set_id"]).select("set_id", F.explode("items").alias("item_id")).join(own, "item_id")
+    unique = each.groupBy("set_id", "term").agg(F.count("*").alias("c"), F.min("item_id").alias("item_id")).where("c = 1").select("set_id", "term", "item_id")
+    unique = kept(unique, shared_path(evidence.sparkSession, "unique"))
+    counts = unique.groupBy("set_id", "item_id").agg(F.count("*").cast("int").alias("n_unique"))
+    asked = corpus.with_terms(ranking.asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
+    named = asked.join(sets.select("question_id", "set_id"), "question_id").join(unique, ["set_id", "term"])
+    matched = named.groupBy("question_id", "item_id").agg(F.array_sort(F.collect_list("term")).alias("matched"))
+    out = evidence.join(sets.select("question_id", "set_id"), "question_id").join(counts, ["set_id", "item_id"], "left").join(matched, ["question_id", "item_id"], "left")
     none = F.array().cast("array<string>")
     return out.select("question_id", "item_id", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), F.coalesce("matched", none).alias("matched"), F.size(F.coalesce("matched", none)).alias("n_matched"))
 
