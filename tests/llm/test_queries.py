@@ -53,3 +53,27 @@ def test_pipeline_equals_plain_python(spark):
         expected[i] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(new.encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(TABLES)).collect()}
     assert got == expected
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, columns of names used inside, and empty tables, stage by stage."""
+    rows = [*cases.odd_rows(), (8, dict(cases.odd_rows())[8]), (None, "no key, but a card 4111111111111111"), (None, None), (300, "mail ann@example.com\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = cases.clashing(docs.repartition(3)).cache()
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, empty = stage(spark, docs, str(TABLES)), stage(spark, docs.limit(0), str(TABLES))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and empty.columns == docs.columns and empty.count() == 0, name
+        assert {r.token for r in out.select("token").distinct().collect()} == {"own"}, name
+    # One row of each group and of each key stays; rows without a key, and texts without words, are in no group.
+    keyed = [r for r in dict.fromkeys(rows) if r[0] is not None]
+    parts = cases.components(keyed, 5, 80)
+    assert texts(stages["n-gram Jaccard join"](spark, docs, str(TABLES))) == sorted([r for r in keyed if parts[r[0]][1] == r[0]] + [r for r in rows if r[0] is None], key=repr)
+    assert texts(stages["benchmark decontamination"](spark, docs, str(TABLES))) == sorted(rows, key=repr)
+    names = pii.Pseudonyms(pii.DEMO_KEY)
+    hidden = stages["personal data"](spark, docs, str(TABLES))
+    assert texts(hidden) == sorted(((i, None if t is None else names.replace(t)[0]) for i, t in rows), key=repr)
+    assert {r.n_chars for r in hidden.where("text is null").collect()} == {None}
+    coded = stages["byte-level BPE"](spark, docs, str(TABLES))
+    assert sorted(r.decoded_sha256 for r in coded.collect()) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
