@@ -111,6 +111,7 @@ def route(questions: DataFrame, candidates: DataFrame, items: DataFrame, below:
     answer = exact_match(asks, candidates, corpus.ANSWER).select("question_id", F.col("item_id").alias("answer_item"))
     clarify = exact_match(asks, candidates, corpus.CLARIFICATION).select("question_id", F.col("item_id").alias("clarify_item"))
     found = asks.join(answer, "question_id", "left").join(clarify, "question_id", "left")
+    found = kept(found, shared_path(questions.sparkSession, "matched"))  # the questions of every ranking
     rest = found.where("answer_item is null and clarify_item is null").select(*questions.columns)
     fused = fusion.evidence(rest, candidates, MAX_SUGGESTIONS, corpus.ANSWER)
     fused = kept(fused, shared_path(questions.sparkSession, "evidence"))  # read twice

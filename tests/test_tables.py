@@ -197,3 +197,15 @@ def test_upward_walk_and_circles(spark):
     assert {(r.id, r.above, r.distance) for r in content.ancestors_or_self(tree, tree.where("id = 'c'")).collect()} == {("c", "c", 0), ("c", "b", 1), ("c", "a", 2)}
     with pytest.raises(ValueError, match="circle"):
         content.ancestors_or_self(spark.createDataFrame([("a", "b"), ("b", "a")], tree.schema), tree.where("id = 'a'"))
+
+
+def test_a_cluster_without_a_shared_folder_raises(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_path(Session, "x")
