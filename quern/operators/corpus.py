@@ -71,6 +71,12 @@ def gram_lists(candidates: DataFrame) -> DataFrame:
     return with_grams(candidates.select("item_id", "pos", "text"), "text").select("item_id", "pos", "grams")
 
 
+def word_lists(candidates: DataFrame) -> DataFrame:
+    """item_id, pos, terms, grams, with each text normalised once for both."""
+    normal = candidates.select("item_id", "pos", text.normalize(F.col("text")).alias("normal"))
+    return normal.select("item_id", "pos", text.without_stop_words(text.tokens(F.col("normal"))).alias("terms"), text.trigrams(F.col("normal")).alias("grams"))
+
+
 def kept_once(rows: DataFrame, label: str) -> DataFrame:
     """rows from a table in the shared folder, for what is read several times."""
     return kept(rows, shared_path(rows.sparkSession, label))

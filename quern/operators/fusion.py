@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores
-from quern.operators import ranking
+from quern.operators import corpus, ranking
 
 RANKERS = ("semantic", "centroid", "lexical", "bm25")
 LEAST_DEPTH = 10
@@ -16,11 +16,12 @@ LEAST_DEPTH = 10
 
 def rankings(questions: DataFrame, candidates: DataFrame, k: int, kind: str | None = None) -> dict[str, DataFrame]:
     asks = ranking.asked(questions)
+    lists = corpus.kept_once(corpus.word_lists(corpus.of_kind(candidates, kind)), "words")
     return {
         "semantic": ranking.semantic_top(asks, candidates, k, kind),
         "centroid": ranking.centroid_top(asks, candidates, k, kind),
-        "lexical": ranking.weighted_lexical_top(asks, candidates, k, kind),
-        "bm25": ranking.bm25_top(asks, candidates, k, kind),
+        "lexical": ranking.weighted_lexical_top(asks, candidates, k, kind, lists),
+        "bm25": ranking.bm25_top(asks, candidates, k, kind, lists),
     }
 
 

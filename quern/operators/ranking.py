@@ -46,9 +46,9 @@ def asked(questions: DataFrame) -> DataFrame:
     return questions.where(F.length(F.trim("question")) > 0)
 
 
-def bm25_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Scores above 0 of phrasings that share a term, through an inverted index."""
-    lists = corpus.kept_once(corpus.term_lists(candidates), "terms")
+def bm25_scores(questions: DataFrame, candidates: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """Scores above 0 of phrasings that share a term, through an inverted index; lists are kept term lists of the same phrasings."""
+    lists = corpus.kept_once(corpus.term_lists(candidates), "terms") if lists is None else lists
     terms = corpus.with_terms(asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
     # Only the terms asked for; each of them with all its postings, so that df is whole.
     posted = corpus.postings_of(lists).join(terms.select("term").distinct(), "term", "left_semi")
@@ -59,14 +59,14 @@ def bm25_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     return terms.join(index, "term").groupBy("question_id", "item_id", "pos").agg(F.sum("part").alias("score")).where("score > 0")
 
 
-def bm25_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
+def bm25_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None, lists: DataFrame | None = None) -> DataFrame:
     candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(bm25_scores(questions, candidates)), candidates, k)
+    return top(best_phrasing(bm25_scores(questions, candidates, lists)), candidates, k)
 
 
-def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """Twice the shared weight over both sides' weight, for phrasings that share a gram; unseen grams weigh unseen_idf."""
-    lists = corpus.kept_once(corpus.gram_lists(candidates), "grams")
+    lists = corpus.kept_once(corpus.gram_lists(candidates), "grams") if lists is None else lists
     idf = corpus.kept_once(corpus.idf_of(lists) if statistics is None else corpus.gram_idf(statistics), "idf")
     grams = lists.select("item_id", "pos", F.explode("grams").alias("gram")).join(idf.select("gram", "idf"), "gram", "left")
     unseen = F.broadcast(idf.agg(F.max("unseen_idf").alias("unseen")).withColumn("one", F.lit(1)))  # one row
@@ -81,9 +81,9 @@ def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics
     return joined.select("question_id", "item_id", "pos", (2.0 * F.col("both") / (F.col("own") + F.col("asked"))).alias("score"))
 
 
-def weighted_lexical_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
+def weighted_lexical_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None, lists: DataFrame | None = None) -> DataFrame:
     candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(weighted_dice_scores(questions, candidates).where("score > 0")), candidates, k)
+    return top(best_phrasing(weighted_dice_scores(questions, candidates, lists=lists).where("score > 0")), candidates, k)
 
 
 def dice_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
