@@ -13,10 +13,13 @@ from quern.llm.chat import format_chats
 from quern.llm.common import Scratch, documents
 from quern.llm.decontam import find_leaks
 from quern.llm.jaccard import jaccard_components
+from quern.llm.lexical import lexical_topk
 from quern.llm.licenses import scan_licenses
+from quern.llm.packing import pack_sequences
 from quern.llm.pii import pseudonymise, session_key
 from quern.llm.quality import quality_rules
 from quern.llm.repeats import remove_repeats
+from quern.llm.spelling import spelling_variants, word_counts
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +89,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_topk(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(documents(spark, sf_dir), noise=199))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -98,8 +113,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_chat_quotations": op9_chat_quotations,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_packing": op11_packing,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_license_scans": sql.OP3, "op6_decontamination": sql.OP6, "op7_suffix_repeats": sql.OP7, "op9_chat_quotations": sql.OP9, "op10_jaccard_join": sql.OP10}
+    return {
+        "op2_quality_rules": sql.OP2,
+        "op3_license_scans": sql.OP3,
+        "op6_decontamination": sql.OP6,
+        "op7_suffix_repeats": sql.OP7,
+        "op9_chat_quotations": sql.OP9,
+        "op10_jaccard_join": sql.OP10,
+        "op12_lexical_search": sql.OP12,
+        "op13_spelling_variants": sql.OP13,
+    }
