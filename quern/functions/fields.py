@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORM_NAMES = ("consult_form", "contact_form", "job_form", "demo_form")
+# Forms with their numbers in the tables of submissions; the last is for unknown names.
+FORMS = {"job_interest_form": (40, 61, "d7c7277", "61"), "contact_form": (34, 129, "7f7b520", "129"), "product_demo_form": (34, 129, "7f7b520", "129"), "consult_form": (34, 129, "7f7b520", "129")}
+JOB_FORM, *_, DEFAULT_FORM = FORMS
 
 
 def non_blank(text: Column) -> Column:
@@ -18,10 +20,10 @@ def trim_to(text: Column, size: int, default: str = "") -> Column:
     return F.coalesce(F.substring(F.trim(non_blank(text)), 1, size), F.lit(default))
 
 
-def form_name(text: Column, known: tuple[str, ...] = FORM_NAMES) -> Column:
-    """A known form's name in lower case; anything else is the first."""
-    low = F.lower(F.trim(text))
-    return F.when(low.isin(list(known)), low).otherwise(F.lit(known[0]))
+def form_name(text: Column) -> Column:
+    """A known form's name, trimmed; anything else, another case too, is the default form."""
+    name = F.trim(text)
+    return F.when(name.isin(list(FORMS)), name).otherwise(F.lit(DEFAULT_FORM))
 
 
 def iran_time(utc: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fields
 from quern.operators import submissions
-from quern.sources.tables import kept, shared_path
+from quern.sources.tables import kept, remove, shared_path
 
 
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         paths.append(f"{base}/{len(paths) + 1}")
         level = kept(level.join(links, "id").select(F.col("below").alias("id"), "root_id", F.lit(len(paths)).alias("distance")), paths[-1])
         if level.isEmpty():
+            remove(spark, f"{base}/links")
             return spark.read.schema(level.schema).parquet(*paths)
         # A way down that meets no page twice is no longer than there are links.
         if len(paths) > most or not level.where("id = root_id").isEmpty():
@@ -42,6 +43,7 @@ def ancestors_or_self(nodes: DataFrame, start: DataFrame) -> DataFrame:
         paths.append(f"{base}/{len(paths) + 1}")
         level = kept(level, paths[-1])
         if level.isEmpty():
+            remove(spark, f"{base}/links")
             return spark.read.schema(level.schema).parquet(*paths)
         if len(paths) > most + 1:
             raise ValueError("the pages above a start form a circle")
@@ -58,9 +60,55 @@ def in_order(nodes: DataFrame, kind: str, take: int = 3) -> DataFrame:
     return nodes.where(F.col("type") == kind).orderBy("sort_order", "id").limit(max(1, min(take, 12)))
 
 
+#: Behind any step of a path that starts with a hexadecimal digit.
+PAST = "g"
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """nodes below or at a root with ``path``, a text whose order is that of the document: each page before what is below it, siblings by sort order and id.
+
+    A step is the sort order as 16 hexadecimal digits (its sign bit turned), the id, and a character below all that ids may
+    hold. A page's path starts with those of the pages above it, so what is below it is the range from its path to that and PAST.
+    Paths double: each round puts the path of the page reached so far in front and goes on from there, so a tree of n
+    levels takes log2(n) rounds. Pages without a root above them have no path and are left out; a circle raises.
+    """
+    spark, base = nodes.sparkSession, shared_path(nodes.sparkSession, "paths")
+    turned = F.col("sort_order").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    step = F.concat(F.lower(F.lpad(F.hex(turned), 16, "0")), F.col("id").cast("string"), F.lit("\x01"))
+    level = kept(nodes.where("id is not null").select("id", F.col("parent_id").alias("up"), step.alias("path")), f"{base}/0")
+    most, rounds = level.count(), 0
+    while not level.where("up is not null").isEmpty():
+        if 1 << rounds > 2 * most:
+            raise ValueError("the pages above a page form a circle")
+        above = level.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        rounds += 1
+        # A parent that isn't there ends a path that no root begins.
+        joined = level.where("up is not null").join(above, "up").select("id", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
+        new = kept(level.where("up is null").unionByName(joined), f"{base}/{rounds}")
+        remove(spark, f"{base}/{rounds - 1}")
+        level = new
+    return nodes.join(level.select("id", "path"), "id")
+
+
+def document_order(nodes: DataFrame) -> DataFrame:
+    """nodes below or at a root with path, ``place`` (from 0, in document order) and ``last``, the place of the last page below or at it.
+
+    What is below a page has the places after its own up to ``last``; the next page behind all that has ``last`` + 1.
+    """
+    placed = submissions.with_ids(tree_paths(nodes), -1, "path", name="place")
+    up = ancestors_or_self(placed, placed.select("id"))
+    below = up.groupBy("above").agg(F.count("*").alias("quern_size")).withColumnRenamed("above", "id")
+    return placed.join(below, "id").withColumn("last", F.col("place") + F.col("quern_size") - 1).drop("quern_size")
+
+
+def below_path(path: str) -> Column:
+    """Whether a page with a path stands below or at the page of the given path."""
+    return (F.col("path") >= path) & (F.col("path") < path + PAST)
+
+
 def first_of(nodes: DataFrame, kind: str) -> DataFrame:
-    """The first page of a type in tree order: by level, then sort order."""
-    return nodes.where(F.col("type") == kind).orderBy("level", "sort_order", "id").limit(1)
+    """The first page of a type in document order."""
+    return tree_paths(nodes).where(F.col("type") == kind).orderBy("path").limit(1).drop("path")
 
 
 def cards(blocks: DataFrame, title: str, text: str, button: str, icons: tuple[str, ...], default_icon: str) -> DataFrame:

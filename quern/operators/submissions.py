@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields
+from quern.sources.tables import kept, shared_path
 
 REPORT_KEYS = ("fullname", "mobile", "request_type", "message")
 MOBILE = r"^09[0-9]{9}$"
@@ -51,11 +52,11 @@ def form_errors(name: Column, mobile: Column, kind: Column, message: Column, for
     return F.array_compact(F.array(*[F.when(bad, F.lit(field)) for field, bad in checks]))
 
 
-def file_rule(form: Column, has_file: Column, job_form: str = "job_form", known: tuple[str, ...] = fields.FORM_NAMES) -> Column:
-    """Unknown forms fail; the job form needs a file, others must not have one."""
+def file_rule(form: Column, has_file: Column) -> Column:
+    """Unknown forms, in any case, fail; the job form needs a file, others must not have one."""
     low = F.lower(F.trim(form))
-    wrong = F.when(low == job_form, ~has_file).otherwise(has_file)
-    return F.when(~F.coalesce(low.isin(list(known)), F.lit(False)), "unknown_form").when(wrong, "file").otherwise("ok")
+    wrong = F.when(low == fields.JOB_FORM, ~has_file).otherwise(has_file)
+    return F.when(~F.coalesce(low.isin(list(fields.FORMS)), F.lit(False)), "unknown_form").when(wrong, "file").otherwise("ok")
 
 
 def pdf_ok(path: Column, content: Column) -> Column:
@@ -74,19 +75,13 @@ def stored_name_ok(name: Column) -> Column:
     return F.coalesce(name.rlike(STORED_NAME), F.lit(False))
 
 
-# Forms with their numbers in the tables of submissions; the last is for unknown names.
-FORMS = {"job_interest_form": (40, 61, "d7c7277", "61"), "contact_form": (34, 129, "7f7b520", "129"), "product_demo_form": (34, 129, "7f7b520", "129"), "consult_form": (34, 129, "7f7b520", "129")}
-
-
 def form_definition(name: Column) -> Column:
     """The form's name and numbers as a struct."""
-    low = F.lower(F.trim(name))
-    row = lambda form: F.struct(F.lit(form).alias("form_name"), *[F.lit(v).alias(k) for k, v in zip(("main_meta_id", "post_id", "element_id", "edit_post_id"), FORMS[form], strict=True)])
-    *known, default = FORMS
-    out = F.when(low == known[0], row(known[0]))
-    for form in known[1:]:
-        out = out.when(low == form, row(form))
-    return out.otherwise(row(default))
+    row = lambda form: F.struct(F.lit(form).alias("form_name"), *[F.lit(v).alias(k) for k, v in zip(("main_meta_id", "post_id", "element_id", "edit_post_id"), fields.FORMS[form], strict=True)])
+    known, out = fields.form_name(name), row(fields.DEFAULT_FORM)
+    for form in fields.FORMS:
+        out = F.when(known == form, row(form)).otherwise(out)
+    return out
 
 
 class SubmissionStore:
@@ -118,13 +113,20 @@ class SubmissionStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/batch=*/{table}")
 
 
-def with_ids(rows: DataFrame, last_id: int, *order: str) -> DataFrame:
-    """New ids behind the last, in order of the columns, by a sort over ranges and counts per part."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_at") + last_id + 1).drop("_part", "_at", "_start")
+def with_ids(rows: DataFrame, last_id: int, *order: str, name: str = "id") -> DataFrame:
+    """New ids behind the last, in order of the columns, by a sort over ranges and counts per part.
+
+    The placed rows are kept once: a range exchange that is computed twice samples, and so cuts, anew each time.
+    """
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("quern_at", at)
+    placed = placed.withColumn("quern_part", F.shiftright("quern_at", 33)).withColumn("quern_at", F.col("quern_at").bitwiseAND((1 << 33) - 1))
+    placed = kept(placed, shared_path(rows.sparkSession, "numbered"))
+    # A row per part.
+    before = Window.orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("quern_part").agg(F.count("*").alias("quern_n")).select("quern_part", F.coalesce(F.sum("quern_n").over(before), F.lit(0)).alias("quern_start"))
+    numbered = placed.join(F.broadcast(starts), "quern_part").withColumn(name, F.col("quern_start") + F.col("quern_at") + last_id + 1)
+    return numbered.drop("quern_part", "quern_at", "quern_start")
 
 
 def seed_missing(existing: DataFrame, rows: DataFrame, name: str) -> DataFrame:

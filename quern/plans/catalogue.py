@@ -285,7 +285,7 @@ def form_validation(spark: SparkSession, d: str) -> DataFrame:
     name, segment = F.substring("c_name", -4, 4), F.col("c_mktsegment")
     mobile = F.concat(F.lit("09"), F.substring(F.col("c_custkey").cast("string"), 1, 3), F.lpad(F.col("c_nationkey").cast("string"), 6, "0"))
     errors = submissions.form_errors(F.when(F.col("c_custkey") % 7 == 0, F.lit(" x ")).otherwise(name), mobile, segment, F.col("c_name"), F.when(F.col("c_custkey") % 11 == 0, F.lit(" ")).otherwise(segment))
-    rule = submissions.file_rule(F.when(F.col("c_custkey") % 2 == 0, F.lit(" Job_Form ")).otherwise(segment), F.col("c_acctbal") > 0)
+    rule = submissions.file_rule(F.when(F.col("c_custkey") % 2 == 0, F.lit(" Job_Interest_Form ")).when(F.col("c_custkey") % 3 == 0, "product_demo_form").otherwise(segment), F.col("c_acctbal") > 0)
     return rows.select("c_custkey", F.array_join(errors, ",").alias("errors"), rule.alias("file_rule"))
 
 

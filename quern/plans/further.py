@@ -92,7 +92,10 @@ def _seeded(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def paged_children(spark: SparkSession, d: str) -> DataFrame:
-    return administration.paged_children(_seeded(spark, d), "n3", "Machinery", 0, 1000).select("id", "name")
+    """The first two pages of five children, and the first page of the size in use."""
+    nodes = _seeded(spark, d)
+    pages = [administration.paged_children(nodes, "n3", "Machinery", *page).select("id", "name", F.lit(f"{page}").alias("page")) for page in ((0, 5), (1, 5), (0, 1000))]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query
@@ -137,7 +140,7 @@ def file_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def form_definitions(spark: SparkSession, d: str) -> DataFrame:
-    names = ("job_interest_form", " CONTACT_FORM", "product_demo_form", "consult_form", "other")
+    names = ("job_interest_form", " contact_form ", "product_demo_form", "consult_form", " CONTACT_FORM")
     form = fields.by_position((F.col("c_custkey") % 6).cast("int"), names, "")
     return parquet(spark, d, "customer").select("c_custkey", submissions.form_definition(form).alias("f")).select("c_custkey", "f.*")
 
@@ -183,7 +186,9 @@ def index_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_news(spark: SparkSession, d: str) -> DataFrame:
-    return content.latest(content.below_roots(catalogue._tree(spark, d)), "order", 5).select("id", "create_date")
+    """Orders of customers that were taken away stand below no root."""
+    nodes = catalogue._tree(spark, d).where("not (type = 'customer' and sort_order % 4 = 0)")
+    return content.latest(content.below_roots(nodes), "order", 5).select("id", "create_date")
 
 
 @query
@@ -193,7 +198,15 @@ def home_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def first_settings(spark: SparkSession, d: str) -> DataFrame:
-    return content.first_of(catalogue._tree(spark, d), "nation").select("id", "url")
+    """Settings at several depths: the first in document order stands deeper, under the first region, than others under later regions."""
+    settings = "(type = 'nation' and parent_id <> 'r0') or (type = 'customer' and sort_order % 3 = 1)"
+    nodes = catalogue._tree(spark, d)
+    return content.first_of(nodes.withColumn("type", F.when(F.expr(settings), "settings").otherwise(F.col("type"))), "settings").select("id", "url")
+
+
+@query
+def document_order(spark: SparkSession, d: str) -> DataFrame:
+    return content.document_order(catalogue._tree(spark, d)).select("id", "place", "last")
 
 
 @query
@@ -240,7 +253,7 @@ def field_texts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     blank = F.when(k % 3 == 0, " ").otherwise(F.col("c_name"))
     return parquet(spark, d, "customer").select(
-        "c_custkey", fields.trim_to(F.concat(F.lit("  "), blank), 12, "none").alias("trimmed"), fields.form_name(F.when(k % 2 == 0, " Contact_Form ").otherwise(blank)).alias("form"),
+        "c_custkey", fields.trim_to(F.concat(F.lit("  "), blank), 12, "none").alias("trimmed"), fields.form_name(F.when(k % 4 == 0, " contact_form ").when(k % 4 == 1, "job_interest_form").when(k % 4 == 2, "Product_Demo_Form").otherwise(blank)).alias("form"),
         fields.joined_parts(blank, F.lit(""), F.col("c_mktsegment")).alias("joined"), fields.clamped(F.when(k % 4 != 0, F.col("c_acctbal")), 0.0, 5000.0, 100.0).alias("clamped"),
         F.coalesce(fields.non_blank(blank), F.col("c_mktsegment")).alias("first"), fields.by_position((k % 4).cast("int"), ("a", "b"), "z").alias("icon"), fields.page_title("Customer", blank, F.col("c_mktsegment")).alias("title"),
     )

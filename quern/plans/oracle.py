@@ -218,10 +218,10 @@ SQL: dict[str, str] = {
     "eav_pivot_latest": f"WITH {_VALUES} SELECT h.id, h.created_at, coalesce(max(CASE WHEN key = 'fullname' THEN value END), '') AS fullname, coalesce(max(CASE WHEN key = 'mobile' THEN value END), '') AS mobile, coalesce(max(CASE WHEN key = 'request_type' THEN value END), '') AS request_type, max(CASE WHEN key = 'message' THEN value END) AS message, max(CASE WHEN key = 'resume_file' AND value IS NOT NULL THEN 1 ELSE 0 END) = 1 AS has_file FROM headers AS h LEFT JOIN vals ON submission_id = h.id WHERE form_name = 'urgent' GROUP BY h.id, h.created_at ORDER BY h.id DESC LIMIT 100",
     "eav_lookup": f"WITH {_VALUES} SELECT h.id, min(value) AS value FROM headers AS h JOIN vals ON submission_id = h.id WHERE key = 'resume_file' AND value IS NOT NULL GROUP BY h.id",
     "form_validation": """WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN ' x ' ELSE right(c_name, 4) END AS name, '09' || substr(c_custkey::VARCHAR, 1, 3) || right(lpad(c_nationkey::VARCHAR, 6, '0'), 6) AS mobile, c_mktsegment AS seg, c_name AS msg,
-        CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_mktsegment END AS form, c_acctbal > 0 AS has_file, CASE WHEN c_custkey % 2 = 0 THEN 'job_form' ELSE lower(trim(c_mktsegment)) END AS ff FROM customer)
+        CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_mktsegment END AS form, c_acctbal > 0 AS has_file, CASE WHEN c_custkey % 2 = 0 THEN 'job_interest_form' WHEN c_custkey % 3 = 0 THEN 'product_demo_form' ELSE lower(trim(c_mktsegment)) END AS ff FROM customer)
       SELECT c_custkey, concat_ws(',', CASE WHEN length(trim(name)) < 2 OR length(trim(name)) > 100 THEN 'fullname' END, CASE WHEN NOT regexp_full_match(mobile, '09[0-9]{9}') THEN 'mobile' END,
         CASE WHEN length(trim(seg)) = 0 OR length(seg) > 60 THEN 'request_type' END, CASE WHEN length(msg) > 2000 THEN 'message' END, CASE WHEN length(trim(form)) = 0 OR length(form) > 80 THEN 'form' END) AS errors,
-        CASE WHEN ff NOT IN ('consult_form', 'contact_form', 'job_form', 'demo_form') THEN 'unknown_form' WHEN (ff = 'job_form' AND NOT has_file) OR (ff <> 'job_form' AND has_file) THEN 'file' ELSE 'ok' END AS file_rule FROM f""",
+        CASE WHEN ff NOT IN ('contact_form', 'job_interest_form', 'product_demo_form', 'consult_form') THEN 'unknown_form' WHEN (ff = 'job_interest_form' AND NOT has_file) OR (ff <> 'job_interest_form' AND has_file) THEN 'file' ELSE 'ok' END AS file_rule FROM f""",
     "local_time": "SELECT event_id, strftime(timezone('Asia/Tehran', timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS local FROM events",
     "json_expiry": "WITH e AS (SELECT event_id, ts, ts + to_minutes(CAST(props->>'k' AS BIGINT) - 40) AS s FROM events) SELECT event_id, CASE WHEN s > ts THEN s ELSE ts + INTERVAL 30 MINUTE END AS expires FROM e",
     "title_classify": "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'large' WHEN regexp_matches(lower(p_type), 'steel|tin|nickel|brass|copper') THEN 'metal' WHEN regexp_matches(lower(p_type), 'polished|brushed|plated') THEN 'finish' ELSE 'uncategorized' END AS class FROM part",

@@ -28,6 +28,10 @@ FROM (SELECT *, starts_with(lower(name), 'building') AS s FROM seeded WHERE pare
     for k in range(3)
 )
 
+_WALK = """walk AS (
+  SELECT id, parent_id, sort_order, type, url, [{'s': sort_order, 'i': id}] AS steps FROM tree WHERE parent_id IS NULL
+  UNION ALL SELECT t.id, t.parent_id, t.sort_order, t.type, t.url, list_append(w.steps, {'s': t.sort_order, 'i': t.id}) FROM walk AS w JOIN tree AS t ON t.parent_id = w.id)"""
+
 _FORMS = "CASE c_custkey % 6 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} ELSE {} END"
 
 SQL: dict[str, str] = {
@@ -43,7 +47,8 @@ SQL: dict[str, str] = {
     "answer_vs_clarification": f"WITH {MIX}, {_ANS}, {_rerank('ans_c', 'an')}, {_rerank('cla_c', 'cl')} SELECT q.question_id, an.item_id AS answer_item_id, an.strategy AS answer_strategy, cl.item_id AS clarification_item_id, cl.strategy AS clarification_strategy FROM mix_q AS q LEFT JOIN an USING (question_id) LEFT JOIN cl USING (question_id)",
     "answer_top3": f"WITH {MIX}, {_ANS}, {fused('ans_c', 'mix_q')} SELECT question_id, place AS position, item_id, {', '.join(f'{r}_rank, round({r}_score, 6) AS {r}_score' for r in RANKERS)}, round(rrf, 6) AS rrf FROM ev WHERE place <= 3",
     "answer_no_match_evidence": f"WITH {MIX}, {_ANS}, {fused('ans_c', 'mix_q')} SELECT question_id, item_id, semantic_rank, round(semantic_score, 6) AS semantic_score, round(coalesce(max(semantic_score) OVER (PARTITION BY question_id), 0), 6) AS best_score FROM ev",
-    "paged_children": f"WITH {_SEED} SELECT id, name FROM (SELECT * FROM seeded WHERE parent_id = 'n3' ORDER BY k LIMIT 1000) WHERE lower(name) LIKE 'machinery%'",
+    "paged_children": f"""WITH {_SEED}, p AS (SELECT id, name, row_number() OVER (ORDER BY k) - 1 AS i FROM seeded WHERE parent_id = 'n3')
+      SELECT id, name, page FROM p JOIN (VALUES ('(0, 5)', 0, 5), ('(1, 5)', 5, 10), ('(0, 1000)', 0, 1000)) AS v(page, a, b) ON i >= a AND i < b WHERE lower(name) LIKE 'machinery%'""",
     "seed_status": f"WITH {_SEED} {_STATUS}",
     "seed_report": f"WITH {_SEED} SELECT count(*) FILTER (WHERE NOT published) AS created, count(*) FILTER (WHERE published) AS skipped FROM seeded",
     "guarded_cleanup": f"WITH {_SEED} SELECT 'c' || i AS id, 'p' || i AS parent_id FROM range(2, 4) AS r(i) UNION ALL SELECT id, parent_id FROM seeded",
@@ -62,9 +67,14 @@ SQL: dict[str, str] = {
         FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
       SELECT event_id, hit FROM r""",
     "index_snapshot": f"WITH {CONV} SELECT item_id, text || CASE WHEN item_id::BIGINT % 4 = 0 THEN ' (new)' ELSE '' END AS text, kind FROM conv_c WHERE item_id::BIGINT % 4 <> 1",
-    "latest_news": f"WITH {_TREE} SELECT id, made AS create_date FROM tree WHERE type = 'order' ORDER BY made DESC, id LIMIT 5",
+    "latest_news": "SELECT 'o' || o_orderkey AS id, o_orderdate AS create_date FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) ORDER BY 2 DESC, 1 LIMIT 5",
     "home_products": f"WITH {_TREE} SELECT id, sort_order FROM tree WHERE type = 'customer' ORDER BY sort_order, id LIMIT 12",
-    "first_settings": f"WITH {_TREE} SELECT id, url FROM tree WHERE type = 'nation' ORDER BY sort_order, id LIMIT 1",
+    "first_settings": f"""WITH RECURSIVE {_TREE}, {_WALK}
+      SELECT id, url FROM walk WHERE (type = 'nation' AND parent_id <> 'r0') OR (type = 'customer' AND sort_order % 3 = 1) ORDER BY steps LIMIT 1""",
+    "document_order": f"""WITH RECURSIVE {_TREE}, {_WALK}, o AS (SELECT id, parent_id, (row_number() OVER (ORDER BY steps) - 1)::BIGINT AS place FROM walk),
+      up AS (SELECT id, id AS above, place FROM o UNION ALL SELECT u.id, o.parent_id, u.place FROM up AS u JOIN o ON o.id = u.above WHERE o.parent_id IS NOT NULL),
+      ends AS (SELECT above AS id, max(place)::BIGINT AS last FROM up GROUP BY above)
+      SELECT id, place, last FROM o JOIN ends USING (id)""",
     "ancestor_rows": f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS above, 0 AS distance FROM tree WHERE type = 'customer' UNION ALL SELECT u.id, t.parent_id, u.distance + 1 FROM up AS u JOIN tree AS t ON t.id = u.above WHERE t.parent_id IS NOT NULL) SELECT * FROM up",
     "sitemap_lines": f"WITH {_TREE} SELECT '<url><loc>' || replace(url, '&', '&amp;') || '</loc><lastmod>' || strftime(made, '%Y-%m-%d') || '</lastmod><priority>' || CASE level WHEN 1 THEN '1.0' WHEN 2 THEN '0.8' ELSE '0.6' END || '</priority></url>' AS value FROM tree WHERE has_template AND url <> '#'",
     "category_filter": "SELECT p_type AS category, count(*) AS n, 'all' AS selected FROM part GROUP BY p_type UNION ALL SELECT p_type, count(*), 'ECONOMY' FROM part WHERE p_type = 'ECONOMY' GROUP BY p_type",
@@ -72,7 +82,7 @@ SQL: dict[str, str] = {
       SELECT pos, CASE WHEN pos % 4 = 0 THEN 'Portal' ELSE n_name END AS title, 'Services' AS text, CASE WHEN pos % 2 = 0 THEN 'Go' ELSE 'View' END AS button, CASE WHEN pos % 5 = 0 THEN 'star' WHEN k <= 4 THEN (['user', 'box', 'chat', 'file'])[k] ELSE 'link' END AS icon FROM v""",
     "contact_items": "SELECT s_suppkey AS pos, s_name AS value FROM supplier WHERE s_suppkey % 3 <> 2 AND s_suppkey % 4 <> 0 UNION ALL SELECT -1, 'call us'",
     "field_texts": """WITH b AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS own FROM customer)
-      SELECT c_custkey, coalesce(substr(own, 1, 12), 'none') AS trimmed, CASE WHEN c_custkey % 2 = 0 THEN 'contact_form' ELSE 'consult_form' END AS form, concat_ws(chr(10), own, c_mktsegment) AS joined,
+      SELECT c_custkey, coalesce(substr(own, 1, 12), 'none') AS trimmed, CASE c_custkey % 4 WHEN 0 THEN 'contact_form' WHEN 1 THEN 'job_interest_form' ELSE 'consult_form' END AS form, concat_ws(chr(10), own, c_mktsegment) AS joined,
         greatest(0.0, least(5000.0, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal ELSE 100.0 END))::DOUBLE AS clamped, coalesce(own, c_mktsegment) AS first, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'z' END AS icon,
         CASE WHEN contains(coalesce(own, c_mktsegment), 'Customer') THEN coalesce(own, c_mktsegment) ELSE coalesce(own, c_mktsegment) || ' | Customer' END AS title FROM b""",
     "media_urls": "SELECT page_id, CASE WHEN page_id % 3 = 1 AND length(trim(url)) > 0 THEN url ELSE '/a.mp4,/b.mp4' END AS urls FROM pages",

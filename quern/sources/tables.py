@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/quern-{label}-{uuid.uuid4().hex}"
+    path = f"{root}/quern-{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+#: Of each open scope the places made in it.
+_MADE: list[list[str]] = []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the shared tables that operators made inside; results have to be written or read by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_MADE.pop())
 
 
 def kept(df: DataFrame, path: str) -> DataFrame:

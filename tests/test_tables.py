@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -33,11 +34,53 @@ def test_ids_and_seeding(spark):
     assert submissions.seed_missing(spark.createDataFrame([("N1",)], "name string"), rows, "name").count() == 19
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_of_a_million_rows_have_no_gap(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(0, 1_000_000, 1, 16).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+        found = submissions.with_ids(rows, 6, "k")
+        n, distinct, low, high = found.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+        assert (n, distinct, low, high) == (1_000_000, 1_000_000, 7, 1_000_006)
+        # In order: cut at any place, all smaller ids have smaller keys.
+        for at in (1000, 250_000, 777_777):
+            assert found.where(F.col("id") <= at).agg(F.max("k")).first()[0] < found.where(F.col("id") > at).agg(F.min("k")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_scratch_tables_go(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.iterdir())
+    with tables.scratch(spark):
+        tree = nodes(spark)
+        assert submissions.with_ids(tree.select("url"), 0, "url").count() == 5
+        assert content.document_order(tree).count() == 5 and content.descendants(tree, tree.where("level = 1")).count() == 4
+        assert set(root.iterdir()) > before
+    assert set(root.iterdir()) == before
+
+
+def test_document_order(spark):
+    rows = [("r2", None, -5, "home"), ("r1", None, 9, "home"), ("a", "r1", 1, "set"), ("b", "r2", 3, "page"), ("b2", "r2", 3, "page"), ("deep", "b", 0, "set"), ("ab", "b2", 7, "page"), ("z", "b", 0, "page"), ("lost", "gone", 0, "set"), ("under", "lost", 0, "set")]
+    tree = spark.createDataFrame(rows, "id string, parent_id string, sort_order long, type string").repartition(4)
+    found = content.document_order(tree).orderBy("place").collect()
+    assert [(r.id, r.place, r["last"]) for r in found] == [("r2", 0, 5), ("b", 1, 3), ("deep", 2, 2), ("z", 3, 3), ("b2", 4, 5), ("ab", 5, 5), ("r1", 6, 7), ("a", 7, 7)]
+    # The deeper page under the first root comes before the higher one under the second.
+    assert content.first_of(tree, "set").first().id == "deep" and content.first_of(tree, "none").count() == 0
+    path = {r.id: r.path for r in found}
+    assert {r.id for r in content.tree_paths(tree).where(content.below_path(path["b"])).collect()} == {"b", "deep", "z"}
+    chain = spark.createDataFrame([("n0", None, 0, "x")] + [(f"n{k}", f"n{k - 1}", 0, "x") for k in range(1, 40)], tree.schema)
+    assert [r.id for r in content.document_order(chain).orderBy("place").collect()] == [f"n{k}" for k in range(40)]
+    with pytest.raises(ValueError, match="circle"):
+        content.tree_paths(spark.createDataFrame([("a", "b", 0, "x"), ("b", "a", 0, "x")], tree.schema))
+
+
 def test_form_rules(spark):
     errors = submissions.form_errors(*map(F.lit, ("x", "0912", " ", "m" * 2001, "")))
     assert value(spark, errors) == ["fullname", "mobile", "request_type", "message", "form"]
     assert value(spark, submissions.form_errors(*map(F.lit, ("Ann", "09123456789", "t", None, "f")))) == []
-    rules = [("job_form", True, "ok"), ("job_form", False, "file"), ("contact_form", True, "file"), ("other", False, "unknown_form"), (None, False, "unknown_form")]
+    rules = [("job_interest_form", True, "ok"), (" Job_Interest_Form", False, "file"), ("contact_form", True, "file"), ("product_demo_form", False, "ok"), ("job_form", True, "unknown_form"), ("other", False, "unknown_form"), (None, False, "unknown_form")]
     for form, has_file, expected in rules:
         assert value(spark, submissions.file_rule(F.lit(form).cast("string"), F.lit(has_file))) == expected
     assert value(spark, submissions.pdf_ok(F.lit("A.PDF"), F.lit(b"%PDF-1.7"))) and not value(spark, submissions.pdf_ok(F.lit("a.pdf"), F.lit(b"PK")))
@@ -55,7 +98,10 @@ def test_fields(spark):
     page = "<body>x</body></body>"
     assert value(spark, fields.insert_before_body_end(F.lit(page), "<s>")) == "<body>x</body><s></body>"
     assert value(spark, fields.classify(F.lit("Steel pipe"), [("metal", ("steel",)), ("pipe", ("pipe",))], "none", F.lit(" "))) == "metal"
-    assert value(spark, fields.form_name(F.lit("X"))) == "consult_form" and value(spark, fields.trim_to(F.lit("  abc "), 2)) == "ab"
+    names = {" job_interest_form ": "job_interest_form", "product_demo_form": "product_demo_form", "Contact_Form": "consult_form", "X": "consult_form", None: "consult_form"}
+    assert {n: value(spark, fields.form_name(F.lit(n).cast("string"))) for n in names} == names
+    assert value(spark, submissions.form_definition(F.lit("job_interest_form")))[:3] == ("job_interest_form", 40, 61)
+    assert value(spark, fields.trim_to(F.lit("  abc "), 2)) == "ab"
     assert value(spark, fields.by_position(F.lit(5), ("a", "b"), "z")) == "z"
     assert str(value(spark, fields.iran_time(F.lit(dt.datetime(2020, 7, 1))))).endswith("04:30:00")
 
