@@ -266,3 +266,64 @@ def plain_logit(net, text: bytes) -> float:
         hidden = [max(0.0, sum(s * float(w) for s, w in zip(seen, net.dense[:, h], strict=True)) + float(net.dense_bias[h])) for h in range(net.dense.shape[1])]
         out.append(sum(h * float(w) for h, w in zip(hidden, net.out, strict=True)) + float(net.out_bias[0]))
     return sum(out) / len(out)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced character makes b of a."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def spelling_counts(rows, noise: int = 199, least: int = 6, times: int = 5) -> dict[str, int]:
+    counts: Counter = Counter()
+    for i, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % noise == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= least and n >= times}
+
+
+def spelling(counts: dict[str, int], ratio: int = 5) -> dict[str, tuple]:
+    """word to (form, root, n, n_near, form_n), by comparing all pairs of similar length."""
+    by_length = defaultdict(list)
+    for w in counts:
+        by_length[len(w)].append(w)
+    near = {w: [x for n in (-1, 0, 1) for x in by_length[len(w) + n] if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, counts[w], len(near[w]), counts[form[w]] if form[w] else None)
+    return out
+
+
+def lexical(rows, items, k: int = 10) -> set[tuple]:
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [(i, Counter(terms(t))) for i, t in rows if i is not None and terms(t)]
+    total, many = sum(sum(c.values()) for _, c in docs), len(docs)
+    df = Counter(t for _, c in docs for t in c)
+    asked = defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            asked[i] |= set(terms(t))
+    out = set()
+    for i, own in asked.items():
+        scored = []
+        for d, c in docs:
+            m = 100 - 90 + 90 * sum(c.values()) * many // total
+            score = sum(math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in own if t in c)
+            if score > 0:
+                scored.append((-score, d))
+        out |= {(i, rank + 1, d, -s) for rank, (s, d) in enumerate(sorted(scored)[:k])}
+    return out
