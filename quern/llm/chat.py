@@ -4,7 +4,10 @@ Lines that begin with ``>`` are quoted, as deep as they have such marks. Runs of
 a blank one form passages; a passage is normalised (marks and case removed, white space collapsed) and hashed.
 Originals are what a message says itself: each line, each paragraph, the whole, and each run of as many lines as
 some passage has, so a reply that quotes a line, a paragraph, several lines of one or all of a message finds
-it. Each quote joins to the latest original before it in its conversation, or else to the first one of another
+it. Runs are found by names: a word's name is its digest, and that of 2, 4, 8 ... words the digest of both halves' names. Only
+messages with a line that begins like a passage are named; a passage of m words is met at the start of a line by the name
+of its first 2^k, the most that it has, and confirmed by that of its last 2^k and by a line's end. So the work grows with the words
+times the logarithm of the longest passage, and no run is ever written out. Each quote joins to the latest original before it in its conversation, or else to the first one of another
 conversation. Linked quotes leave the text, and with them the line that announces one ("Ann wrote:"); a passage
 without an original (a prompt sign, a shell line) stays where it is, and a text without linked quotes
 stays as it is. A reply belongs to the thread of the message that its first linked quote cites; threads stand
@@ -16,7 +19,8 @@ Defined results: a null conversation or turn drops the row, as it has no place;
 gives an empty one; quotes without an original stay and are counted as unlinked; quoted lines without words
 go where a quote of the message is linked; an empty table gives an empty result; other columns are neither read
 nor returned. Long conversations are not gathered: each message stays a row, and places come from a
-distributed sort; lines of one message meet in one task.
+distributed sort; lines of one message meet in one task. A passage that many messages say, and a conversation that says it
+often, are split by ranges of turns.
 """
 
 from __future__ import annotations
@@ -80,54 +84,114 @@ def quoted_lines(messages: DataFrame) -> DataFrame:
 
 
 def quotes_of(lines: DataFrame) -> DataFrame:
-    """conv_id, turn, place, depth, n_lines and the words of each passage."""
+    """conv_id, turn, place, depth, n_lines, passage and its hash (null for one too short to be evidence)."""
     quoted = lines.where("depth > 0 and place >= 0")
     found = quoted.groupBy(*MESSAGE, "place").agg(F.first("depth").alias("depth"), F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("own"))  # lines of one passage
-    return found.select(*MESSAGE, "place", "depth", F.size("own").alias("n_lines"), F.array_join("own.words", " ").alias("passage"))
+    passage = F.array_join("own.words", " ")
+    return found.select(*MESSAGE, "place", "depth", F.size("own").alias("n_lines"), passage.alias("passage"), F.when(F.length(passage) >= MIN_CHARS, F.sha2(passage, 256)).alias("hash"))
 
 
-def said_by(messages: DataFrame, lines: DataFrame, quotes: DataFrame) -> DataFrame:
-    """conv_id, turn and each passage (normalised) that the message says itself."""
+def own_texts(messages: DataFrame, lines: DataFrame) -> DataFrame:
+    """conv_id, turn and text: what each message says itself."""
     own = lines.where("depth = 0 and place is null").groupBy(*MESSAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("own"))  # lines of one message
     own = own.select(*MESSAGE, F.array_join("own.raw", "\n").alias("text"))
-    texts = messages.where(~F.col("text").rlike(QUOTING)).select(*MESSAGE, "text").unionByName(own)
-    # Numbers of lines that passages have: one row, of no more numbers than the longest passage has lines.
-    lengths = quotes.where("n_lines > 1").agg(F.sort_array(F.collect_set("n_lines")).alias("lengths")).withColumn("one", F.lit(1))
-    rows = texts.withColumn("one", F.lit(1)).join(F.broadcast(lengths), "one")
-    spoken = F.filter(F.transform(F.split("text", "\n", -1), _normal), lambda w: w != "")
-    rows = rows.select(*MESSAGE, "text", "lengths", spoken.alias("spoken"))
+    return messages.where(~F.col("text").rlike(QUOTING)).select(*MESSAGE, "text").unionByName(own)
+
+
+def _spoken() -> Column:
+    """The lines of the text that are not blank, normalised."""
+    return F.filter(F.transform(F.split("text", "\n", -1), _normal), lambda w: w != "")
+
+
+def said_by(texts: DataFrame) -> DataFrame:
+    """conv_id, turn and the hash of each line, each paragraph and the whole of a text."""
+    rows = texts.select(*MESSAGE, "text", _spoken().alias("spoken"))
     paragraphs = F.transform(F.split("text", r"\n\s*\n", -1), _normal)
-    size = F.size("spoken")
-    runs = F.flatten(F.transform(
-        F.filter("lengths", lambda k: k <= size),
-        lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.array_join(F.slice("spoken", i, k), " ")),
-    ))
-    every = F.array_distinct(F.concat("spoken", paragraphs, F.array(F.array_join("spoken", " ")), runs))
-    return rows.select(*MESSAGE, F.explode(F.filter(every, lambda w: F.length(w) >= MIN_CHARS)).alias("passage"))
+    every = F.array_distinct(F.concat("spoken", paragraphs, F.array(F.array_join("spoken", " "))))
+    return rows.select(*MESSAGE, F.explode(F.filter(every, lambda w: F.length(w) >= MIN_CHARS)).alias("passage")).select(*MESSAGE, F.sha2("passage", 256).alias("hash"))
+
+
+def _named(words: DataFrame, levels: int, *keys: str) -> DataFrame:
+    """words (place i in each group of keys, word, others) with ``names``: at k the digest of the 2^k words from there, null where there are fewer."""
+    order = Window.partitionBy(*keys).orderBy("i")
+    rows = words.withColumn("name0", F.md5("word")).drop("word")
+    for k in range(levels):
+        rows = rows.withColumn(f"name{k + 1}", F.md5(F.concat(f"name{k}", F.lead(f"name{k}", 1 << k).over(order))))
+    names = [f"name{k}" for k in range(levels + 1)]
+    return rows.withColumn("names", F.array(*names)).drop(*names)
+
 
+def runs_said(scratch: Scratch, texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, turn and the hash of each passage that a text says in a run of whole lines, of as many lines as some passage has."""
+    words = F.split("passage", " ")
+    passages = quotes.where("hash is not null").select("hash", "passage").distinct()
+    longest = passages.agg(F.coalesce(F.max(F.size(words)), F.lit(1))).first()[0]
+    levels = longest.bit_length() - 1
+    sized = passages.select("hash", "passage", F.size(words).alias("m")).where("m > 1").select("hash", "passage", "m", (F.length(F.bin("m")) - 1).alias("k"))
+    sized = sized.withColumn("tail", F.expr("m - shiftleft(1, k)"))
+    named = _named(sized.select("hash", "m", "k", "tail", F.posexplode(words).alias("i", "word")), levels, "hash")
+    at = lambda place: F.min(F.when(F.col("i") == place, F.get("names", F.col("k"))))
+    wanted = scratch.keep(named.where("i = 0 or i = tail").groupBy("hash", "m", "k", "tail").agg(at(F.lit(0)).alias("head"), at(F.col("tail")).alias("last")))
+    # Texts with a line whose first two words begin a passage, in lines and words.
+    spoken = texts.select(*MESSAGE, _spoken().alias("spoken"))
+    pairs = F.transform("spoken", lambda x, j: F.md5(F.substring_index(F.concat_ws(" ", x, F.get("spoken", j + 1)), " ", 2)))
+    begun = sized.select(F.md5(F.substring_index("passage", " ", 2)).alias("pair")).distinct()
+    holders = spoken.select(*MESSAGE, F.explode(F.array_distinct(pairs)).alias("pair")).join(begun, "pair", "left_semi").select(*MESSAGE).distinct()
+    lines = spoken.join(holders, [*MESSAGE], "left_semi").select(*MESSAGE, F.posexplode("spoken").alias("line", "said"))
+    each = lines.select(*MESSAGE, "line", F.split("said", " ").alias("own")).select(*MESSAGE, "line", F.size("own").alias("size"), F.posexplode("own").alias("j", "word"))
+    order = Window.partitionBy(*MESSAGE).orderBy("line", "j")
+    placed = each.select(*MESSAGE, "line", (F.col("j") == 0).alias("starts"), (F.col("j") + 1 == F.col("size")).alias("ends"), "word", F.row_number().over(order).alias("i"))
+    rows = scratch.keep(_named(placed, levels, *MESSAGE))
+    names = rows.select(*MESSAGE, "i", "line", "starts", F.posexplode("names").alias("k", "name")).where("name is not null")
+    met = names.where("starts").join(wanted.withColumnRenamed("head", "name"), ["k", "name"])
+    met = met.select(*MESSAGE, "line", "hash", (F.col("i") + F.col("m") - 1).alias("end"), (F.col("i") + F.col("tail")).alias("i"), "k", F.col("last").alias("name"))
+    same = met.join(names.select(*MESSAGE, "i", "k", "name"), [*MESSAGE, "i", "k", "name"], "left_semi").select(*MESSAGE, "line", "hash", F.col("end").alias("i"))
+    whole = same.join(rows.where("ends").select(*MESSAGE, "i", F.col("line").alias("until")), [*MESSAGE, "i"])
+    counted = whole.select(*MESSAGE, "hash", (F.col("until") - F.col("line") + 1).alias("n_lines"))
+    return counted.join(quotes.where("n_lines > 1").select("n_lines").distinct(), "n_lines", "left_semi").select(*MESSAGE, "hash")
 
-def link_quotes(quotes: DataFrame, said: DataFrame) -> DataFrame:
+
+def _latest_before(scratch: Scratch, asks: DataFrame, tells: DataFrame) -> DataFrame:
+    """asks with ``source``, the largest turn of tells (hash, conv_id, turn) before the own one.
+
+    One sort over ranges, so that a hash of a conversation may span parts: a running maximum in each part, and the maximum of the
+    parts before. No pair of rows is made.
+    """
+    asks = asks.select("hash", "conv_id", "turn", F.lit(1).alias("asks"), "place", "depth", F.lit(None).cast("long").alias("told"))
+    tells = tells.select("hash", "conv_id", "turn", F.lit(0).alias("asks"), F.lit(-1).alias("place"), F.lit(0).alias("depth"), F.col("turn").alias("told"))
+    order = F.col("hash"), F.col("conv_id"), F.col("turn"), F.desc("asks"), F.col("place")
+    placed = scratch.keep(asks.unionByName(tells).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", "hash", "conv_id").orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A row per part, hash and conversation.
+    parts = placed.groupBy("hash", "conv_id", "part").agg(F.max("told").alias("most"))
+    earlier = Window.partitionBy("hash", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("hash", "conv_id", "part", F.max("most").over(earlier).alias("carried"))
+    running = placed.withColumn("own", F.max("told").over(inside)).where("asks = 1")
+    joined = running.join(carried, ["part", "hash", "conv_id"])
+    return joined.select("hash", "conv_id", "turn", "place", "depth", F.coalesce("own", "carried").alias("source"))
+
+
+def link_quotes(scratch: Scratch, quotes: DataFrame, said: DataFrame) -> DataFrame:
     """conv_id, turn, place, depth, and the conversation and turn that the quote cites (null if none does)."""
-    hashed = F.sha2("passage", 256).alias("hash")
-    quotes = quotes.select(*MESSAGE, "place", "depth", hashed)
-    said = said.select(*MESSAGE, hashed).join(quotes.select("hash").distinct(), "hash", "left_semi")
-    # One row per conversation, turn and hash at most, ordered by turn: the latest before a quote is a running maximum, no pair of rows.
-    asks = quotes.select("hash", "conv_id", "turn", F.lit(1).alias("asks"), "place", "depth", F.lit(None).cast("long").alias("source"))
-    tells = said.distinct().select("hash", "conv_id", "turn", F.lit(0).alias("asks"), F.lit(-1).alias("place"), F.lit(0).alias("depth"), F.col("turn").alias("source"))
-    before = Window.partitionBy("hash", "conv_id").orderBy("turn", F.col("asks").desc(), "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = asks.unionByName(tells).withColumn("source", F.last("source", ignorenulls=True).over(before)).where("asks = 1")
-    # The first original, and the first one of another conversation than that: one of the two is not the quoting conversation's own.
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    others = said.join(first, "hash").where(F.col("conv_id") != F.col("first.conv_id"))
-    second = others.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
-    found = near.join(first, "hash", "left").join(second, "hash", "left")
+    able = quotes.where("hash is not null").select("hash").distinct()
+    said = scratch.keep(said.join(able, "hash", "left_semi").select("hash", *MESSAGE).distinct())
+    near = _latest_before(scratch, quotes.where("hash is not null"), said)
+    # The first original and the first one of another conversation: one of the two is not the quoting conversation's own.
+    by_talk = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    order = Window.partitionBy("hash").orderBy("conv_id")
+    two = by_talk.withColumn("k", F.row_number().over(order)).where("k <= 2")
+    source = F.struct("conv_id", "turn")
+    firsts = two.groupBy("hash").agg(F.min(F.when(F.col("k") == 1, source)).alias("first"), F.min(F.when(F.col("k") == 2, source)).alias("second"))
+    found = near.join(firsts, "hash", "left")
     inside = F.col("source").isNotNull()
     elsewhere = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
-    return found.select(
+    linked = found.select(
         "conv_id", "turn", "place", "depth",
         F.when(inside, F.col("conv_id")).otherwise(elsewhere["conv_id"]).alias("cites_conv"),
         F.when(inside, F.col("source")).otherwise(elsewhere["turn"]).alias("cites_turn"),
     )
+    none = F.lit(None).cast("long")
+    return linked.unionByName(quotes.where("hash is null").select("conv_id", "turn", "place", "depth", none.alias("cites_conv"), none.alias("cites_turn")))
 
 
 def _threads(parents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -151,7 +215,8 @@ def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "tu
     messages = scratch.keep(messages_of(rows, conversation, turn, role, text))
     lines = scratch.keep(quoted_lines(messages))
     quotes = scratch.keep(quotes_of(lines))
-    links = scratch.keep(link_quotes(quotes, said_by(messages, lines, quotes)))
+    texts = scratch.keep(own_texts(messages, lines))
+    links = scratch.keep(link_quotes(scratch, quotes, said_by(texts).unionByName(runs_said(scratch, texts, quotes))))
     cited = F.when(F.col("cites_turn").isNotNull(), F.struct("depth", "place", "cites_conv", "cites_turn"))
     inner = F.when(F.col("cites_conv") == F.col("conv_id"), F.struct("depth", "place", "cites_turn"))
     replies = links.groupBy(*MESSAGE).agg(
@@ -169,16 +234,20 @@ def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "tu
         F.col("parent").alias("reply_to"), F.col("cites.cites_conv").alias("cites_conv"), F.col("cites.cites_turn").alias("cites_turn"),
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
     )
-    done = _numbered(joined, scratch)
-    scratch.drop(messages, lines, quotes, links, replies, roots)
-    return done
+    placed = _placed(joined, scratch)
+    scratch.only(placed)
+    return _numbered(placed)
 
 
-def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Places from 0 in each conversation by (thread, turn), from one sort over ranges, so that a long conversation may span tasks."""
+def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows by (conv_id, thread, turn) from one sort over ranges, so that a long conversation may span tasks: their part, and offset in it."""
     ordered = rows.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
     low = F.monotonically_increasing_id()
-    placed = scratch.keep(ordered.select("*", F.shiftright(low, 33).alias("part"), low.bitwiseAND((1 << 33) - 1).alias("offset")))
+    return scratch.keep(ordered.select("*", F.shiftright(low, 33).alias("part"), low.bitwiseAND((1 << 33) - 1).alias("offset")))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """Places from 0 in each conversation."""
     # A row per conversation and task; conversations that span tasks add up the counts before.
     sizes = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

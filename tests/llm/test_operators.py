@@ -526,6 +526,26 @@ def test_quotations_equal_plain_python(spark):
     assert sum(r[-1] for r in got) > 800 and sum(r[-2] - r[-1] for r in got) > 100
 
 
+def test_long_messages_and_common_passages(spark):
+    """A long original, a message that quotes it in passages of many lengths, and one passage that half of all messages say."""
+    lines = [f"line number {k} of the report" for k in range(1500)]
+    quoted, at = [], 0
+    for n in range(1, 50):
+        quoted += [f"> {x}" for x in lines[at : at + n]] + [f"so {n}"]
+        at += n
+    rows = [(1, 0, "\n".join(lines)), (1, 1, "\n".join(quoted)), (1, 2, "\n".join(f"> {x}" for x in lines[7:1400]) + "\nall")]
+    common = "we all say the very same\nwords in two lines"
+    rows += [(2 + k % 3, k, common if k % 2 else "> we all say the very same\n> words in two lines\nyes") for k in range(600)]
+    table = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.cites_conv, r.cites_turn, r.text) for r in chat.format_chats(table).collect()}
+    assert got[1, 1] == (49, 49, 1, 0, "\n".join(f"so {n}" for n in range(1, 50))) and got[1, 2] == (1, 1, 1, 0, "all") and len(got) == len(rows)
+    # The latest before in the conversation, else the first of another.
+    for k in range(0, 600, 2):
+        near = [t for t in range(1, k, 2) if t % 3 == k % 3]
+        first = min((2 + t % 3, t) for t in range(1, 600, 2) if t % 3 != k % 3)
+        assert got[2 + k % 3, k] == (1, 1, *((2 + k % 3, near[-1]) if near else first), "yes")
+
+
 def test_own_later_words_hide_no_original_elsewhere(spark):
     said, quote = "The words in question.", "> The words in question.\nYes."
     talks = [(1, 0, quote), (1, 1, said), (2, 3, said), (2, 4, quote), (3, 0, said), (3, 1, "x"), (4, 0, quote), (5, 0, "> Said by itself only.\nNo."), (5, 1, "Said by itself only.")]
