@@ -7,23 +7,23 @@ ordered after rounding to 9 places, so that the order of additions does not deci
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import scores
-from quern.operators import corpus
+from quern.operators import blocks, corpus
 
-#: Questions that are compared with all vectors at once; more are taken in blocks of about this many.
-QUESTION_BLOCK = 2048
-#: Phrasings that are compared with a block of questions at once.
-ROW_BLOCK = 1000
 SEMANTIC_SHARE, LEXICAL_SHARE = 0.85, 0.15
+#: Grams whose weights are sent to the workers; of more, phrasings get their total weight by a join.
+VOCABULARY = 1 << 18
 
 
 def best_phrasing(scored: DataFrame) -> DataFrame:
@@ -41,59 +41,143 @@ def top(best: DataFrame, candidates: DataFrame, k: int | None) -> DataFrame:
     return ranked.select("question_id", "rank", "item_id", "pos", "score")
 
 
+def no_rows(questions: DataFrame) -> DataFrame:
+    """The empty ranking, for a limit below 1: nothing is scored."""
+    schema = blocks.scored_schema(questions).add("rank", T.IntegerType())
+    return questions.sparkSession.createDataFrame([], schema).select("question_id", "rank", "item_id", "pos", "score")
+
+
+def _limited(rank: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(rank)
+    def run(questions: DataFrame, candidates: DataFrame, k: int | None, *rest: object, **named: object) -> DataFrame:
+        return no_rows(questions) if k is not None and k < 1 else rank(questions, candidates, k, *rest, **named)
+
+    return run
+
+
 def asked(questions: DataFrame) -> DataFrame:
     """Questions that are not blank."""
     return questions.where(F.length(F.trim("question")) > 0)
 
 
-def bm25_scores(questions: DataFrame, candidates: DataFrame, lists: DataFrame | None = None) -> DataFrame:
-    """Scores above 0 of phrasings that share a term, through an inverted index; lists are kept term lists of the same phrasings."""
+def _asked_lists(questions: DataFrame, column: str) -> DataFrame:
+    """question_id and the set of its terms or grams."""
+    rows = corpus.with_terms(asked(questions), "question") if column == "terms" else corpus.with_grams(asked(questions), "question")
+    return rows.select("question_id", F.array_distinct(column).alias(column))
+
+
+def _sent(lists: DataFrame, asks: list[Row], weights: dict[str, float], unseen: float) -> Broadcast:
+    """A block of questions, with the weights of its own terms."""
+    return lists.sparkSession.sparkContext.broadcast(blocks.Asked([(r[0], r[1]) for r in asks], weights, unseen))
+
+
+def _of_terms(rows: DataFrame, asks: list[Row], term: str) -> DataFrame:
+    """The rows of the terms that a block of questions asks for: as many as those at most."""
+    terms = sorted({t for r in asks for t in r[1]})
+    wanted = rows.sparkSession.createDataFrame([(t,) for t in terms], f"{term} string")
+    return rows.join(F.broadcast(wanted), term, "left_semi")
+
+
+def bm25_scores(questions: DataFrame, candidates: DataFrame, lists: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """Scores above 0 of phrasings that share a term, as blocks.match_terms gives them; lists are kept term lists of the same phrasings."""
     lists = corpus.kept_once(corpus.term_lists(candidates), "terms") if lists is None else lists
-    terms = corpus.with_terms(asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
-    # Only the terms asked for; each of them with all its postings, so that df is whole.
-    posted = corpus.postings_of(lists).join(terms.select("term").distinct(), "term", "left_semi")
-    weighted = posted.join(corpus.bm25_df(posted), "term").withColumn("one", F.lit(1))
-    weighted = weighted.join(F.broadcast(corpus.corpus_of(lists).withColumn("one", F.lit(1))), "one")  # one row
-    part = scores.bm25_term(scores.bm25_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
-    index = weighted.select("term", "item_id", "pos", part.alias("part"))
-    return terms.join(index, "term").groupBy("question_id", "item_id", "pos").agg(F.sum("part").alias("score")).where("score > 0")
+    lists, schema = lists.select("item_id", "pos", "terms"), blocks.scored_schema(questions)
+    n, mean_length = corpus.corpus_of(lists).first()
 
+    def parts(asked: blocks.Asked, block: pa.RecordBatch, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> np.ndarray:
+        length = block.column(2).value_lengths().to_numpy()[doc]
+        return asked.weight[term] * times * (scores.K1 + 1.0) / (times + scores.K1 * (1.0 - scores.B + scores.B * length / mean_length))
 
+    def scan(asks: list[Row]) -> tuple[DataFrame, Broadcast]:
+        posted = lists.select(F.explode(F.array_distinct("terms")).alias("term"))
+        held = _of_terms(posted, asks, "term").groupBy("term").agg(F.count("*").alias("df"))
+        weighted = held.select("term", scores.bm25_idf(F.lit(n), F.col("df")).alias("idf"))
+        sent = _sent(lists, asks, {r.term: r.idf for r in weighted.collect()}, 0.0)  # the terms of a block
+        return blocks.match_terms(lists, sent, schema, keep, parts), sent
+
+    return blocks.in_blocks(_asked_lists(questions, "terms"), scan)
+
+
+@_limited
 def bm25_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None, lists: DataFrame | None = None) -> DataFrame:
-    candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(bm25_scores(questions, candidates, lists)), candidates, k)
+    lists = corpus.kept_once(corpus.term_lists(corpus.of_kind(candidates, kind)), "terms") if lists is None else lists
+    return top(best_phrasing(bm25_scores(questions, candidates, lists, _all(k))), lists, k)
+
+
+def _all(k: int | None) -> int:
+    """As many items as are wanted; 0 for all of them, of which only the best phrasings count all the same."""
+    return k or 0
+
+
+def _with_totals(lists: DataFrame, idf: DataFrame, unseen: float) -> DataFrame:
+    """lists (item_id, pos, grams) and ``own``, the weight of all grams of a phrasing."""
+    if idf.count() <= VOCABULARY:
+        grams = idf.select("gram", "idf").toArrow()
+        sent = lists.sparkSession.sparkContext.broadcast((grams["gram"].combine_chunks(), grams["idf"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, weight = sent.value
+            weight = np.append(weight, unseen)
+            for batch in batches:
+                sizes = batch.column(2).value_lengths().to_numpy()
+                at = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=known), len(weight) - 1).to_numpy()
+                own = np.bincount(np.repeat(np.arange(batch.num_rows), sizes), weight[at], batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], [*batch.schema.names, "own"])
 
+        return lists.mapInArrow(run, "item_id string, pos long, grams array<string>, own double")
+    each = lists.select("item_id", "pos", F.explode("grams").alias("gram")).join(idf.select("gram", "idf"), "gram", "left")
+    totals = each.groupBy("item_id", "pos").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("own"))
+    return lists.join(totals, ["item_id", "pos"])
 
-def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+
+def weighted_dice_scores(questions: DataFrame, candidates: DataFrame, statistics: DataFrame | None = None, lists: DataFrame | None = None, keep: int | None = None) -> DataFrame:
     """Twice the shared weight over both sides' weight, for phrasings that share a gram; unseen grams weigh unseen_idf."""
     lists = corpus.kept_once(corpus.gram_lists(candidates), "grams") if lists is None else lists
+    lists, schema = lists.select("item_id", "pos", "grams"), blocks.scored_schema(questions)
     idf = corpus.kept_once(corpus.idf_of(lists) if statistics is None else corpus.gram_idf(statistics), "idf")
-    grams = lists.select("item_id", "pos", F.explode("grams").alias("gram")).join(idf.select("gram", "idf"), "gram", "left")
-    unseen = F.broadcast(idf.agg(F.max("unseen_idf").alias("unseen")).withColumn("one", F.lit(1)))  # one row
-    index = grams.withColumn("one", F.lit(1)).join(unseen, "one").select("gram", "item_id", "pos", F.coalesce("idf", "unseen").alias("w"))
-    totals = index.groupBy("item_id", "pos").agg(F.sum("w").alias("own"))
-    asks = corpus.with_grams(asked(questions), "question").select("question_id", F.explode("grams").alias("gram"))
-    asks = asks.join(idf.select("gram", "idf"), "gram", "left").withColumn("one", F.lit(1)).join(unseen, "one")
-    asks = asks.select("question_id", "gram", F.coalesce("idf", "unseen").alias("w"))
-    wanted = asks.groupBy("question_id").agg(F.sum("w").alias("asked"))
-    shared = asks.select("question_id", "gram").join(index, "gram").groupBy("question_id", "item_id", "pos").agg(F.sum("w").alias("both"))
-    joined = shared.join(totals, ["item_id", "pos"]).join(wanted, "question_id")
-    return joined.select("question_id", "item_id", "pos", (2.0 * F.col("both") / (F.col("own") + F.col("asked"))).alias("score"))
+    unseen = idf.agg(F.max("unseen_idf")).first()[0] or 0.0
+    totals = _with_totals(lists, idf, unseen)
+
+    def scan(asks: list[Row]) -> tuple[DataFrame, Broadcast]:
+        weighted = _of_terms(idf.select("gram", "idf"), asks, "gram")
+        sent = _sent(lists, asks, {r.gram: r.idf for r in weighted.collect()}, unseen)  # the grams of a block
+        return blocks.match_terms(totals, sent, schema, keep, _weight_of_term, _dice), sent
+
+    return blocks.in_blocks(_asked_lists(questions, "grams"), scan)
+
+
+def _weight_of_term(asked: blocks.Asked, block: pa.RecordBatch, doc: np.ndarray, term: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return asked.weight[term]
+
 
+def _dice(asked: blocks.Asked, block: pa.RecordBatch, some: np.ndarray, both: np.ndarray) -> np.ndarray:
+    total = asked.total[some][:, None] + block.column(3).to_numpy()[None, :]
+    return np.divide(2.0 * both, total, out=np.zeros_like(both), where=total > 0)
 
+
+@_limited
 def weighted_lexical_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None, lists: DataFrame | None = None) -> DataFrame:
-    candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(weighted_dice_scores(questions, candidates, lists=lists).where("score > 0")), candidates, k)
+    lists = corpus.kept_once(corpus.gram_lists(corpus.of_kind(candidates, kind)), "grams") if lists is None else lists
+    return top(best_phrasing(weighted_dice_scores(questions, candidates, lists=lists, keep=_all(k))), lists, k)
 
 
-def dice_scores(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+def dice_scores(questions: DataFrame, candidates: DataFrame, lists: DataFrame | None = None, keep: int | None = None) -> DataFrame:
     """Dice of trigram sets for phrasings that share a gram; others have 0."""
-    grams = corpus.with_grams(candidates.select("item_id", "pos", "text"), "text")
-    asks = corpus.with_grams(asked(questions), "question")
-    index = grams.select("item_id", "pos", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
-    wanted = asks.select("question_id", F.size("grams").alias("asked"), F.explode("grams").alias("gram"))
-    shared = wanted.join(index, "gram").groupBy("question_id", "item_id", "pos", "own", "asked").agg(F.count("*").alias("both"))
-    return shared.select("question_id", "item_id", "pos", (2.0 * F.col("both") / (F.col("own") + F.col("asked"))).alias("score"))
+    lists = corpus.gram_lists(candidates) if lists is None else lists
+    rows = lists.select("item_id", "pos", "grams", F.size("grams").cast("double").alias("own"))
+    schema = blocks.scored_schema(questions)
+
+    def scan(asks: list[Row]) -> tuple[DataFrame, Broadcast]:
+        sent = _sent(lists, asks, {}, 1.0)
+        return blocks.match_terms(rows, sent, schema, keep, _weight_of_term, _dice), sent
+
+    return blocks.in_blocks(_asked_lists(questions, "grams"), scan)
+
+
+@_limited
+def dice_top(questions: DataFrame, candidates: DataFrame, k: int | None) -> DataFrame:
+    lists = corpus.kept_once(corpus.gram_lists(candidates), "grams")
+    return top(best_phrasing(dice_scores(questions, candidates, lists, _all(k))), lists, k)
 
 
 def _matrix(vectors: pa.Array | list) -> np.ndarray:
@@ -110,75 +194,115 @@ def _matrix(vectors: pa.Array | list) -> np.ndarray:
 def cosine_scores(questions: DataFrame, candidates: DataFrame, keep: int | None = None, slack: float = 0.0) -> DataFrame:
     """The cosine of questions with phrasings, as products of matrices; negative ones stay.
 
-    With keep, a block of phrasings gives a question only those that reach its best ``keep`` items in the
-    block, less the slack, ties included: no other can be among the best ``keep`` of all, nor get there by a second
-    score that adds at most the slack. Questions are a stated set, sent in blocks of at most QUESTION_BLOCK.
+    With keep (0: all items), a block of phrasings gives a question only those that are the best of their item in
+    the block and reach its best ``keep`` items, both less the slack, ties included: no other can be the best of one of the best
+    ``keep`` of all, nor get there by a second score that adds at most the slack. Questions are a stated set, sent in blocks.
     """
     rows = candidates.select(F.col("item_id").cast("string").alias("item_id"), F.col("pos").cast("long").alias("pos"), scores.doubles(F.col("embedding")).alias("v"))
-    kind = next(f for f in questions.schema if f.name == "question_id").dataType
-    schema = T.StructType([T.StructField("question_id", kind), T.StructField("item_id", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = blocks.scored_schema(questions)
     asks = questions.select("question_id", scores.doubles(F.col("embedding")).alias("q"))
-    blocks = max(1, -(-asks.count() // QUESTION_BLOCK))
-    # Hashes deal evenly; twice the blocks keeps each below the size that is sent.
-    blocks = blocks if blocks == 1 else 2 * blocks
+    size = blocks.ROW_BLOCK
 
-    def compared(block: DataFrame) -> DataFrame:
-        asked = block.collect()  # a block of questions
+    def scan(asked: list[Row]) -> tuple[DataFrame, Broadcast]:
         sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], _matrix([r[1] for r in asked])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            ids = pa.array(ids)
+            some, limits, ids = np.arange(len(ids)), blocks.Thresholds(len(ids), keep, slack), pa.array(ids)
             for batch in batches:
-                for first in range(0, batch.num_rows if len(ids) else 0, ROW_BLOCK):
-                    part = batch.slice(first, ROW_BLOCK)
+                for first in range(0, batch.num_rows if len(ids) else 0, size):
+                    part = batch.slice(first, size)
                     vectors = _matrix(part.column(2))
                     if vectors.shape[1] != matrix.shape[1]:
                         raise ValueError("vectors differ in length")
                     cosine = matrix @ vectors.T
-                    least = np.full((len(ids), 1), -np.inf)
-                    if keep is not None:
-                        codes = part.column(0).dictionary_encode().indices.to_numpy()
-                        order = np.argsort(codes, kind="stable")
-                        best = np.maximum.reduceat(cosine[:, order], np.searchsorted(codes[order], np.arange(codes.max() + 1)), axis=1)
-                        if best.shape[1] > keep > 0:
-                            least = np.partition(best, -keep, axis=1)[:, -keep, None] - slack - 2e-9  # scores are compared at nine places
-                    q, c = np.nonzero(cosine >= least)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column(0).take(pa.array(c)), part.column(1).take(pa.array(c)), pa.array(cosine[q, c])], ["question_id", "item_id", "pos", "score"])
+                    q, c = np.nonzero(limits.survivors(cosine, part.column(0).dictionary_encode().indices.to_numpy(), some))
+                    if len(q):
+                        yield blocks.emitted(ids, part, q, c, cosine[q, c])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema), sent
 
-    return reduce(DataFrame.unionByName, [compared(asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)) for b in range(blocks)])
+    return blocks.in_blocks(asks, scan)
 
 
+@_limited
 def semantic_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
     candidates = corpus.of_kind(candidates, kind)
-    return top(best_phrasing(cosine_scores(questions, candidates, k)), candidates, k)
-
+    return top(best_phrasing(cosine_scores(questions, candidates, _all(k))), candidates, k)
 
-def centroids(candidates: DataFrame) -> DataFrame:
-    """item_id, pos (first phrasing), embedding: the mean of an item's vectors at unit length; ragged or zero ones raise."""
-    sized = candidates.select("item_id", "pos", F.posexplode(scores.doubles(F.col("embedding"))).alias("i", "x"))
-    means = sized.groupBy("item_id", "i").agg(F.avg("x").alias("x"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    by_item = means.groupBy("item_id").agg(mean.alias("mean"))
-    first = candidates.groupBy("item_id").agg(F.min("pos").alias("pos"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"))
-    joined = by_item.join(first, "item_id")
-    ragged = F.raise_error(F.lit("vectors of an item differ in length")).cast("array<double>")
-    return joined.select("item_id", "pos", F.when(F.col("least") == F.col("most"), scores.unit(F.col("mean"), zero_raises=True)).otherwise(ragged).alias("embedding"))
 
+#: Items of which a task holds a sum of vectors at once.
+HELD_ITEMS = 1 << 14
 
-def centroid_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
-    candidates = corpus.of_kind(candidates, kind)
-    return top(cosine_scores(questions, centroids(candidates), k), candidates, k)
 
+def centroids(candidates: DataFrame) -> DataFrame:
+    """item_id, pos (first phrasing), embedding: the mean of an item's vectors at unit length; ragged or zero ones raise.
 
-def blended_scores(questions: DataFrame, candidates: DataFrame, lexical: DataFrame, keep: int | None = None) -> DataFrame:
-    """0.85 of the cosine and 0.15 of a lexical score from 0 to 1; with keep, where they can be among the best items of a question."""
-    near = cosine_scores(questions, candidates, keep, LEXICAL_SHARE / SEMANTIC_SHARE).withColumnRenamed("score", "cosine")
-    joined = near.join(lexical.withColumnRenamed("score", "lexical"), ["question_id", "item_id", "pos"], "left")
-    lexical_part = F.coalesce("lexical", F.lit(0.0))
-    return joined.select("question_id", "item_id", "pos", (SEMANTIC_SHARE * F.col("cosine") + LEXICAL_SHARE * lexical_part).alias("score"))
+    Each task sums whole vectors per item, a batch at a time; what leaves it is a row per item (or per item and HELD_ITEMS others). The
+    sums of an item meet in one task, which adds them as they come.
+    """
+    rows = candidates.select(F.col("item_id").cast("string").alias("item_id"), F.col("pos").cast("long").alias("pos"), scores.doubles(F.col("embedding")).alias("v"))
+    names, kinds = ["item_id", "pos", "n", "v"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+    def flat(column: pa.Array) -> np.ndarray:
+        sizes = np.unique(column.value_lengths().to_numpy())
+        if len(sizes) != 1:
+            raise ValueError("vectors of an item differ in length")
+        return column.flatten().to_numpy().reshape(-1, int(sizes[0]))
+
+    def packed(held: dict) -> pa.RecordBatch:
+        columns = [list(held), [p for p, _, _ in held.values()], [n for _, n, _ in held.values()], [v for _, _, v in held.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    def add(held: dict, item: str, pos: int, n: int, v: np.ndarray) -> None:
+        if item in held:
+            p, m, w = held[item]
+            if len(w) != len(v):
+                raise ValueError("vectors of an item differ in length")
+            pos, n, v = min(p, pos), m + n, w + v
+        held[item] = (pos, n, v)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            if not batch.num_rows:
+                continue
+            order = np.argsort(codes.indices.to_numpy(), kind="stable")
+            starts = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(codes.dictionary)))
+            sums = np.add.reduceat(flat(batch.column(2))[order], starts)
+            least = np.minimum.reduceat(batch.column(1).to_numpy()[order], starts).tolist()
+            for item, pos, n, v in zip(codes.dictionary.to_pylist(), least, np.diff(np.append(starts, len(order))).tolist(), sums, strict=True):
+                add(held, item, pos, n, v)
+            if len(held) >= HELD_ITEMS:
+                yield packed(held)
+                held.clear()
+        if held:
+            yield packed(held)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by item, so one item is held beside those that are done."""
+        held: dict = {}
+        for batch in batches:
+            for item, pos, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                add(held, item, pos, n, v.values.to_numpy())
+            if len(held) > 1:
+                *done, last = held
+                yield packed({item: held[item] for item in done})
+                held = {last: held[last]}
+        if held:
+            yield packed(held)
+
+    schema = "item_id string, pos long, n long, v array<double>"
+    whole = rows.mapInArrow(summed, schema).repartition("item_id").sortWithinPartitions("item_id").mapInArrow(merged, schema)
+    mean = F.transform("v", lambda x: x / F.col("n"))
+    return whole.select("item_id", "pos", scores.unit(mean, zero_raises=True).alias("embedding"))
+
+
+@_limited
+def centroid_top(questions: DataFrame, candidates: DataFrame, k: int | None, kind: str | None = None) -> DataFrame:
+    means = corpus.kept_once(centroids(corpus.of_kind(candidates, kind)), "means")
+    return top(cosine_scores(questions, means, _all(k)), means, k)
 
 
 def with_runner_up(ranked: DataFrame, single_margin: Column | None = None) -> DataFrame:
@@ -208,5 +332,19 @@ def hybrid_best(questions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def weighted_hybrid_best(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    scored = blended_scores(asked(questions), candidates, weighted_dice_scores(questions, candidates), 2)
+    # As above; weights come from the grams of all phrasings.
+    near = corpus.kept_once(cosine_scores(asked(questions), candidates, 2, LEXICAL_SHARE / SEMANTIC_SHARE), "near")
+    lists = corpus.kept_once(corpus.gram_lists(candidates), "grams")
+    idf = corpus.kept_once(corpus.idf_of(lists), "idf")
+    unseen = idf.agg(F.max("unseen_idf")).first()[0] or 0.0
+    own = lists.join(near.select("item_id", "pos").distinct(), ["item_id", "pos"], "left_semi")
+    asks = corpus.with_grams(asked(questions), "question").select("question_id", F.col("grams").alias("asked"))
+    wanted = asks.select("question_id", F.explode("asked").alias("gram")).join(idf.select("gram", "idf"), "gram", "left")
+    wanted = wanted.groupBy("question_id").agg(F.sum(F.coalesce("idf", F.lit(unseen))).alias("wanted"))
+    pairs = near.join(_with_totals(own, idf, unseen), ["item_id", "pos"]).join(asks, "question_id")
+    shared = pairs.select("question_id", "item_id", "pos", F.explode(F.array_intersect("asked", "grams")).alias("gram")).join(idf.select("gram", "idf"), "gram")
+    both = shared.groupBy("question_id", "item_id", "pos").agg(F.sum("idf").alias("both"))
+    joined = pairs.select("question_id", "item_id", "pos", "score", "own").join(wanted, "question_id").join(both, ["question_id", "item_id", "pos"], "left")
+    lexical = F.coalesce(2.0 * F.col("both") / (F.col("own") + F.col("wanted")), F.lit(0.0))
+    scored = joined.select("question_id", "item_id", "pos", (SEMANTIC_SHARE * F.col("score") + LEXICAL_SHARE * lexical).alias("score"))
     return with_runner_up(top(best_phrasing(scored), candidates, 2))

@@ -107,8 +107,7 @@ def bm25_topk_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dice_similarity(spark: SparkSession, d: str) -> DataFrame:
-    found = ranking.dice_scores(benchmark_questions(spark, d), conversation_candidates(spark, d))
-    return shown(ranking.top(ranking.best_phrasing(found), conversation_candidates(spark, d), DEPTH))
+    return shown(ranking.dice_top(benchmark_questions(spark, d), conversation_candidates(spark, d), DEPTH))
 
 
 @query

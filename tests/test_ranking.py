@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scores
-from quern.operators import corpus, ranking
+from quern.operators import blocks, corpus, ranking
 from quern.plans import catalogue
 
 SCHEMA = "item_id string, pos long, text string, answer string, kind string, embedding array<float>"
@@ -105,27 +108,79 @@ def test_question_blocks_agree(spark):
     asks = spark.createDataFrame([(k, "q", [1.0, float(k)]) for k in range(9)], "question_id long, question string, embedding array<float>")
     near_rows = lambda df: sorted((r.question_id, r.item_id, r.pos, round(r.score, 12)) for r in df.collect())
     whole = near_rows(ranking.cosine_scores(asks, some))
-    size, ranking.QUESTION_BLOCK = ranking.QUESTION_BLOCK, 2
+    size, blocks.QUESTION_BLOCK = blocks.QUESTION_BLOCK, 2
     try:
         parted = ranking.cosine_scores(asks, some)
         near = ranking.cosine_scores(asks, some, 2)
         parted, near = near_rows(parted), near_rows(near)
     finally:
-        ranking.QUESTION_BLOCK = size
+        blocks.QUESTION_BLOCK = size
     assert parted == whole and len(whole) == 180
     # By blocks at least the best two items of each question stay, and the tops agree.
     assert set(near) <= set(whole)
     tops = lambda k: sorted((r.question_id, r.rank, r.item_id, r.pos) for r in ranking.semantic_top(asks, some, k).where("rank <= 3").collect())
-    rows, best = ranking.ROW_BLOCK, tops(None)
-    ranking.ROW_BLOCK = 3
+    rows, best = blocks.ROW_BLOCK, tops(None)
+    blocks.ROW_BLOCK = 3
     try:
         assert tops(3) == best
     finally:
-        ranking.ROW_BLOCK = rows
+        blocks.ROW_BLOCK = rows
     expected = {(r.question_id, r.pos): r.s for r in asks.crossJoin(some.select("pos", F.col("embedding").alias("v"))).select("question_id", "pos", scores.cosine(scores.doubles(F.col("embedding")), scores.doubles(F.col("v"))).alias("s")).collect()}
     assert all(abs(expected[q, pos] - s) < 1e-11 for q, _, pos, s in whole)
 
 
+def corpus_of_words(spark, n, stop="the"):
+    """Phrasings of random words, each with a word that all have; the last items are copies."""
+    rng = random.Random(n)
+    words = [f"w{k}" for k in range(60)]
+    said = [" ".join([stop] * rng.randrange(1, 4) + [words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randrange(1, 25))]) for _ in range(n)]
+    said += said[:20]
+    some = spark.createDataFrame([(f"i{rng.randrange(80)}", k, t, "Answer" if k % 3 else "Clarification") for k, t in enumerate(said)], "item_id string, pos long, text string, kind string")
+    asks = spark.createDataFrame([(k, f"{stop} " + " ".join(rng.sample(words, 6))) for k in range(12)] + [(50, " "), (51, "unheard")], "question_id long, question string")
+    return some, asks
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_blocks_leave_only_what_can_be_first(spark, block, monkeypatch):
+    """Rows equal all pairs ranked; of those few leave the blocks, though a word stands in every phrasing."""
+    monkeypatch.setattr(blocks, "ROW_BLOCK", block)
+    some, asks = corpus_of_words(spark, 3000)
+    some = some.repartition(2)
+    for scored, ranked in ((ranking.bm25_scores, ranking.bm25_top), (ranking.weighted_dice_scores, ranking.weighted_lexical_top), (ranking.dice_scores, ranking.dice_top)):
+        pairs, near = scored(asks, some), scored(asks, some, keep=3)
+        whole = ranking.top(ranking.best_phrasing(pairs), some, 3)
+        key = lambda df: sorted((r.question_id, r.rank, r.item_id, r.pos, round(r.score, 9)) for r in df.collect())
+        assert key(ranked(asks, some, 3)) == key(whole) and key(ranked(asks, some, None)) == key(ranking.top(ranking.best_phrasing(pairs), some, None))
+        every = pairs.count()
+        assert every >= 12 * some.count() and near.count() * (10 if block > 7 else 2) < every
+        assert ranked(asks, some, 0).count() == 0 and ranked(asks, some, -1).columns == whole.columns
+    monkeypatch.setattr(blocks, "QUESTION_BLOCK", 4)
+    assert key(ranking.dice_top(asks, some, 3)) == key(whole)
+
+
+def test_bm25_blocks_that_cannot_reach_the_threshold_are_left_out():
+    limits = blocks.Thresholds(2, 2)
+    scores_of = np.array([[5.0, 4.0, 1.0, 4.5], [1.0, 1.0, 1.0, 1.0]])
+    kept = limits.survivors(scores_of, np.array([0, 1, 2, 1]), np.arange(2))
+    assert kept.tolist() == [[True, False, False, True], [True, True, True, True]]
+    assert np.allclose(limits.least, [4.5, 1.0])
+    # A later block of lower scores leaves nothing; one question alone is looked at.
+    assert not limits.survivors(np.array([[4.0, 3.0]]), np.array([0, 1]), np.array([0])).any()
+
+
+def test_centroids_of_many_batches(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2500, 6))
+    some = spark.createDataFrame([(f"i{k % 7}" if k % 2 else "hot", k, v.tolist()) for k, v in enumerate(vectors)], "item_id string, pos long, embedding array<double>").repartition(6)
+    found = {r.item_id: (r.pos, np.array(r.embedding)) for r in ranking.centroids(some).collect()}
+    for item in {"hot", *(f"i{k}" for k in range(7))}:
+        own = [k for k in range(2500) if (f"i{k % 7}" if k % 2 else "hot") == item]
+        mean = vectors[own].mean(0)
+        assert found[item][0] == own[0] and np.allclose(found[item][1], mean / np.linalg.norm(mean))
+    with pytest.raises(Exception, match="zero"):
+        ranking.centroids(spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [-1.0])], some.schema)).collect()
+
+
 def test_items_are_cleaned_and_expanded(spark):
     items = spark.createDataFrame(
         [("A", " Same question ", "a", ["Same question", "Same question", " "], " CLARIFICATION "), ("B", " ", "b", None, None), ("C", "c", "d", None, None)],
