@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quern.functions import fields, models, scores, text
 from quern.operators import administration, content, corpus, decide, fusion, index_store, metrics, ranking, submissions
 from quern.plans import catalogue
-from quern.plans.catalogue import benchmark_questions, conversation_candidates, mixed_candidates, mixed_questions, shown
+from quern.plans.catalogue import benchmark_questions, conversation_candidates, mixed_candidates, mixed_questions, shown, vector_candidates, vector_questions
+from quern.sources import tables
 from quern.sources.tables import kept, knowledge_items, look_up, parquet, shared_path
 from quern.streaming import changes
 
@@ -294,6 +295,63 @@ def metrics_difference(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.difference(metrics.totals(rows, "event_type", "value", "ts", "event_id"), metrics.totals(before, "event_type", "value", "ts", "event_id"), "event_type"))
 
 
+CALLS = ("click", "error", "purchase", "view")
+
+
+@query
+def observed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls counted while the rows are written to another table; one type is not named and counts as other."""
+    rows, watch = metrics.observed(parquet(spark, d, "events"), "event_type", "value", CALLS)
+    kept(rows, shared_path(spark, "calls"))
+    return shown(spark.createDataFrame(metrics.counted(watch.get, CALLS), "event_type string, n long, total double, largest double"))
+
+
+@query
+def failed_build(spark: SparkSession, d: str) -> DataFrame:
+    """An index whose second build fails on one row: the first stays; and one whose only build fails: not ready."""
+    index = conversation_candidates(spark, d)
+    broken = index.withColumn("text", F.when(F.col("pos") % 7 == 0, F.raise_error(F.lit("no embedding")).cast("string")).otherwise(F.col("text")))
+    good, bad = (index_store.IndexStore(spark, shared_path(spark, "index")) for _ in range(2))
+    built = [good.build(lambda: index), good.build(lambda: broken), bad.build(lambda: broken)]
+    states = good.read().select("item_id", "pos", "text").withColumn("built", F.lit(f"{built} {good.ready()} {bad.ready()}"))
+    return states
+
+
+@query
+def no_limit_no_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Limits of 0 and below give nothing, a limit of one the best."""
+    asks, some = vector_questions(spark, d), vector_candidates(spark, d)
+    parts = [ranking.semantic_top(asks, some, k).withColumn("k", F.lit(k)) for k in (-1, 0, 1)]
+    return shown(reduce(DataFrame.unionByName, parts).select("k", "question_id", "rank", "item_id", "pos"))
+
+
+@query
+def feed_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of customers, nations and orders that are gone, as operations on an index of customers below nations."""
+    k = F.col("event_id")
+    name = F.when(k % 5 == 0, F.concat(F.lit("n"), F.col("user_id") % 25)).when(k % 5 == 1, F.concat(F.lit("x"), "user_id")).otherwise(F.concat(F.lit("c"), F.col("user_id") % 100))
+    rows = parquet(spark, d, "events").select(F.when(k % 11 != 0, name).alias("item_id"), k.alias("seq"), (k % 16).alias("flags"))
+    return changes.last_changes(changes.operations(rows, catalogue._tree(spark, d), "nation", "customer"))
+
+
+@query
+def json_items(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a JSON file of items with property names in other cases, read back."""
+    rows = parquet(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("ID"), F.col("c_name").alias("Question"), F.col("c_mktsegment").alias("ANSWER"), F.array("c_name", "c_mktsegment").alias("AlternativeQuestions"))
+    path = shared_path(spark, "items")
+    rows.write.json(path)
+    found = tables.json_items(spark, path, multi_line=False)
+    return found.withColumn("alternative_questions", F.array_join("alternative_questions", "|"))
+
+
+@query
+def missing_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a form requires and a row lacks, whatever their case."""
+    k = F.col("c_custkey")
+    present = F.array_compact(F.array(F.lit("FullName"), F.when(k % 2 == 0, "MOBILE"), F.when(k % 3 == 0, "message")))
+    return parquet(spark, d, "customer").select("c_custkey", F.array_join(tables.missing_names(present, ("fullname", "mobile", "Message")), ",").alias("missing"))
+
+
 @query
 def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Ids of questions with their best conversations, as a relevance model reads them, by a public vocabulary of pieces."""

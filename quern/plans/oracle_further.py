@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans.oracle import _TREE, BENCH, CONV, MIX, RANKERS, bm25, centroid, cosine, fused, grams, ranked, runner_up
+from quern.plans.oracle import _TREE, BENCH, CONV, MIX, RANKERS, VEC, bm25, centroid, cosine, fused, grams, ranked, runner_up
 
 _ANS = "ans_c AS (SELECT * FROM mix_c WHERE kind = 'Answer'), cla_c AS (SELECT * FROM mix_c WHERE kind = 'Clarification')"
 _SEED = "seeded AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent_id, c_mktsegment || '-' || c_custkey AS name, c_custkey AS k, c_acctbal > 0 AS published, c_custkey % 7 <> 0 AS publishable FROM customer)"
@@ -86,6 +86,14 @@ SQL: dict[str, str] = {
         greatest(0.0, least(5000.0, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal ELSE 100.0 END))::DOUBLE AS clamped, coalesce(own, c_mktsegment) AS first, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'z' END AS icon,
         CASE WHEN contains(coalesce(own, c_mktsegment), 'Customer') THEN coalesce(own, c_mktsegment) ELSE coalesce(own, c_mktsegment) || ' | Customer' END AS title FROM b""",
     "media_urls": "SELECT page_id, CASE WHEN page_id % 3 = 1 AND length(trim(url)) > 0 THEN url ELSE '/a.mp4,/b.mp4' END AS urls FROM pages",
+    "observed_calls": "SELECT CASE WHEN event_type IN ('click', 'error', 'purchase', 'view') THEN event_type END AS event_type, count(*) AS n, round(sum(value), 6) AS total, round(max(value), 6) AS largest FROM events GROUP BY 1",
+    "failed_build": f"WITH {CONV} SELECT item_id, pos, text, '[True, False, False] True False' AS built FROM conv_c",
+    "no_limit_no_rows": f"WITH {VEC}, {cosine('vec_c', 'vec_q', 'x')}, {ranked('xs', 'vec_c', 'x', 1)} SELECT 1 AS k, question_id, rank, item_id, pos FROM xr",
+    "feed_operations": f"""WITH {_TREE}, e AS (SELECT event_id AS seq, CASE WHEN event_id % 11 <> 0 THEN CASE event_id % 5 WHEN 0 THEN 'n' || (user_id % 25) WHEN 1 THEN 'x' || user_id ELSE 'c' || (user_id % 100) END END AS item_id FROM events WHERE event_id % 16 NOT IN (0, 1)),
+      o AS (SELECT seq, e.item_id, CASE WHEN type IS NULL THEN 'remove' WHEN type = 'customer' THEN 'refresh' WHEN type = 'nation' THEN 'rebuild' END AS op FROM e LEFT JOIN tree ON tree.id = e.item_id WHERE e.item_id IS NOT NULL)
+      SELECT item_id, arg_max(op, seq) AS op FROM o WHERE op IS NOT NULL GROUP BY item_id""",
+    "json_items": "SELECT 'c' || c_custkey AS id, c_name AS question, c_mktsegment AS answer, c_name || '|' || c_mktsegment AS alternative_questions, NULL::VARCHAR AS kind FROM customer",
+    "missing_properties": "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 2 <> 0 THEN 'mobile' END, CASE WHEN c_custkey % 3 <> 0 THEN 'Message' END) AS missing FROM customer",
     "date_texts": "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS day FROM orders",
     "session_expiry": """WITH e AS (SELECT event_id, ts, user_id, event_id % 4 AS k, timezone('Asia/Tehran', timezone('UTC', ts)) + INTERVAL 2 HOUR AS ahead FROM events)
       SELECT event_id, CASE k WHEN 0 THEN '{"ExpireDateTime":"' || strftime(ahead, '%Y-%m-%d %H:%M:%S') || '","user":' || user_id || '}' WHEN 1 THEN '{"ExpireDateTime":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","user":' || user_id || '}'

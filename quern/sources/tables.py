@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,12 +60,18 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def json_items(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """Items of a JSON array; property names in any case. Another number of items than expected raises."""
-    raw = spark.read.option("multiLine", True).json(path)
+def missing_names(present: Column, required: tuple[str, ...]) -> Column:
+    """The required names that an array of names lacks in any case, in their order."""
+    low = F.transform(present, lambda p: F.lower(p))
+    return F.filter(F.array(*map(F.lit, required)), lambda r: ~F.array_contains(low, F.lower(r)))
+
+
+def json_items(spark: SparkSession, path: str, expected: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Items of a JSON array, or of lines of objects; property names in any case. Another number of items than expected raises."""
+    raw = spark.read.option("multiLine", multi_line).json(path)
     by_name = {c.lower().replace("_", ""): c for c in raw.columns}
     schema: T.StructType = T._parse_datatype_string(ITEMS)
-    missing = [f.name for f in schema if f.name in ("id", "question", "answer") and f.name.replace("_", "") not in by_name]
+    missing = [n for n in ("id", "question", "answer") if n not in by_name]
     if missing:
         raise ValueError(f"items lack {', '.join(missing)}")
     none = F.lit(None)
