@@ -4,7 +4,9 @@ Each value found is mapped to a number, permuted under a key by a balanced Feist
 cycle walking over exactly the values of its format, and written back in that format: a card
 number stays a number with a right check digit, a date a date, an IBAN an IBAN. The permutation
 depends on key and kind alone, so equal values get equal pseudonyms in all documents and
-different ones never meet.
+different ones never meet. A telephone number is linked in all its ways of writing, with and without its country code; an e-mail
+address whatever the case of its letters. Not looked for: dates with the year first and slashes, IPv6 addresses, and
+telephone numbers without a country code in other groups than three, three and four digits.
 
 Defined results: a null text stays null and an empty one empty, with no findings; whole texts of
 any length are read; rows are handled one by one (ties, repeated rows, null keys, empty tables); other
@@ -14,6 +16,7 @@ columns stay as they are, but for one of the name of ``counts``, which the resul
 from __future__ import annotations
 
 import datetime
+import logging
 import re
 from collections.abc import Callable
 from hashlib import blake2b
@@ -192,18 +195,25 @@ def ssn(cipher: Feistel, text: str) -> str | None:
             return text
 
 
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT = "1 7".split()
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def phone(cipher: Feistel, text: str) -> str | None:
-    """The digits after the country code."""
-    if not 8 <= sum(c in DIGITS for c in text) <= 15:
+    """The digits behind the country code, as one number however they are grouped; the code and the layout stay."""
+    digits = re.sub(r"[^0-9]", "", text)
+    if not 8 <= len(digits) <= 15:
         return None
-    head = re.match(r"\+\d{1,3}(?=\D)|", text)[0]
-    return head + permute_text(cipher, f"phone{head}", text[len(head) :])
+    code = 0 if text[0] != "+" else 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+    return _refill(text, digits[:code] + permute_text(cipher, "phone", digits[code:]))
 
 
 def email(cipher: Feistel, text: str) -> str:
-    """Letters and digits of both sides, but for the top-level domain."""
+    """Letters and digits of both sides, but for the top-level domain; the case of letters stays and does not count."""
     head, _, top = text.rpartition(".")
-    return f"{permute_text(cipher, 'email', head)}.{top}"
+    new = permute_text(cipher, "email", "".join(c.lower() if c in UPPER else c for c in head))
+    return "".join(n.upper() if c in UPPER else n for c, n in zip(head, new, strict=True)) + f".{top}"
 
 
 def permute_long(cipher: Feistel, tag: str, text: str, letters: str = "") -> str:
@@ -279,6 +289,8 @@ class Pseudonyms:
 def session_key(spark: SparkSession) -> bytes:
     """The key that the session is set to; without one the demonstration key, as tests and the queries on given tables have."""
     key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        logging.getLogger("quern").warning("personal data gets pseudonyms under a public key, which anyone can undo: set %s", KEY_SETTING)
     return key.encode() if key else DEMO_KEY
 
 
