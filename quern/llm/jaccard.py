@@ -21,7 +21,11 @@ joined, the whole sets of those members are compared in their lists, as far as t
 components, and a forest of the links leaves each list. So every link between different components is found,
 and no step writes the pairs of a group.
 
-Equal sets are one node. Long lists are compared block against block.
+Equal sets are one node. Lists are compared block against block. A list of more than LONG rows, such as that of many texts with
+one sentence in common, would take a number of blocks that grows with its square: its members are listed anew, under the first n-grams
+of each in an order by how often n-grams occur among them (rare ones first), of which two linked sets share one.
+What they all have in common comes last there, and lists nobody. Frequencies are counted in a fixed number of buckets; any
+order that is the same for all sets finds all links.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than n has one n-gram; keys are expected to be unique, repeated equal
@@ -50,6 +54,8 @@ from quern.llm.wordhash import LOWER, NOT_SPACE, mix, shingle_sets
 LEAST_BITS, MOST_BITS, FINE = 256, 1 << 14, 1
 #: Rows of a list that are compared with one another at once, by parity bits and by whole sets.
 LIST_BLOCK, SET_BLOCK = 1000, 200
+#: Rows of a list beyond which its members are listed by their rarest n-grams, and buckets in which those are counted (8 MB).
+LONG, BUCKETS = 4000, 1 << 20
 #: Rows of numbers in an Arrow batch, and rows with parity bits.
 NUMBERS, BITS_ROWS = 20_000, 4_000
 #: Distinct n-grams counted in one product of matrices.
@@ -164,13 +170,22 @@ def fragment_lists(docs: DataFrame, rule: Threshold) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n int, sum1 long, sum2 long, hashes array<long>")
 
 
-def shared_lists(postings: DataFrame) -> DataFrame:
-    """hash, doc_id and the smallest doc_id of its list, for lists of two members and more; one pass over sorted rows."""
-    rows = postings.repartition("hash").sortWithinPartitions("hash", "doc_id")
+def shared_lists(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """hash, doc_id and the smallest doc_id of its list (the hub), for lists of two members and more; kept.
+
+    Rows are sorted over ranges of (hash, doc_id), so that a long list may span parts. One pass over a part gives its lists, and a mark for its
+    first and its last one, by which those that span parts are put together.
+    """
+    rows = postings.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id")
+
+    def batch_of(key: np.ndarray, doc: np.ndarray, hub: np.ndarray, mark: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(hub), pa.array(np.full(len(key), mark, np.int32))], ["hash", "doc_id", "hub", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The list at the end of the rows so far: its hash, first and last member, and whether its first row is out.
         held: tuple[int, int, int, bool] | None = None
+        # The first list: its hash, first member and length.
+        first: tuple[int, int, int] | None = None
         for batch in batches:
             key, doc = (batch.column(k).to_numpy() for k in (0, 1))
             if not len(key):
@@ -180,6 +195,9 @@ def shared_lists(postings: DataFrame) -> DataFrame:
                 same[0] = True
             last = int(doc[-1])
             key, doc = key[~same], doc[~same]
+            if first is None:
+                first = (int(key[0]), int(doc[0]), 0)
+            first = (first[0], first[1], first[2] + int((key == first[0]).sum()))
             if held:
                 key, doc = np.append(held[0], key), np.append(held[1], doc)
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -191,10 +209,56 @@ def shared_lists(postings: DataFrame) -> DataFrame:
                 keep[0] = False
             held = (int(key[-1]), int(hub[-1]), last, bool(length[-1] > 1 or (len(begin) == 1 and out)))
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, doc, hub)], ["hash", "doc_id", "hub"])
+                yield batch_of(key[keep], doc[keep], hub[keep], 0)
+        if held:
+            ends = {first[0]: (first[1], first[2] == 1), held[0]: (held[1], not held[3])}
+            for name, (member, alone) in ends.items():
+                yield batch_of(*(np.array([x]) for x in (name, member, member)), 1 + alone)
         give_back()
 
-    return rows.select("hash", "doc_id").mapInArrow(run, "hash long, doc_id long, hub long")
+    found = rows.select("hash", "doc_id").mapInArrow(run, "hash long, doc_id long, hub long, mark int").withColumn("part", F.spark_partition_id())
+    made = scratch.keep(found, batch_rows=NUMBERS)
+    # Two rows of a part at most.
+    spanning = F.broadcast(made.where("mark > 0").groupBy("hash").agg(F.min("hub").alias("least"), F.countDistinct("part").alias("parts")).where("parts > 1"))
+    inner = made.where("mark = 0").join(spanning, "hash", "left").select("hash", "doc_id", F.coalesce("least", "hub").alias("hub"))
+    # The only row of its list in its part.
+    alone = made.where("mark = 2").join(spanning, "hash").select("hash", "doc_id", F.col("least").alias("hub"))
+    return scratch.keep(inner.unionByName(alone), batch_rows=NUMBERS)
+
+
+def rare_lists(docs: DataFrame, wanted: DataFrame, rule: Threshold) -> DataFrame:
+    """hash and doc_id: the wanted documents under their first n-grams, rare ones first."""
+    texts = prefiltered(docs, wanted)[0].select("doc_id", "text")
+
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [s for _, _, offsets, data in slabs(batch.column(1)) for s in shingle_sets(LOWER[data], offsets, NOT_SPACE, rule.size)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            if sets := sets_of(batch):
+                total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+        give_back()
+
+    # A row per bucket at most.
+    found = texts.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, owners, grams = batch.column(0).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for key, s in zip(keys.tolist(), sets_of(batch), strict=True):
+            if not len(s):
+                continue
+            first = s[np.lexsort((s, sent.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))[: rule.prefix(len(s))]]
+            owners.append(np.full(len(first), key))
+            grams.append(first)
+        return pa.RecordBatch.from_arrays([pa.array(mix(np.concatenate(grams) ^ np.uint64(0x9FB21C651E98DF25)).view(np.int64)), pa.array(np.concatenate(owners))], ["hash", "doc_id"])
+
+    return map_batches(texts, run, "hash long, doc_id long")
 
 
 def _parity(grams: np.ndarray) -> bytes:
@@ -427,7 +491,7 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
     members = scratch.keep(named.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
     copies = members.where("doc_id <> node").select("doc_id")
     nodes = without_ids(sets.select("doc_id", "hashes"), copies)
-    shared = scratch.keep(shared_lists(nodes.select(F.explode("hashes").alias("hash"), "doc_id")), batch_rows=NUMBERS)
+    shared = shared_lists(nodes.select(F.explode("hashes").alias("hash"), "doc_id"), scratch)
     scratch.drop(sets)
     info = scratch.keep(set_bits(docs, shared.select("doc_id").distinct(), rule))
 
@@ -438,7 +502,12 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
     parts = scratch.keep(connected_components(linked_pairs(pairs, docs, rule, scratch), scratch))
 
     # Pairs that connect what may be linked, and the members of lists that may have links.
-    lists = _split_lists(shared, parts).join(info, "doc_id")
+    lists = scratch.keep(_split_lists(shared, parts))
+    long = scratch.keep(lists.where(F.col("c") > LONG).select("doc_id").distinct())
+    if not long.isEmpty():
+        anew = rare_lists(docs, long, rule).join(long, "doc_id", "left_semi")
+        lists = lists.where(F.col("c") <= LONG).unionByName(_split_lists(anew, parts))
+    lists = lists.join(info, "doc_id")
     left = scratch.keep(undecided(_block_rows(lists, LIST_BLOCK, "bits"), rule), batch_rows=BITS_ROWS)
     more = linked_pairs(left.where("b is not null").select("a", "b"), docs, rule, scratch)
     parts = _joined(parts, more, scratch)

@@ -590,6 +590,45 @@ def test_components_equal_comparing_all(docs, none, size, percent):
     assert jaccard.jaccard_components(none, rule).count() == 0
 
 
+def test_lists_that_span_parts(spark):
+    """Each list whole, with its smallest member, however the sort cuts it."""
+    rng = random.Random(3)
+    rows = [(h, rng.randrange(400)) for h in (7, 8) for _ in range(300)] + [(9, k) for k in range(500)] + [(100 + k, rng.randrange(5)) for k in range(300)] + [(100 + k, 7) for k in range(0, 300, 3)]
+    members = {}
+    for h, d in rows:
+        members.setdefault(h, set()).add(d)
+    expected = sorted((h, d, min(own)) for h, own in members.items() if len(own) > 1 for d in own)
+    table = spark.createDataFrame(rows, "hash long, doc_id long").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "3", "40", "900"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(map(tuple, jaccard.shared_lists(table, Scratch(spark, "lists")).collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert jaccard.shared_lists(table.limit(0), Scratch(spark, "lists")).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1 << 20, 8])
+def test_long_lists_are_listed_anew(spark, monkeypatch, buckets):
+    """Texts with one sentence in common, some of them near copies; every list counts as long."""
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    monkeypatch.setattr(jaccard, "BUCKETS", buckets)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 15)
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(14)]
+    rows = [(k, " ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(rng.choice((4, 8, 20)))])) for k in range(150)]
+    for k in range(60):
+        words = rows[rng.randrange(len(rows))][1].split()
+        words[rng.randrange(len(words))] = f"y{k}"
+        rows.append((150 + k, " ".join(words)))
+    for rule in (jaccard.Threshold(), jaccard.Threshold(5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(cases.frame(spark, rows), rule).collect()}
+        assert got == cases.components(rows, rule.size, rule.percent)
+
+
 def test_frequent_lists_are_split(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
