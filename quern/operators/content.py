@@ -137,10 +137,17 @@ def children(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.where(F.col("type") == kind).withColumn("place", F.row_number().over(order))
 
 
+#: The type of the not-found page, what a document begins and ends with, and how many entries it may have.
+NOT_FOUND = "page404"
+URLSET = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>"
+SITEMAP_INDEX = '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</sitemapindex>"
+MOST_ENTRIES = 50_000
+
+
 def sitemap(nodes: DataFrame) -> DataFrame:
     """loc, lastmod, priority and place of pages with a template and an address; the not-found page is left out."""
     url = F.col("url")
-    kept = nodes.where((F.col("type") != "notFound") & F.col("has_template") & (F.length(F.trim(url)) > 0) & (url != "#"))
+    kept = nodes.where((F.col("type") != NOT_FOUND) & F.col("has_template") & (F.length(F.trim(url)) > 0) & (url != "#"))
     return kept.select("id", "level", "sort_order", fields.xml_escape(url).alias("loc"), F.date_format("update_date", "yyyy-MM-dd").alias("lastmod"), fields.level_priority(F.col("level")).alias("priority"))
 
 
@@ -150,6 +157,32 @@ def sitemap_xml(entries: DataFrame) -> DataFrame:
     return entries.orderBy("level", "sort_order", "id").select(line.alias("value"))
 
 
+def write_sitemap(nodes: DataFrame, path: str, base_url: str, entries: int = MOST_ENTRIES) -> None:
+    """XML documents of at most so many entries, as text files in ``path``/urls/file=<n>, and an index of them in ``path``/index.
+
+    Entries stand by level and sort order, equal ones in document order, from one document to the next; only pages below or at a root are
+    entries. A document is one file of one task, as it is bounded; the sort is spread over ranges.
+    """
+    ordered = tree_paths(nodes)
+    placed = submissions.with_ids(sitemap(ordered).join(ordered.select("id", "path"), "id"), -1, "level", "sort_order", "path", name="place")
+    tags = [f"    <loc>{base_url}", F.col("loc"), "</loc>\n    <lastmod>", F.col("lastmod"), "</lastmod>\n    <changefreq>weekly</changefreq>\n    <priority>", F.format_string("%.1f", "priority")]
+    entry = F.concat(F.lit("  <url>\n"), *[F.lit(t) if isinstance(t, str) else t for t in tags], F.lit("</priority>\n  </url>"))
+    file = F.floor(F.col("place") / entries).cast("long").alias("file")
+    lines = placed.select(file, "place", entry.alias("value"))
+    files = lines.select("file").distinct()
+    ends = [files.select("file", F.lit(at).cast("long").alias("place"), F.lit(text).alias("value")) for at, text in zip((-1, (1 << 62)), URLSET, strict=True)]
+    whole = lines.unionByName(ends[0]).unionByName(ends[1])
+    # A document without entries is written for a tree without pages.
+    if files.isEmpty():
+        empty = nodes.sparkSession.createDataFrame([(0, k, t) for k, t in enumerate(URLSET)], "file long, place long, value string")
+        whole, files = empty, empty.select("file").distinct()
+    whole.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{path}/urls")
+    listed = files.select((F.col("file") + 1).alias("k"), F.concat(F.lit(f"  <sitemap><loc>{base_url}/sitemap-"), F.col("file"), F.lit(".xml</loc></sitemap>")).alias("value"))
+    ends = nodes.sparkSession.createDataFrame([(0, SITEMAP_INDEX[0]), (1 << 62, SITEMAP_INDEX[1])], "k long, value string")
+    # A row per document.
+    listed.unionByName(ends).coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{path}/index")
+
+
 def is_active(current: Column, target: Column, ancestor_paths: Column) -> Column:
     """A menu entry is active if its path is a prefix of the current one or that of an ancestor."""
     prefix = (current == target) | F.startswith(current, F.concat(target, F.lit("/")))

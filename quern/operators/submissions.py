@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields
-from quern.sources.tables import kept, shared_path
+from quern.sources.tables import Database, kept, shared_path
 
 REPORT_KEYS = ("fullname", "mobile", "request_type", "message")
 MOBILE = r"^09[0-9]{9}$"
@@ -33,6 +33,15 @@ def pivot_latest(headers: DataFrame, values: DataFrame, take: int = 50, form: st
     return wide.select("id", "created_at", *[F.coalesce(k, F.lit("")).alias(k) for k in REPORT_KEYS[:3]], "message", (F.col("has_file") == 1).alias("has_file"))
 
 
+def pivot_latest_of(db: Database, headers: str, values: str, take: int = 50, form: str | None = None, key: str = "key") -> DataFrame:
+    """pivot_latest over tables of a database, which gives the newest headers and only the values of those; ``key`` names the values' key column."""
+    take = max(1, min(take, 100))
+    newest = db.newest(headers, ("id", "created_at", "form_name"), "id", take, {"form_name": form} if form else None).toDF("id", "created_at", "form_name")
+    ids = [r.id for r in newest.select("id").collect()]  # 100 at most
+    own = db.table(values).where(F.col("submission_id").isin(ids))
+    return pivot_latest(newest, own.select(F.col("submission_id"), F.col(key).alias("key"), "value"), take)
+
+
 def look_up(headers: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """id, value of one key; of several rows the smallest value."""
     named = values.where((F.col("key") == key) & F.col("value").isNotNull()).groupBy("submission_id").agg(F.min("value").alias("value"))

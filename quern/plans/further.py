@@ -222,6 +222,15 @@ def sitemap_lines(spark: SparkSession, d: str) -> DataFrame:
     return content.sitemap_xml(content.sitemap(catalogue._tree(spark, d)))
 
 
+@query
+def sitemap_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the tree, 5,000 entries each: entries and a digest of each file."""
+    path = shared_path(spark, "sitemap")
+    content.write_sitemap(catalogue._tree(spark, d), path, "https://x.example.com", 5000)
+    files = spark.read.text(f"{path}/urls", wholetext=True)
+    return files.select(F.col("file").cast("long").alias("file"), (F.size(F.split("value", "<url>")) - 1).alias("entries"), F.md5("value").alias("digest"))
+
+
 @query
 def category_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = parquet(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"))

@@ -77,6 +77,11 @@ SQL: dict[str, str] = {
       SELECT id, place, last FROM o JOIN ends USING (id)""",
     "ancestor_rows": f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS above, 0 AS distance FROM tree WHERE type = 'customer' UNION ALL SELECT u.id, t.parent_id, u.distance + 1 FROM up AS u JOIN tree AS t ON t.id = u.above WHERE t.parent_id IS NOT NULL) SELECT * FROM up",
     "sitemap_lines": f"WITH {_TREE} SELECT '<url><loc>' || replace(url, '&', '&amp;') || '</loc><lastmod>' || strftime(made, '%Y-%m-%d') || '</lastmod><priority>' || CASE level WHEN 1 THEN '1.0' WHEN 2 THEN '0.8' ELSE '0.6' END || '</priority></url>' AS value FROM tree WHERE has_template AND url <> '#'",
+    "sitemap_documents": f"""WITH RECURSIVE {_TREE}, {_WALK.replace("type, url", "type, url, level, has_template, made").replace("t.type, t.url", "t.type, t.url, t.level, t.has_template, t.made")},
+      p AS (SELECT *, row_number() OVER (ORDER BY level, sort_order, steps) - 1 AS place FROM walk WHERE has_template AND url <> '#'),
+      e AS (SELECT place, place // 5000 AS file, '  <url>' || chr(10) || '    <loc>https://x.example.com' || replace(url, '&', '&amp;') || '</loc>' || chr(10) || '    <lastmod>' || strftime(made, '%Y-%m-%d') || '</lastmod>' || chr(10)
+        || '    <changefreq>weekly</changefreq>' || chr(10) || '    <priority>' || CASE level WHEN 1 THEN '1.0' WHEN 2 THEN '0.8' ELSE '0.6' END || '</priority>' || chr(10) || '  </url>' AS entry FROM p)
+      SELECT file::BIGINT AS file, count(*)::INT AS entries, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg(entry, chr(10) ORDER BY place) || chr(10) || '</urlset>' || chr(10)) AS digest FROM e GROUP BY file""",
     "category_filter": "SELECT p_type AS category, count(*) AS n, 'all' AS selected FROM part GROUP BY p_type UNION ALL SELECT p_type, count(*), 'ECONOMY' FROM part WHERE p_type = 'ECONOMY' GROUP BY p_type",
     "portal_cards": """WITH v AS (SELECT n_nationkey AS pos, n_name, (row_number() OVER (ORDER BY n_nationkey))::INT AS k FROM nation WHERE n_nationkey % 3 <> 2)
       SELECT pos, CASE WHEN pos % 4 = 0 THEN 'Portal' ELSE n_name END AS title, 'Services' AS text, CASE WHEN pos % 2 = 0 THEN 'Go' ELSE 'View' END AS button, CASE WHEN pos % 5 = 0 THEN 'star' WHEN k <= 4 THEN (['user', 'box', 'chat', 'file'])[k] ELSE 'link' END AS icon FROM v""",

@@ -81,10 +81,46 @@ def json_items(spark: SparkSession, path: str, expected: int | None = None, mult
     return out
 
 
-def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A database table read in ranges of its key."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options)
-    return reader.load()
+#: The driver of the database that comes with Spark.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+class Database:
+    """Tables of a database, read where they lie: predicates and columns go to it, and so does the choice of the newest rows."""
+
+    def __init__(self, spark: SparkSession, url: str, driver: str, **options: str) -> None:
+        self.spark, self.options = spark, {"url": url, "driver": driver} | options
+
+    @staticmethod
+    def _name(name: str) -> str:
+        """A table's name, as the database folds it."""
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", name):
+            raise ValueError(f"no plain name: {name}")
+        return name
+
+    def _column(self, name: str) -> str:
+        """A column's name, as it is written."""
+        return f'"{self._name(name)}"'
+
+    def table(self, name: str) -> DataFrame:
+        """In one part, for what a predicate leaves little of."""
+        return self.spark.read.format("jdbc").options(dbtable=self._name(name), **self.options).load()
+
+    def in_ranges(self, name: str, key: str, parts: int) -> DataFrame:
+        """In so many ranges of a key, from its smallest to its largest value, read side by side."""
+        bounds = self.spark.read.format("jdbc").options(query=f"SELECT MIN({self._column(key)}) AS LOW, MAX({self._column(key)}) AS HIGH FROM {self._name(name)}", **self.options)
+        low, high = bounds.load().first()
+        if low is None or parts < 2:
+            return self.table(name)
+        ranges = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(int(high) + 1), "numPartitions": str(parts)}
+        return self.spark.read.format("jdbc").options(dbtable=name, **ranges, **self.options).load()
+
+    def newest(self, name: str, columns: tuple[str, ...], key: str, take: int, equal: dict[str, str] | None = None) -> DataFrame:
+        """The rows of the largest keys, chosen by the database."""
+        tests = [f"{self._column(c)} = '{v.replace(chr(39), chr(39) * 2)}'" for c, v in (equal or {}).items()]
+        where = f" WHERE {' AND '.join(tests)}" if tests else ""
+        chosen = f"SELECT {', '.join(map(self._column, columns))} FROM {self._name(name)}{where} ORDER BY {self._column(key)} DESC OFFSET 0 ROWS FETCH NEXT {int(take)} ROWS ONLY"
+        return self.spark.read.format("jdbc").options(dbtable=f"({chosen}) newest", **self.options).load()
 
 
 def knowledge_items(nodes: DataFrame, base: str = "knowledgeBase", item: str = "faqItem") -> DataFrame:

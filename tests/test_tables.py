@@ -108,7 +108,7 @@ def test_fields(spark):
 
 def nodes(spark):
     at = dt.datetime(2024, 1, 1)
-    rows = [("r", None, 1, 0, "home", "/"), ("a", "r", 2, 2, "news", "/a"), ("b", "r", 2, 1, "news", "/b"), ("c", "a", 3, 0, "notFound", "/404"), ("d", "a", 3, 1, "news", "#")]
+    rows = [("r", None, 1, 0, "home", "/"), ("a", "r", 2, 2, "news", "/a"), ("b", "r", 2, 1, "news", "/b"), ("c", "a", 3, 0, "page404", "/404"), ("d", "a", 3, 1, "news", "#")]
     return spark.createDataFrame([(i, p, lv, s, t, True, at + dt.timedelta(s), None, at, u) for i, p, lv, s, t, u in rows], "id string, parent_id string, level int, sort_order long, type string, has_template boolean, create_date timestamp, publish_date timestamp, update_date timestamp, url string")
 
 
@@ -128,6 +128,60 @@ def test_content(spark):
     assert value(spark, content.media_or(F.array(F.lit(" ")), ["f"])) == ["f"]
 
 
+def test_sitemap_documents(spark, tmp_path):
+    """Files parse, hold at most so many entries, and follow each other in order; ties stand in document order."""
+    import xml.etree.ElementTree as ET
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r1", None, 1, 2, "/r1"), ("r0", None, 1, 1, "/r0&")] + [(f"p{k:02d}", "r1" if k % 2 else "r0", 2, k // 4, f"/p{k}") for k in range(23)] + [("lost", "gone", 2, 0, "/lost"), ("bare", "r0", 2, 0, "#")]
+    tree = spark.createDataFrame([(i, p, lv, s, "page", True, at, at, at, u) for i, p, lv, s, u in rows], nodes(spark).schema).repartition(3)
+    content.write_sitemap(tree, f"file://{tmp_path}/map", "https://x.example.com", 6)
+    space = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+    found = []
+    for k in range(5):
+        (file,) = (tmp_path / f"map/urls/file={k}").glob("part-*")
+        urls = ET.fromstring(file.read_bytes()).findall(f"{space}url")
+        assert len(urls) == (6 if k < 4 else 1) and {u.find(f"{space}changefreq").text for u in urls} == {"weekly"}
+        found += [(u.find(f"{space}loc").text, u.find(f"{space}priority").text, u.find(f"{space}lastmod").text) for u in urls]
+    document = ["r0", *(f"p{k:02d}" for k in range(0, 23, 2)), "r1", *(f"p{k:02d}" for k in range(1, 23, 2))]
+    order = sorted((r for r in rows if r[0] in document), key=lambda r: (r[2], r[3], document.index(r[0])))
+    assert found == [("https://x.example.com" + u, "1.0" if lv == 1 else "0.8", "2024-01-01") for _, _, lv, _, u in order]
+    (index,) = (tmp_path / "map/index").glob("part-*")
+    assert [e[0].text for e in ET.fromstring(index.read_bytes())] == [f"https://x.example.com/sitemap-{k}.xml" for k in range(5)]
+    content.write_sitemap(tree.limit(0), f"file://{tmp_path}/none", "https://x.example.com")
+    (file,) = (tmp_path / "none/urls/file=0").glob("part-*")
+    assert not list(ET.fromstring(file.read_bytes()))
+
+
+@pytest.fixture
+def database(spark, tmp_path):
+    """Submissions in the database that comes with Spark, and the same as frames."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    headers = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), "job_interest_form" if k % 3 else "contact_form") for k in range(1, 400)], "id long, created_at timestamp, form_name string")
+    values = headers.select(F.col("id").alias("submission_id"), F.explode(F.create_map(F.lit("fullname"), F.concat(F.lit("n"), "id"), F.lit("mobile"), F.lit("09"), F.lit("resume_file"), F.when(F.col("id") % 5 == 0, "f")))).selectExpr("submission_id", "key as name", "value").where("value is not null")
+    for name, df in (("headers", headers), ("values_of", values)):
+        df.coalesce(2).write.option("createTableColumnTypes", ", ".join(f"{c} VARCHAR(60)" for c, t in df.dtypes if t == "string")).jdbc(url, name, properties={"driver": tables.DERBY})
+    return tables.Database(spark, url, tables.DERBY), headers, values.withColumnRenamed("name", "key")
+
+
+def test_reports_from_a_database(spark, database):
+    db, headers, values = database
+    for take, form in ((5, "job_interest_form"), (300, None), (0, "contact_form"), (50, "none")):
+        expected = submissions.pivot_latest(headers, values, take, form).orderBy("id").collect()
+        assert submissions.pivot_latest_of(db, "headers", "values_of", take, form, key="name").orderBy("id").collect() == expected
+    # In ranges of the key, with the predicate in the database and columns pruned.
+    ranges = db.in_ranges("headers", "id", 7).where("form_name = 'contact_form' and id > 100").select("id")
+    assert ranges.rdd.getNumPartitions() == 7 and sorted(r.id for r in ranges.collect()) == [k for k in range(101, 400) if k % 3 == 0]
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(form_name), *IsNotNull(id), *EqualTo(form_name,contact_form), *GreaterThan(id,100)]" in plan and "ReadSchema: struct<id:bigint>" in plan
+    newest = db.newest("headers", ("id", "created_at"), "id", 4, {"form_name": "contact_form"})
+    assert [r.id for r in newest.collect()] == [399, 396, 393, 390] and "FETCH NEXT 4 ROWS" in newest._jdf.queryExecution().executedPlan().toString()
+    assert db.newest("headers", ("id",), "id", 4, {"form_name": "x' or '1' = '1"}).count() == 0
+    with pytest.raises(ValueError, match="name"):
+        db.newest("headers; drop table headers", ("id",), "id", 1)
+    assert db.in_ranges("headers", "id", 3).where("id < 0").count() == 0
+
+
 def test_descendants_have_no_row_or_depth_limit(spark):
     links = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 21)] + [(f"x{k}", "n20") for k in range(50)]
     tree = spark.createDataFrame(links, "id string, parent_id string")
