@@ -87,10 +87,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage kept is removed when the next one has written its own."""
     scratch = Scratch(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.keep(docs)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
