@@ -180,11 +180,19 @@ def dice_top(questions: DataFrame, candidates: DataFrame, k: int | None) -> Data
     return top(best_phrasing(dice_scores(questions, candidates, lists, _all(k))), lists, k)
 
 
-def _matrix(vectors: pa.Array | list) -> np.ndarray:
+def flat_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of a matrix, without a copy of each; others raise."""
+    sizes = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) != 1:
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy().reshape(-1, int(sizes[0]))
+
+
+def unit_rows(vectors: pa.Array | list) -> np.ndarray:
     """Vectors at unit length as rows; ragged or zero ones raise."""
     if not len(vectors):
         return np.zeros((0, 0))
-    rows = np.array([np.asarray(v, np.float64) for v in (vectors.to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else vectors)])
+    rows = flat_rows(vectors) if isinstance(vectors, pa.Array) else np.array([np.asarray(v, np.float64) for v in vectors])
     size = np.sqrt((rows * rows).sum(1, keepdims=True))
     if (size == 0).any():
         raise ValueError("a vector is zero")
@@ -204,7 +212,7 @@ def cosine_scores(questions: DataFrame, candidates: DataFrame, keep: int | None
     size = blocks.ROW_BLOCK
 
     def scan(asked: list[Row]) -> tuple[DataFrame, Broadcast]:
-        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], _matrix([r[1] for r in asked])))
+        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], unit_rows([r[1] for r in asked])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
@@ -212,7 +220,7 @@ def cosine_scores(questions: DataFrame, candidates: DataFrame, keep: int | None
             for batch in batches:
                 for first in range(0, batch.num_rows if len(ids) else 0, size):
                     part = batch.slice(first, size)
-                    vectors = _matrix(part.column(2))
+                    vectors = unit_rows(part.column(2))
                     if vectors.shape[1] != matrix.shape[1]:
                         raise ValueError("vectors differ in length")
                     cosine = matrix @ vectors.T
@@ -244,12 +252,6 @@ def centroids(candidates: DataFrame) -> DataFrame:
     rows = candidates.select(F.col("item_id").cast("string").alias("item_id"), F.col("pos").cast("long").alias("pos"), scores.doubles(F.col("embedding")).alias("v"))
     names, kinds = ["item_id", "pos", "n", "v"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
 
-    def flat(column: pa.Array) -> np.ndarray:
-        sizes = np.unique(column.value_lengths().to_numpy())
-        if len(sizes) != 1:
-            raise ValueError("vectors of an item differ in length")
-        return column.flatten().to_numpy().reshape(-1, int(sizes[0]))
-
     def packed(held: dict) -> pa.RecordBatch:
         columns = [list(held), [p for p, _, _ in held.values()], [n for _, n, _ in held.values()], [v for _, _, v in held.values()]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -270,7 +272,7 @@ def centroids(candidates: DataFrame) -> DataFrame:
                 continue
             order = np.argsort(codes.indices.to_numpy(), kind="stable")
             starts = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(codes.dictionary)))
-            sums = np.add.reduceat(flat(batch.column(2))[order], starts)
+            sums = np.add.reduceat(flat_rows(batch.column(2))[order], starts)
             least = np.minimum.reduceat(batch.column(1).to_numpy()[order], starts).tolist()
             for item, pos, n, v in zip(codes.dictionary.to_pylist(), least, np.diff(np.append(starts, len(order))).tolist(), sums, strict=True):
                 add(held, item, pos, n, v)

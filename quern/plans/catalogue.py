@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fields, models, scores, text
-from quern.operators import content, corpus, decide, fusion, index_store, ranking, submissions
+from quern.operators import cells, content, corpus, decide, fusion, index_store, ranking, submissions
 from quern.sources.tables import parquet
 from quern.streaming import changes
 
@@ -120,6 +120,11 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return shown(ranking.semantic_top(vector_questions(spark, d), vector_candidates(spark, d), DEPTH))
 
 
+@query
+def pruned_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(cells.pruned_top(vector_questions(spark, d), vector_candidates(spark, d), DEPTH))
+
+
 @query
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     rows = ranking.centroids(vector_candidates(spark, d))

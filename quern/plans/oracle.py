@@ -184,6 +184,7 @@ SQL: dict[str, str] = {
     "bm25_topk_by_kind": f"WITH {CONV}, {BENCH}, k_c AS (SELECT * FROM conv_c WHERE kind = 'Answer'), {bm25('k_c', 'bench_q', 'x')}, {ranked('xs', 'k_c', 'x', 5)} " + TOP.format("xr"),
     "dice_similarity": f"WITH {CONV}, {BENCH}, {dice('conv_c', 'bench_q', 'x')}, {ranked('xs', 'conv_c', 'x', 5)} " + TOP.format("xr"),
     "weighted_lexical_topk": f"WITH {CONV}, {BENCH}, {weighted('conv_c', 'bench_q', 'x')}, {ranked('xs', 'conv_c', 'x', 5)} " + TOP.format("xr"),
+    "pruned_cosine_topk": f"WITH {VEC}, {cosine('vec_c', 'vec_q', 'x')}, {ranked('xs', 'vec_c', 'x', 5)} " + TOP.format("xr"),
     "cosine_topk": f"WITH {VEC}, {cosine('vec_c', 'vec_q', 'x')}, {ranked('xs', 'vec_c', 'x', 5)} " + TOP.format("xr"),
     "centroids": f"WITH {VEC}, {centroid('vec_c', 'x')} SELECT item_id, i::INT AS i, round(x, 6) AS x FROM xu",
     "centroid_topk": f"WITH {VEC}, {centroid('vec_c', 'x')}, {cosine('xc', 'vec_q', 'x')}, {ranked('xs', 'vec_c', 'x', 5)} " + TOP.format("xr"),

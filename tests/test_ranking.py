@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scores
-from quern.operators import blocks, corpus, ranking
+from quern.operators import blocks, cells, corpus, ranking
 from quern.plans import catalogue
 
 SCHEMA = "item_id string, pos long, text string, answer string, kind string, embedding array<float>"
@@ -168,6 +168,26 @@ def test_bm25_blocks_that_cannot_reach_the_threshold_are_left_out():
     assert not limits.survivors(np.array([[4.0, 3.0]]), np.array([0, 1]), np.array([0])).any()
 
 
+@pytest.mark.parametrize("spread", [0.03, 0.3, 10.0])
+def test_cells_leave_out_what_cannot_be_nearer(spark, spread):
+    """Clusters, loose ones and none: the tops equal those of all vectors; of tight clusters little is read."""
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(30, 12))
+    vectors = middle[rng.integers(0, 30, 3000)] + spread * rng.normal(size=(3000, 12))
+    vectors[2900:] = vectors[:100]  # ties
+    some = spark.createDataFrame([(f"i{k % 211}", k, v.tolist()) for k, v in enumerate(vectors)], "item_id string, pos long, embedding array<double>").repartition(3)
+    asks = spark.createDataFrame([(k, "q", v.tolist()) for k, v in enumerate(vectors[::97] + 0.01)], "question_id long, question string, embedding array<double>")
+    built, read = cells.build_cells(some, 40, 500), []
+    assert built.sizes.sum() == 3000
+    key = lambda df: sorted((r.question_id, r.rank, r.item_id, r.pos, round(r.score, 9)) for r in df.collect())
+    for k in (1, 5, 400):
+        found = ranking.top(ranking.best_phrasing(cells.pruned_scores(asks, built, k, read=read)), built.vectors, k)
+        assert key(found) == key(ranking.semantic_top(asks, some, k))
+    share = read[1][0] / read[1][1]
+    assert share < 0.25 if spread < 0.1 else share <= 1
+    assert cells.pruned_top(asks, some.limit(0), 3).count() == 0 and cells.pruned_top(asks.limit(0), some, 3, built).count() == 0 and cells.pruned_top(asks, some, 0, built).count() == 0
+
+
 def test_centroids_of_many_batches(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(2500, 6))
