@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keep_rows, map_batches, slabs, with_text
+from quern.llm.common import Scratch, keep_rows, map_batches, slabs, with_text
 
 WIDTH = 4
 BLOCK = 256  #: stride; a chunk is two blocks
@@ -186,8 +186,9 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, sample_rows: int, sampl
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    # At most sample_rows rows are broadcast and collected; of their texts first the lengths alone.
-    rows = with_text(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    # At most sample_rows rows are broadcast. The texts are read once, into a table of that many rows; of these first the lengths are looked at.
+    scratch = Scratch(docs.sparkSession, "labels")
+    rows = scratch.keep(with_text(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")))
     mark = F.xxhash64("text")
     sized = rows.select(F.xxhash64("doc_id").alias("place"), "doc_id", "label", F.octet_length("text").alias("n"), mark.alias("mark")).collect()
     fits, left = set(), sample_bytes
@@ -196,9 +197,11 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, sample_rows: int, sampl
             fits.add((doc, own, m))
             left -= n
     if not fits:
+        scratch.drop(rows)
         return []
     wanted = docs.sparkSession.createDataFrame(sorted(fits), "doc_id long, label int, mark long")
     found = rows.withColumn("mark", mark).join(F.broadcast(wanted), ["doc_id", "label", "mark"]).select("doc_id", "label", "text").distinct().collect()
+    scratch.drop(rows)
     found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1], r[2]))
     return [(r[1], r[2]) for r in found]
 
