@@ -215,7 +215,7 @@ def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "tu
     messages = scratch.keep(messages_of(rows, conversation, turn, role, text))
     lines = scratch.keep(quoted_lines(messages))
     quotes = scratch.keep(quotes_of(lines))
-    texts = scratch.keep(own_texts(messages, lines))
+    texts = own_texts(messages, lines)  # read from kept tables each time rather than kept once more
     links = scratch.keep(link_quotes(scratch, quotes, said_by(texts).unionByName(runs_said(scratch, texts, quotes))))
     cited = F.when(F.col("cites_turn").isNotNull(), F.struct("depth", "place", "cites_conv", "cites_turn"))
     inner = F.when(F.col("cites_conv") == F.col("conv_id"), F.struct("depth", "place", "cites_turn"))
