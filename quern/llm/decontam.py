@@ -27,10 +27,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, slabs, with_text
+from quern.llm.common import Scratch, map_batches, slabs, with_text
 from quern.llm.wordhash import ALNUM, LOWER, mix, spans, windows, word_hashes
 
 SHINGLE = 5
@@ -193,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
     items = with_text(benchmark, item_key, item_text).where("doc_id is not null and text is not null")
     context = docs.sparkSession.sparkContext
 
-    def scan(block: DataFrame) -> DataFrame:
+    def scan(block: DataFrame) -> tuple[DataFrame, Broadcast]:
         # At most block_bytes of text: the check above this call.
         sent = context.broadcast(Index.build(sorted((r[0], r[1]) for r in block.collect())))
 
@@ -205,6 +206,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, bl
             names = [part.split()[0] for part in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-        return map_batches(rows, run, SCHEMA)
-
-    return reduce(DataFrame.unionByName, map(scan, _blocks_of_items(items, block_bytes)))
+        return map_batches(rows, run, SCHEMA), sent
+
+    parts = _blocks_of_items(items, block_bytes)
+    if len(parts) == 1:
+        return scan(parts[0])[0]
+    # One block of items is held at a time; what it finds is kept before the next is read.
+    scratch, done = Scratch(docs.sparkSession, "leaks"), []
+    for block in parts:
+        found, sent = scan(block)
+        done.append(scratch.keep(found))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, done)
