@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,8 +111,8 @@ class SubmissionStore:
         final, files = self._files(f"batch={batch_id}")
         if files.exists(final):
             return False
-        staged, _ = self._files(f"_staged-{batch_id}")
-        files.delete(staged, True)  # what a failed try left
+        # A folder of one's own, so that two writers of a batch don't get in each other's way; a failed try leaves one that nobody reads.
+        staged, _ = self._files(f"_staged-{batch_id}-{uuid.uuid4().hex}")
         headers.write.parquet(f"{staged}/headers")
         values.write.parquet(f"{staged}/values")
         if not files.rename(staged, final):

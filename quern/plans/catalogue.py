@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fields, models, scores, text
-from quern.operators import cells, content, corpus, decide, fusion, index_store, ranking, submissions
+from quern.operators import cells, content, corpus, decide, fusion, index_store, metrics, ranking, submissions
 from quern.sources.tables import parquet
 from quern.streaming import changes
 
@@ -347,8 +347,7 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
     """Calls per type: count, sum, largest, first value, mean, and mean of all but the first."""
     rows = parquet(spark, d, "events")
-    first = F.min_by("value", F.struct("ts", "event_id"))
-    wide = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"), first.alias("first_value"))
+    wide = metrics.totals(rows, "event_type", "value", "ts", "event_id")
     rest = scores.guarded_mean(F.col("total") - F.col("first_value"), F.col("n") - 1)
     return shown(wide.select("*", scores.guarded_mean(F.col("total"), F.col("n")).alias("mean"), rest.alias("later_mean")))
 
@@ -402,11 +401,13 @@ def parent_urls(spark: SparkSession, d: str) -> DataFrame:
 def ancestor_paths(spark: SparkSession, d: str) -> DataFrame:
     """Whether the path of each nation's region is active for its customers."""
     nodes = _tree(spark, d)
-    up = nodes.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("top_id"), fields.url_path(F.col("url")).alias("parent_path"))
-    top = nodes.select(F.col("id").alias("top_id"), fields.url_path(F.col("url")).alias("top_path"))
-    rows = nodes.where("level = 3").join(up, "parent_id").join(top, "top_id")
+    paths = nodes.select(F.col("id").alias("above"), fields.url_path(F.col("url")).alias("own_path"))
+    up = content.ancestors_or_self(nodes, nodes.where("level = 3")).where("distance > 0").join(paths, "above")
+    # As many paths as there are levels.
+    above = up.groupBy("id").agg(F.max_by("own_path", "distance").alias("top_path"), F.collect_list("own_path").alias("paths"))
+    rows = nodes.where("level = 3").join(above, "id")
     current = fields.url_path(F.concat(F.lit("https://shop.example.com"), F.col("url"), F.lit("?a=1#b")))
-    return rows.select("id", current.alias("path"), content.is_active(current, F.col("top_path"), F.array("top_path", "parent_path")).alias("active"))
+    return rows.select("id", current.alias("path"), content.is_active(current, F.col("top_path"), F.col("paths")).alias("active"))
 
 
 @query
