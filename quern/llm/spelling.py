@@ -16,7 +16,7 @@ grow by that factor along forms, so chains are short; roots are found by doublin
 
 Defined results: a null text, or one without words, gives no word; rows with a null key and
 repeated rows count like all others (with noise, a null key is written as nothing); words shorter than
-``min_length`` code points are left out; a word of any length is taken whole; equal counts go to the
+``min_length`` code points are left out; counted words of fewer than four, of which one edit may leave no bigram, are near none; a word of any length is taken whole; equal counts go to the
 smaller word in code-point order; an empty table gives no words; other columns are not read.
 """
 
@@ -31,6 +31,8 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = r"A-Za-zÀ-ÿ"
 #: Bigrams that a word is found by: two more than one edit can destroy, less one.
 RAREST = 3
+#: Code points of words that have as many bigrams.
+LEAST = RAREST + 1
 
 
 def word_counts(docs: DataFrame, min_length: int = 6, min_count: int = 5, noise: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,7 +54,7 @@ def word_counts(docs: DataFrame, min_length: int = 6, min_count: int = 5, noise:
 def rarest_bigrams(counts: DataFrame) -> DataFrame:
     """word, n and pos (from 0) of each word's rarest bigrams; equally frequent ones by bigram and place."""
     each = F.transform(F.sequence(F.lit(0), F.length("word") - 2), lambda i: F.struct(F.substring("word", i + 1, F.lit(2)).alias("gram"), i.alias("pos")))
-    grams = counts.where(F.length("word") > 1).select("word", "n", F.explode(each).alias("g")).select("word", "n", "g.gram", "g.pos")
+    grams = counts.where(F.length("word") >= LEAST).select("word", "n", F.explode(each).alias("g")).select("word", "n", "g.gram", "g.pos")
     # Two letters of 90: at most 8,100 rows.
     often = F.broadcast(grams.groupBy("gram").agg(F.count("*").alias("often")))
     found = grams.join(often, "gram").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "pos"))).alias("all"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -208,6 +209,11 @@ def test_spelling_variants_equal_all_pairs(spark):
     counts = spark.createDataFrame([(w, n, "own") for w, n in words.items()], "word string, n long, spot string").repartition(3)
     found = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.spelling_variants(counts).collect()}
     assert found == cases.spelling(words)
+    # All words of four to six of two letters; shorter ones are near none.
+    every = {"".join(w): 5 + zlib.crc32("".join(w).encode()) % 997 for n in (3, 4, 5, 6) for w in itertools.product("ab", repeat=n)}
+    table = spark.createDataFrame(list(every.items()), "word string, n long")
+    short = {w: (None, w, n, 0, None) for w, n in every.items() if len(w) < 4}
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.spelling_variants(table).collect()} == cases.spelling({w: n for w, n in every.items() if len(w) > 3}) | short
     assert found["aaaaaa"][1] == "aaaaaaaaaa" and found["abcdef"][0] == "abcdeg" and found["x" * 3000][0] == "x" * 2999 + "y"
 
 
