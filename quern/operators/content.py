@@ -93,12 +93,22 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
 def document_order(nodes: DataFrame) -> DataFrame:
     """nodes below or at a root with path, ``place`` (from 0, in document order) and ``last``, the place of the last page below or at it.
 
-    What is below a page has the places after its own up to ``last``; the next page behind all that has ``last`` + 1.
+    What is below a page has the places after its own up to ``last``; the next page behind all that has ``last`` + 1. Places come from
+    one sort over ranges of the pages' paths and of the ends of what is below them, whatever the depth of the tree.
     """
-    placed = submissions.with_ids(tree_paths(nodes), -1, "path", name="place")
-    up = ancestors_or_self(placed, placed.select("id"))
-    below = up.groupBy("above").agg(F.count("*").alias("quern_size")).withColumnRenamed("above", "id")
-    return placed.join(below, "id").withColumn("last", F.col("place") + F.col("quern_size") - 1).drop("quern_size")
+    spark = nodes.sparkSession
+    pages = tree_paths(nodes)
+    marks = F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(1).alias("page")), F.struct(F.concat("path", F.lit(PAST)).alias("at"), F.lit(0).alias("page")))).alias("m")
+    ordered = pages.select("id", marks).select("id", "m.at", "m.page").repartitionByRange("at").sortWithinPartitions("at")
+    ordered = kept(ordered.withColumn("seq", F.monotonically_increasing_id()).withColumn("part", F.shiftright("seq", 33)), shared_path(spark, "order"))
+    # A row per part, and then the rows of a part in one task, as the sort had them.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("part").agg(F.sum("page").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = ordered.withColumn("own", F.sum("page").over(inside)).join(F.broadcast(starts), "part").withColumn("count", F.col("before") + F.col("own") - 1)
+    is_page = F.col("page") == 1
+    places = counted.groupBy("id").agg(F.max(F.when(is_page, F.col("count"))).alias("place"), F.max(F.when(~is_page, F.col("count"))).alias("last"))
+    return pages.join(places, "id")
 
 
 def below_path(path: str) -> Column:
