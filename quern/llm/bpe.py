@@ -72,6 +72,7 @@ class MergeReplay:
                     self.pairs[left * self.size + right] = rank
         at = self.single
         self.byte_pairs = np.array([[self.pairs.get(x * self.size + y, -1) for y in at] for x in at], np.int64)
+        self.memory = MEMORY_PIECES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -152,7 +153,7 @@ class MergeReplay:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        if len(self.young) > MEMORY_PIECES:
+        if len(self.young) > self.memory:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         fresh: list[str] = []
@@ -216,12 +217,13 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return map_batches(with_text(docs, key, text), run, "doc_id long, ids binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As encode and then decode, in one pass over a worker."""
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", memory_pieces: int = MEMORY_PIECES) -> DataFrame:
+    """As encode and then decode, in one pass over a worker, which keeps twice so many pieces at most."""
     sent = _vocabulary(docs, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = _coder(sent.value, pattern)
+        coder.memory = memory_pieces
         ids = _encoded(coder, batch.column(1))
         back = [coder.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
