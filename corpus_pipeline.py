@@ -19,6 +19,8 @@ from quern.llm.pii import pseudonymise, session_key
 
 #: Near duplicates on word shingles: five words, similarity 0.8.
 NEAR = Threshold(size=5, percent=80)
+#: Pieces that a worker of the last stage keeps in memory, beside what it holds of the stages before.
+MEMORY_PIECES = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row, also repeated ones and those with a null doc_id, its ids by byte-level BPE and the digests of ids and of the bytes they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.round_trip(docs, path, pattern)
+    decoded = bpe.round_trip(docs, path, pattern, memory_pieces=MEMORY_PIECES)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
