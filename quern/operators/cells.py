@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,8 +117,8 @@ def pruned_scores(questions: DataFrame, cells: Cells, k: int, nearest: int = NEA
     asks = questions.select("question_id", scores.doubles(F.col("embedding")).alias("q"))
     context = questions.sparkSession.sparkContext
 
-    def scan(asked: list[Row]) -> tuple[DataFrame, Broadcast]:
-        ids, matrix = [r[0] for r in asked], ranking.unit_rows([r[1] for r in asked])
+    def scan(asked: pa.Table) -> tuple[DataFrame, Broadcast]:
+        ids, matrix = asked.column(0).to_pylist(), ranking.unit_rows(asked.column(1).combine_chunks())
         if not len(ids) or not len(cells.centres):
             sent = context.broadcast(None)
             return questions.sparkSession.createDataFrame([], schema), sent

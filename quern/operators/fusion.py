@@ -15,16 +15,22 @@ LEAST_DEPTH = 10
 
 
 def rankings(questions: DataFrame, candidates: DataFrame, k: int, kind: str | None = None) -> dict[str, DataFrame]:
-    asks = ranking.asked(questions)
+    asks, vectors = _read_once(questions, candidates, kind)
     lists = corpus.kept_once(corpus.word_lists(corpus.of_kind(candidates, kind)), "words")
     return {
-        "semantic": ranking.semantic_top(asks, candidates, k, kind),
-        "centroid": ranking.centroid_top(asks, candidates, k, kind),
-        "lexical": ranking.weighted_lexical_top(asks, candidates, k, kind, lists),
-        "bm25": ranking.bm25_top(asks, candidates, k, kind, lists),
+        "semantic": ranking.semantic_top(asks, vectors, k),
+        "centroid": ranking.centroid_top(asks, vectors, k),
+        "lexical": ranking.weighted_lexical_top(asks, vectors, k, lists=lists),
+        "bm25": ranking.bm25_top(asks, vectors, k, lists=lists),
     }
 
 
+def _read_once(questions: DataFrame, candidates: DataFrame, kind: str | None) -> tuple[DataFrame, DataFrame]:
+    """The questions that are not blank and the vectors of the candidates of a kind, kept, as several rankings read them."""
+    asks = corpus.kept_once(ranking.asked(questions).select("question_id", "question", "embedding"), "asked")
+    return asks, corpus.kept_once(corpus.of_kind(candidates, kind).select("item_id", "pos", "embedding"), "vectors")
+
+
 def fuse(ranked: dict[str, DataFrame]) -> DataFrame:
     """All items of any ranking with their ranks and scores, and place in fused order.
 
@@ -47,9 +53,9 @@ def evidence(questions: DataFrame, candidates: DataFrame, limit: int = 4, kind:
 
 def rerank(questions: DataFrame, candidates: DataFrame, kind: str | None = None) -> DataFrame:
     """The semantic or the centroid winner, by agreement or the larger margin; a margin without runner-up is 1."""
-    asks = ranking.asked(questions)
-    near = ranking.with_runner_up(ranking.semantic_top(asks, candidates, 2, kind), F.lit(1.0))
-    mean = ranking.with_runner_up(ranking.centroid_top(asks, candidates, 2, kind), F.lit(1.0))
+    asks, vectors = _read_once(questions, candidates, kind)
+    near = ranking.with_runner_up(ranking.semantic_top(asks, vectors, 2), F.lit(1.0))
+    mean = ranking.with_runner_up(ranking.centroid_top(asks, vectors, 2), F.lit(1.0))
     named = lambda df, tag: df.select("question_id", *[F.col(c).alias(f"{tag}_{c}") for c in ("item_id", "score", "margin")])
     both = named(near, "semantic").join(named(mean, "centroid"), "question_id")
     agree = F.col("semantic_item_id") == F.col("centroid_item_id")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,113 @@ def test_expanded_messages_are_never_gathered(spark, tmp_path, monkeypatch):
     done = catalogue.candidate_expansion(spark, str(tmp_path))
     found = {(r.item_id, r.place): r.text for r in done.collect()}
     assert found == {("7", k): f"m{k}" for k in range(900)} | {("8", 0): "a", ("8", 1): "b", (None, 0): "x", (None, 1): "y"} and done.count() == 904
+
+
+class Caught:
+    """Stands for a DataFrame and for a broadcast: catches the function over batches."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def matched(asked, batches, parts=ranking._weight_of_term, **named):
+    """The rows that a task gives for batches of phrasings."""
+    lists, sent = Caught(), Caught()
+    sent.value = asked
+    blocks.match_terms(lists, sent, None, named.pop("keep", None), parts, **named)
+    return [r for b in lists.run(iter(batches)) for r in b.to_pylist()]
+
+
+def words_asked(words, weights=None, unseen=1.0):
+    return blocks.Asked(pa.chunked_array([pa.array(range(len(words)))]), pa.chunked_array([pa.array(words)]), weights, unseen)
+
+
+def phrasings(words, items=7):
+    return pa.RecordBatch.from_arrays([pa.array([f"i{k % items}" for k in range(len(words))]), pa.array(range(len(words))), pa.array(words)], ["item_id", "pos", "terms"])
+
+
+def test_words_that_all_questions_have_take_no_memory_by_match():
+    """400 words of 500 phrasings and 1,500 questions are 300 million matches; none of them gets a place in memory."""
+    words = [f"w{k}" for k in range(400)]
+    asked, batch = words_asked([words] * 1500), phrasings([words] * 500)
+    tracemalloc.start()
+    found = matched(asked, [batch], keep=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= 1500 and {r["score"] for r in found} == {400.0}
+    assert most < 300e6
+
+
+@pytest.mark.parametrize(("dense", "common", "fan"), [(2048, 32, 1 << 21), (5, 10**9, 1), (0, 32, 17), (3, 2, 100)])
+def test_common_and_rare_words_add_up(dense, common, fan, monkeypatch):
+    for name, value in (("DENSE", dense), ("COMMON", common), ("FAN", fan), ("ROW_BLOCK", 7)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(dense)
+    some = lambda n: [[f"w{min(int(rng.expovariate(0.1)), 59)}" for _ in range(rng.randrange(0, 12))] for _ in range(n)]
+    asks, said = [sorted(set(x)) for x in some(30)], some(40)
+    weights = pa.table({"term": [f"w{k}" for k in range(50)], "idf": [1.0 + k / 7 for k in range(50)]})
+    weight = {f"w{k}": 1.0 + k / 7 if k < 50 else 0.5 for k in range(60)}
+    found = matched(words_asked(asks, weights, 0.5), [phrasings(said)], parts=lambda asked, block, doc, term, times: asked.weight[term] * times)
+    sums = {(q, d): sum(weight[t] for t in t2 if t in t1) for q, t1 in enumerate(asks) for d, t2 in enumerate(said)}
+    assert {(r["question_id"], r["pos"]): round(r["score"], 9) for r in found} == {k: round(v, 9) for k, v in sums.items() if v > 0}
+
+
+def test_an_item_that_was_better_before_keeps_later_blocks_in(monkeypatch):
+    """With as many items as are wanted no item is behind, yet few phrasings of the later blocks leave a task."""
+    rng = random.Random(3)
+    said = [rng.sample([f"w{k}" for k in range(40)], 12) for _ in range(3000)]
+    asked, batch = words_asked([rng.sample([f"w{k}" for k in range(40)], 20) for _ in range(20)]), phrasings(said)
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 20)
+    best = lambda rows: {k: max(r["score"] for r in rows if (r["question_id"], r["item_id"]) == k) for k in {(r["question_id"], r["item_id"]) for r in rows}}
+    found, whole = matched(asked, [batch], keep=10), matched(asked, [batch])
+    assert best(found) == best(whole) and len(best(found)) == 140
+    assert len(found) * 3 < 150 * 140
+    monkeypatch.setattr(blocks, "HELD", 0)
+    assert best(matched(asked, [batch], keep=10)) == best(whole)
+
+
+def test_questions_are_made_once_for_all_blocks(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    some = spark.createDataFrame([("a", 0, "x y", [1.0, 0.0]), ("b", 1, "y z", [0.5, 1.0])], "item_id string, pos long, text string, embedding array<double>")
+    asks = spark.createDataFrame([(k, "x z", [1.0, float(k)]) for k in range(9)], "question_id long, question string, embedding array<double>")
+    monkeypatch.setattr(blocks, "QUESTION_BLOCK", 2)
+    assert ranking.semantic_top(asks.mapInArrow(count, asks.schema), some, 1).count() == 9
+    assert made.value == 9
+
+
+def test_blends_are_whole_where_a_phrasing_lies(spark, monkeypatch):
+    """Both blends equal those of all pairs over several blocks, and no row is written for a pair that can't be among the best two."""
+    some, _ = corpus_of_words(spark, 300)
+    rng = np.random.default_rng(5)
+    vector = {r.pos: rng.normal(size=4).tolist() for r in some.collect()}
+    rows_of = [(r.item_id, r.pos, r.text, vector[r.pos]) for r in some.orderBy("pos").collect()]
+    some = spark.createDataFrame(rows_of, "item_id string, pos long, text string, embedding array<double>")
+    asks = spark.createDataFrame([(p, t, v) for _, p, t, v in rows_of[::40]] + [(999, " ", [1.0, 0.0, 0.0, 0.0])], "question_id long, question string, embedding array<double>")
+    grams = {r.pos: set(r.grams) for r in corpus.gram_lists(some).collect()}
+    idf = {r.gram: r.idf for r in corpus.gram_idf(some).collect()}
+    unit = {p: np.array(v) / np.linalg.norm(v) for p, v in vector.items()}
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 50)
+    monkeypatch.setattr(blocks, "QUESTION_BLOCK", 5)
+    for weight, blend in ((dict.fromkeys(idf, 1.0), ranking.hybrid_best), (idf, ranking.weighted_hybrid_best)):
+        found = {r.question_id: (r.item_id, r.pos, round(r.score, 9), r.second_item_id, round(r.second_score, 9)) for r in blend(asks, some).collect()}
+        for q in [p for _, p, _, _ in rows_of[::40]]:
+            best = {}
+            for item, p, _, _ in rows_of:
+                size = lambda s: sum(weight[g] for g in s)
+                s = round(0.85 * float(unit[q] @ unit[p]) + 0.15 * 2 * size(grams[q] & grams[p]) / (size(grams[q]) + size(grams[p])), 9)
+                if item not in best or s > best[item][0]:
+                    best[item] = (s, p)
+            first = {item: min(p for i, p, _, _ in rows_of if i == item) for item in best}
+            a, b = sorted(best, key=lambda i: (-best[i][0], first[i]))[:2]
+            assert (found[q][0], found[q][1], found[q][3]) == (a, best[a][1], b)
+            assert abs(found[q][2] - best[a][0]) < 1e-8 and abs(found[q][4] - best[b][0]) < 1e-8
+        assert len(found) == len(rows_of[::40])
+    lists = ranking._gram_vectors(some).withColumn("own", F.size("grams").cast("double"))
+    assert ranking._blended(asks, lists, None, 1.0).count() * 5 < len(rows_of) * len(found)
