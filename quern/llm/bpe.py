@@ -5,7 +5,8 @@ all of them together: an inverted index from merge rank (that is, from the token
 to the places of the pair is worked off in rank order, and each merge changes only the pairs of its
 two neighbours. Pieces met before come from a bounded memory of their ids, so that what a worker
 holds does not grow with the corpus. The ids are those of greedy lowest-rank merging of each piece
-by itself, because pieces never touch.
+by itself, because pieces never touch, and so it may be done in parts: a replay takes pieces of REPLAY_BYTES at a time, in arrays
+of numbers, and what is kept of pieces goes at the end of a task, as a worker lives on beside those of other stages.
 
 Defined results: a null or empty text has no ids; decoding no ids gives no bytes; ids outside the
 vocabulary raise; texts are encoded whole at any length; rows are handled one by one (ties,
@@ -17,7 +18,9 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -33,7 +36,9 @@ MEMORY_PIECES = 200_000
 LATE_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 LATE_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
 #: Characters of text whose pieces are gathered before a replay.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 19
+#: Bytes of new pieces that are replayed at once; one longer piece is replayed by itself.
+REPLAY_BYTES = 1 << 18
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -86,9 +91,10 @@ class MergeReplay:
         n, size, pair = len(data), self.size, self.pairs.get
         last = np.zeros(n, bool)
         last[bounds[1:] - 1] = True
-        ids = np.array(self.single)[data].tolist()
-        after = np.where(last, -1, np.arange(1, n + 1)).tolist()
-        before = np.where(np.append(True, last[:-1])[:n], -1, np.arange(-1, n - 1)).tolist()
+        # Four bytes a number, as lists of numbers take forty.
+        ids = array("i", np.array(self.single, np.int32)[data].tobytes())
+        after = array("i", np.where(last, -1, np.arange(1, n + 1)).astype(np.int32).tobytes())
+        before = array("i", np.where(np.append(True, last[:-1])[:n], -1, np.arange(-1, n - 1)).astype(np.int32).tobytes())
         # The inverted index: rank to the places of its pairs, built at once for the pairs of bytes.
         first = np.append(np.where(last[:-1], -1, self.byte_pairs[data[:-1], data[1:]]), -1)[:n]
         hits = np.flatnonzero(first >= 0)
@@ -96,15 +102,15 @@ class MergeReplay:
         todo, starts = np.unique(first[hits], return_index=True)
         parts = np.split(hits, starts[1:]) if len(hits) else []
         todo = todo.tolist()  # ascending, and so a heap
-        places = {r: part.tolist() for r, part in zip(todo, parts, strict=True)}
-        ends = bounds.tolist()
+        places = {r: array("i", part.astype(np.int32).tobytes()) for r, part in zip(todo, parts, strict=True)}
+        ends = array("i", bounds.astype(np.int32).tobytes())
         while todo:
             r = heappop(todo)
             spots = places.pop(r)
             if len(spots) > 1:
-                spots.sort()
+                spots = sorted(spots)
             held: set[int] = set()  # pieces in which this merge made a pair of a lower rank, which goes first
-            again: list[int] = []
+            again = array("i")
             for i in spots:
                 j = after[i]
                 if j < 0 or ids[i] < 0 or pair(ids[i] * size + ids[j]) != r:
@@ -123,7 +129,7 @@ class MergeReplay:
                         if new in places:
                             places[new].append(i)
                         else:
-                            places[new] = [i]
+                            places[new] = array("i", (i,))
                             heappush(todo, new)
                         if new < r:
                             held.add(bisect_right(ends, i))
@@ -134,7 +140,7 @@ class MergeReplay:
                         if new in places:
                             places[new].append(h)
                         else:
-                            places[new] = [h]
+                            places[new] = array("i", (h,))
                             heappush(todo, new)
                         if new < r:
                             held.add(bisect_right(ends, i))
@@ -144,7 +150,7 @@ class MergeReplay:
                 else:
                     places[r] = again
                     heappush(todo, r)
-        left = np.array(ids, np.int64)
+        left = np.frombuffer(ids, np.int32)
         alive = left >= 0
         cuts = np.append(0, np.cumsum(alive))[bounds].tolist()
         packed = left[alive].astype("<u4").tobytes()
@@ -166,14 +172,32 @@ class MergeReplay:
                     continue
                 kept = whole.to_bytes(4, "little")
             young[piece] = kept
-        for piece, ids in zip(fresh, self.replay([p.encode() for p in fresh]), strict=True):
-            young[piece] = ids
+        for part in _parts(fresh):
+            young.update(zip(part, self.replay([p.encode() for p in part]), strict=True))
         return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
 
+    def forget(self) -> None:
+        """Give up the pieces met before."""
+        self.young, self.old = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _parts(pieces: list[str]) -> Iterator[list[str]]:
+    """The pieces in runs of about REPLAY_BYTES."""
+    part, size = [], 0
+    for piece in pieces:
+        length = len(piece) if piece.isascii() else len(piece.encode())
+        if part and size + length > REPLAY_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(piece)
+        size += length
+    if part:
+        yield part
+
+
 _LOADED: dict[int, MergeReplay] = {}
 
 
@@ -218,7 +242,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", memory_pieces: int = MEMORY_PIECES) -> DataFrame:
-    """As encode and then decode, in one pass over a worker, which keeps twice so many pieces at most."""
+    """As encode and then decode, in one pass over a worker, which keeps twice so many pieces at most, and none behind its task."""
     sent = _vocabulary(docs, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,7 +252,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         back = [coder.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return map_batches(with_text(docs, key, text), run, "doc_id long, ids binary, decoded binary")
+    return map_batches(with_text(docs, key, text), run, "doc_id long, ids binary, decoded binary", lambda: _coder(sent.value, pattern).forget())
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

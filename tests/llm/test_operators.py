@@ -6,18 +6,21 @@ import hashlib
 import datetime as dt
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import bpe, chat, cnn, components, decontam, jaccard, licenses, pii, quality, queries, repeats, simple8b
+from quern.llm import bpe, chat, cnn, common, components, decontam, jaccard, licenses, pii, quality, queries, repeats, simple8b
 from quern.llm.common import Scratch, prefiltered, without_ids
 from tests.llm import cases
 
@@ -719,3 +722,24 @@ def test_bit_filter_loses_nothing(spark, docs):
     left = without_ids(docs, wanted)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in ROWS if i % 3}
     assert {r.quern_word for r in left.collect()} == {"own"}
+
+
+def test_bpe_replays_new_pieces_in_parts(monkeypatch):
+    """Half a megabyte of pieces never met before: a replay holds a part of them, the ids are the same, and nothing is kept behind a task."""
+    coder = bpe.MergeReplay(bpe.load_ranks(open(BPE, "rb").read()), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(20_000)]
+    tracemalloc.start()
+    whole = coder.encode([" ".join(words)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+    coder.forget()
+    assert not coder.young and not coder.old
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 100)
+    assert coder.encode([" ".join(words[:2000] + ["é" * 300])])[0][:4000] == whole[0][:4000]
+    batches, calls = [], []
+    task = common.map_batches(SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "10")), mapInArrow=lambda run, _: run), lambda b: b, "", lambda: calls.append(len(batches)))
+    for batch in task(iter([pa.record_batch({"x": [1]}), pa.record_batch({"x": [2]})])):
+        batches.append(batch)
+    assert calls == [2]
