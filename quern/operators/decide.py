@@ -58,21 +58,23 @@ def intent_gap(found: DataFrame, questions: DataFrame) -> DataFrame:
     return joined.select("question_id", F.coalesce("n_intents", F.lit(0)).alias("n_intents"), first.alias("max_support"), second.alias("second_support"), (first - second).alias("gap"))
 
 
-def discriminative_terms(questions: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+def discriminative_terms(questions: DataFrame, evidence: DataFrame, candidates: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """Per evidence item its terms that no other item of the question has, and those that the question names.
 
-    Questions with the same evidence items share them, so terms are compared once for each set of items.
+    Questions with the same evidence items share them, so terms are compared once for each set of items. lists are kept term
+    lists of all phrasings of the items; terms are kept before they are exploded, as they would be made anew for each use of them.
     """
+    lists = corpus.kept_once(corpus.term_lists(candidates), "terms") if lists is None else lists
     evidence = kept(evidence.select("question_id", "item_id"), shared_path(evidence.sparkSession, "evidence"))  # read several times
     # At most the evidence of one question in an array.
     sets = evidence.groupBy("question_id").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("set_id", F.sha2(F.to_json("items"), 256))
-    own = corpus.with_terms(candidates.select("item_id", "text"), "text").select("item_id", F.explode("terms").alias("term")).distinct()
+    own = lists.select("item_id", F.explode("terms").alias("term")).distinct()
     each = sets.select("set_id", "items").dropDuplicates(["set_id"]).select("set_id", F.explode("items").alias("item_id")).join(own, "item_id")
     unique = each.groupBy("set_id", "term").agg(F.count("*").alias("c"), F.min("item_id").alias("item_id")).where("c = 1").select("set_id", "term", "item_id")
     unique = kept(unique, shared_path(evidence.sparkSession, "unique"))
     counts = unique.groupBy("set_id", "item_id").agg(F.count("*").cast("int").alias("n_unique"))
-    asked = corpus.with_terms(ranking.asked(questions), "question").select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
-    named = asked.join(sets.select("question_id", "set_id"), "question_id").join(unique, ["set_id", "term"])
+    asked = corpus.kept_once(corpus.with_terms(ranking.asked(questions), "question").select("question_id", F.array_distinct("terms").alias("terms")), "asked")
+    named = asked.select("question_id", F.explode("terms").alias("term")).join(sets.select("question_id", "set_id"), "question_id").join(unique, ["set_id", "term"])
     matched = named.groupBy("question_id", "item_id").agg(F.array_sort(F.collect_list("term")).alias("matched"))
     out = evidence.join(sets.select("question_id", "set_id"), "question_id").join(counts, ["set_id", "item_id"], "left").join(matched, ["question_id", "item_id"], "left")
     none = F.array().cast("array<string>")
@@ -81,10 +83,16 @@ def discriminative_terms(questions: DataFrame, evidence: DataFrame, candidates:
 
 def exact_match(questions: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
     """question_id, item_id, pos of the first phrasing of the kind that reads the same after normalisation."""
-    known = corpus.of_kind(candidates, kind).select("item_id", "pos", text.normalize(F.col("text")).alias("read"))
-    first = known.where("read <> ''").groupBy("read").agg(F.min_by("item_id", "pos").alias("item_id"), F.min("pos").alias("pos"))
-    asks = ranking.asked(questions).select("question_id", text.normalize(F.col("question")).alias("read"))
-    return asks.join(first, "read").select("question_id", "item_id", "pos")
+    return exact_matches(questions, corpus.of_kind(candidates, kind).withColumn("kind", F.lit(kind))).select("question_id", "item_id", "pos")
+
+
+def exact_matches(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """exact_match of each kind that has one. Texts are normalised once and kept as digests, so no text is shuffled."""
+    read = lambda c: F.sha2(text.normalize(F.col(c)), 256).alias("read")
+    known = corpus.kept_once(candidates.select("item_id", "pos", "kind", read("text")), "read")
+    asks = corpus.kept_once(ranking.asked(questions).select("question_id", read("question")), "asked").where(F.col("read") != F.sha2(F.lit(""), 256))
+    first = known.groupBy("read", "kind").agg(F.min_by("item_id", "pos").alias("item_id"), F.min("pos").alias("pos"))
+    return asks.join(first, "read").select("question_id", "item_id", "pos", "kind")
 
 
 def allow_all(pairs: DataFrame) -> Column:
@@ -108,8 +116,9 @@ def route(questions: DataFrame, candidates: DataFrame, items: DataFrame, below:
     only questions in the domain reach the verifier.
     """
     asks = ranking.asked(questions)
-    answer = exact_match(asks, candidates, corpus.ANSWER).select("question_id", F.col("item_id").alias("answer_item"))
-    clarify = exact_match(asks, candidates, corpus.CLARIFICATION).select("question_id", F.col("item_id").alias("clarify_item"))
+    exact = corpus.kept_once(exact_matches(asks, candidates), "exact")
+    answer = exact.where(F.col("kind") == corpus.ANSWER).select("question_id", F.col("item_id").alias("answer_item"))
+    clarify = exact.where(F.col("kind") == corpus.CLARIFICATION).select("question_id", F.col("item_id").alias("clarify_item"))
     found = asks.join(answer, "question_id", "left").join(clarify, "question_id", "left")
     found = kept(found, shared_path(questions.sparkSession, "matched"))  # the questions of every ranking
     rest = found.where("answer_item is null and clarify_item is null").select(*questions.columns)

@@ -14,9 +14,10 @@ RANKERS = ("semantic", "centroid", "lexical", "bm25")
 LEAST_DEPTH = 10
 
 
-def rankings(questions: DataFrame, candidates: DataFrame, k: int, kind: str | None = None) -> dict[str, DataFrame]:
+def rankings(questions: DataFrame, candidates: DataFrame, k: int, kind: str | None = None, lists: DataFrame | None = None) -> dict[str, DataFrame]:
+    """By name; lists are kept word lists of the candidates of the kind."""
     asks, vectors = _read_once(questions, candidates, kind)
-    lists = corpus.kept_once(corpus.word_lists(corpus.of_kind(candidates, kind)), "words")
+    lists = corpus.kept_once(corpus.word_lists(corpus.of_kind(candidates, kind)), "words") if lists is None else lists
     return {
         "semantic": ranking.semantic_top(asks, vectors, k),
         "centroid": ranking.centroid_top(asks, vectors, k),
@@ -46,9 +47,9 @@ def fuse(ranked: dict[str, DataFrame]) -> DataFrame:
     return wide.withColumn("place", F.row_number().over(order))
 
 
-def evidence(questions: DataFrame, candidates: DataFrame, limit: int = 4, kind: str | None = None) -> DataFrame:
+def evidence(questions: DataFrame, candidates: DataFrame, limit: int = 4, kind: str | None = None, lists: DataFrame | None = None) -> DataFrame:
     """Fused evidence; the limit sets how deep each ranking goes (10 at least), not how many rows come."""
-    return fuse(rankings(questions, candidates, max(limit, LEAST_DEPTH), kind))
+    return fuse(rankings(questions, candidates, max(limit, LEAST_DEPTH), kind, lists))
 
 
 def rerank(questions: DataFrame, candidates: DataFrame, kind: str | None = None) -> DataFrame:

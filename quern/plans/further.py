@@ -60,7 +60,7 @@ def relevance_verifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retrieval_pools(spark: SparkSession, d: str) -> DataFrame:
-    rows = decide.pools(mixed_questions(spark, d), mixed_candidates(spark, d))
+    rows = decide.pools(*catalogue.mixed(spark, d))
     return shown(rows.select("pool", "question_id", "item_id", "place", "strategies", "rrf"))
 
 
@@ -71,14 +71,14 @@ def answer_vs_clarification(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def answer_top3(spark: SparkSession, d: str) -> DataFrame:
-    rows = fusion.evidence(mixed_questions(spark, d), mixed_candidates(spark, d), 3, corpus.ANSWER)
+    rows = fusion.evidence(*catalogue.mixed(spark, d), 3, corpus.ANSWER)
     return shown(decide.projected(rows, 3))
 
 
 @query
 def answer_no_match_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The best semantic score of the answers, and the ranks and scores that it comes from."""
-    rows = fusion.evidence(mixed_questions(spark, d), mixed_candidates(spark, d), 3, corpus.ANSWER)
+    rows = fusion.evidence(*catalogue.mixed(spark, d), 3, corpus.ANSWER)
     gate = decide.no_match_gate(rows).select("question_id", "best_score")
     return shown(rows.select("question_id", "item_id", "semantic_rank", "semantic_score").join(gate, "question_id"))
 

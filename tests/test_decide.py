@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import corpus, decide, fusion
+from quern.plans import catalogue
 from tests.test_ranking import ask, candidates
 
 RANKED = "question_id long, rank int, item_id string, pos long, score double"
@@ -98,3 +99,27 @@ def test_discriminative_terms(spark):
 
 def test_limit_does_not_cut_fused_rows(spark):
     assert fusion.evidence(ask(spark, "account", [1.0, 0.0]), knowledge(spark), limit=1).count() == 5
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_not_normalised_anew_by_what_reads_their_terms(spark):
+    rows, asks = knowledge(spark), ask(spark, "delete my account", [1.0, 0.0])
+    fused = fusion.evidence(asks, rows, kind="Answer")
+    assert "translate(" not in plan(decide.discriminative_terms(asks, fused, rows))
+    assert "translate(" not in plan(decide.exact_match(asks, rows, corpus.ANSWER))
+
+
+def test_terms_may_come_with_the_rankings_lists(spark):
+    rows, asks = knowledge(spark), ask(spark, "delete my account", [1.0, 0.0])
+    lists = corpus.kept_once(corpus.word_lists(corpus.of_kind(rows, "Answer")), "words")
+    shared = decide.discriminative_terms(asks, fusion.evidence(asks, rows, 4, "Answer", lists), rows, lists)
+    alone = decide.discriminative_terms(asks, fusion.evidence(asks, rows, 4, "Answer"), rows)
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_mixed_rows_are_joined_once(spark):
+    asks, rows = catalogue.mixed(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(asks) and "Join" not in plan(rows)
