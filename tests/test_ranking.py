@@ -287,6 +287,41 @@ def test_an_item_that_was_better_before_keeps_later_blocks_in(monkeypatch):
     assert best(matched(asked, [batch], keep=10)) == best(whole)
 
 
+def test_terms_are_looked_up_for_many_blocks_at_once(monkeypatch):
+    asked, batch, calls, look_up = words_asked([["a", "b"], ["b", "c"]]), phrasings([["a", "x"], ["b"], [], ["c", "b"]] * 100), [], blocks.pc.index_in
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 10)
+    monkeypatch.setattr(blocks.pc, "index_in", lambda *a, **n: calls.append(1) or look_up(*a, **n))
+    found = matched(asked, [batch.slice(0, 150), batch.slice(150)])
+    assert len(calls) == 2
+    assert {(r["question_id"], r["pos"]): r["score"] for r in found} == {(q, p): s for k in range(100) for q, p, s in ((0, 4 * k, 1.0), (0, 4 * k + 1, 1.0), (0, 4 * k + 3, 1.0), (1, 4 * k + 1, 1.0), (1, 4 * k + 3, 2.0))}
+
+
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_sums_that_single_precision_cannot_tell_apart(sign, monkeypatch):
+    """Weights differ by one part in 10^8: what leaves a task still has the best of each item, with whole scores."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    weights = pa.table({"term": words, "idf": [1.0 + k * 1e-8 for k in range(59)] + [sign]})
+    asked, batch = words_asked([rng.sample(words, 40) for _ in range(30)], weights), phrasings([rng.sample(words, 30) for _ in range(2000)])
+    assert asked.matrix().dtype == np.float32
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 256)
+
+    def best(rows):
+        out = {}
+        for r in rows:
+            key, value = (r["question_id"], r["item_id"]), (round(r["score"], 9), -r["pos"])
+            out[key] = max(out.get(key, value), value)
+        return out
+
+    found, whole = matched(asked, [batch], keep=3), matched(asked, [batch])
+    of_all = best(whole)
+    firsts = {q: sorted((v, i) for (p, i), v in of_all.items() if p == q)[-3:] for q in range(30)}
+    reached = best(found)
+    assert all(reached[q, i] == v for q, of in firsts.items() for v, i in of)
+    exact = {(r["question_id"], r["pos"]): r["score"] for r in whole}
+    assert len(found) * 4 < len(whole) and all(abs(exact[r["question_id"], r["pos"]] - r["score"]) < 1e-12 for r in found)
+
+
 def test_questions_are_made_once_for_all_blocks(spark, monkeypatch):
     made = spark.sparkContext.accumulator(0)
 
