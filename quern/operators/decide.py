@@ -149,8 +149,10 @@ def pools(questions: DataFrame, candidates: DataFrame, limit: int = 4) -> DataFr
 
 
 def answer_or_clarification(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per question the reranked best answer and the best clarification; null where there is none."""
-    out = ranking.asked(questions).select("question_id")
+    """Per question the reranked best answer and the best clarification; null where there is none. Texts are read once, for blanks."""
+    questions = corpus.kept_once(ranking.asked(questions).select("question_id", "question", "embedding"), "asked")
+    candidates = corpus.kept_once(candidates.select("item_id", "pos", "kind", "embedding"), "vectors")
+    out = questions.select("question_id")
     for kind in (corpus.ANSWER, corpus.CLARIFICATION):
         best = fusion.rerank(questions, candidates, kind)
         out = out.join(best.select("question_id", F.col("item_id").alias(f"{kind.lower()}_item_id"), F.col("strategy").alias(f"{kind.lower()}_strategy")), "question_id", "left")

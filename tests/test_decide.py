@@ -123,3 +123,16 @@ def test_terms_may_come_with_the_rankings_lists(spark):
 def test_mixed_rows_are_joined_once(spark):
     asks, rows = catalogue.mixed(spark, "/root/testdata/sf0.001")
     assert "Join" not in plan(asks) and "Join" not in plan(rows)
+
+
+def test_questions_of_both_kinds_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    asks = ask(spark, "reset password", [1.0, 0.0])
+    found = decide.answer_or_clarification(asks.mapInArrow(count, asks.schema), knowledge(spark)).first()
+    assert (found.answer_item_id, found.clarification_item_id) == ("A", "C") and made.value == 1
